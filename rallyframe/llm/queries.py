@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from rallyframe.functions.dates import usable_date
 from rallyframe.llm.canonical import canonical_copies, canonical_groups
 from rallyframe.llm.leaks import leaked_items
+from rallyframe.llm.mixing import mix
 from rallyframe.llm.nearest_time import nearest_in_time
+from rallyframe.llm.text_quality import text_quality
 from rallyframe.sources.tables import table
 
 FORMATTED = ["tourney_name", "round", "winner_name", "loser_name"]
@@ -46,7 +48,27 @@ def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_records": p6_records, "p8_found": p8_found, "p8_near": p8_near}
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is drawn for the wanted mix of sources."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of all tokens that the sources reach."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))[1]
+
+
+def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text statistics of each document."""
+    return text_quality(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are not natural prose."""
+    return text_quality(table(spark, sf_dir, "documents")).where("2 * junk_line_share > 1").select("doc_id").distinct()
+
+
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_records": p6_records, "p8_found": p8_found, "p8_near": p8_near, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats}
 
 _DAY = "case when regexp_matches(tourney_date, '^[0-9]{8}$') then cast(try_strptime(tourney_date, '%Y%m%d') as date) end"
 _WORDS = "list_filter(regexp_split_to_array(regexp_replace(translate(lower({0}), '''’‘`´ʼ', ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
