@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyframe.functions.dates import usable_date
+from rallyframe.functions.dates import clean_id, usable_date
 from rallyframe.llm.canonical import canonical_copies, canonical_groups
 from rallyframe.llm.leaks import leaked_items
 from rallyframe.llm.mixing import mix
+from rallyframe.llm.names import link_names
 from rallyframe.llm.nearest_time import nearest_in_time
 from rallyframe.llm.text_quality import text_quality
 from rallyframe.sources.tables import table
@@ -17,6 +18,19 @@ FORMATTED = ["tourney_name", "round", "winner_name", "loser_name"]
 DELIVERY = ["source_file", "ingested_at"]
 
 
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "player_bio").select(clean_id("player_id").alias("player_id"), F.col("player_name").alias("name"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling that is not the registered name of the player it means, with the player."""
+    odds, tiny = table(spark, sf_dir, "odds_template"), table(spark, sf_dir, "tiny")
+    typed = odds.select(F.col("player2").alias("spelling")).union(tiny.select("winner_name")).union(tiny.select("loser_name"))
+    people = _people(spark, sf_dir)
+    found = link_names(typed, people).select("spelling", "player_id")
+    return found.join(people.select("player_id", F.col("name").alias("spelling")).distinct(), ["player_id", "spelling"], "left_anti").select("spelling", "player_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each quote with the nearest result of exactly the same two players, within 8 days."""
     pair = lambda a, b: [F.least(a, b).alias("one"), F.greatest(a, b).alias("two")]
@@ -68,7 +82,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality(table(spark, sf_dir, "documents")).where("2 * junk_line_share > 1").select("doc_id").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_records": p6_records, "p8_found": p8_found, "p8_near": p8_near, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_records": p6_records, "p8_found": p8_found, "p8_near": p8_near, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats}
 
 _DAY = "case when regexp_matches(tourney_date, '^[0-9]{8}$') then cast(try_strptime(tourney_date, '%Y%m%d') as date) end"
 _WORDS = "list_filter(regexp_split_to_array(regexp_replace(translate(lower({0}), '''’‘`´ʼ', ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
