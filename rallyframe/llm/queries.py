@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.functions.dates import clean_id, usable_date
-from rallyframe.llm.canonical import canonical_copies, canonical_groups
+from rallyframe.llm.canonical import canonical_copies, canonical_groups, canonical_text
 from rallyframe.llm.leaks import leaked_items
 from rallyframe.llm.mixing import mix
 from rallyframe.llm.names import link_names
 from rallyframe.llm.nearest_time import nearest_in_time
+from rallyframe.llm.pairwise import global_ranks, offence_defence
 from rallyframe.llm.text_quality import text_quality
 from rallyframe.sources.tables import table
 
@@ -18,6 +19,25 @@ FORMATTED = ["tourney_name", "round", "winner_name", "loser_name"]
 DELIVERY = ["source_file", "ingested_at"]
 
 
+SURFACES = ["Hard", "Clay", "Grass"]
+
+
+def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strength and rank of every player on each surface; results sent more than once count once, walkovers not at all."""
+    surface = F.initcap(F.trim("surface"))
+    rows = table(spark, sf_dir, "tiny").where(surface.isin(SURFACES) & ~F.coalesce(F.upper("score").contains("W/O"), F.lit(False)))
+    seen = rows.select(surface.alias("surface"), clean_id("winner_id").alias("winner"), clean_id("loser_id").alias("loser"), "tourney_id", canonical_text("round").alias("round"))
+    once = seen.dropna(subset=["winner", "loser"]).groupBy("surface", "winner", "loser", "tourney_id", "round").agg(F.lit(1).alias("n"))
+    found = offence_defence(once, "surface", "winner", "loser")
+    ranked = global_ranks(found.withColumnRenamed("item", "player_id"), "surface", "strength", "player_id")
+    return ranked.select("surface", "player_id", "wins", "losses", F.round("strength", 6).alias("strength"), "rank")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five strongest players on each surface."""
+    return p2_ranking(spark, sf_dir).where("rank <= 5").select("surface", "player_id")
+
+
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "player_bio").select(clean_id("player_id").alias("player_id"), F.col("player_name").alias("name"))
 
@@ -82,7 +102,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality(table(spark, sf_dir, "documents")).where("2 * junk_line_share > 1").select("doc_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_records": p6_records, "p8_found": p8_found, "p8_near": p8_near, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats}
+QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_records": p6_records, "p8_found": p8_found, "p8_near": p8_near, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats}
 
 _DAY = "case when regexp_matches(tourney_date, '^[0-9]{8}$') then cast(try_strptime(tourney_date, '%Y%m%d') as date) end"
 _WORDS = "list_filter(regexp_split_to_array(regexp_replace(translate(lower({0}), '''’‘`´ʼ', ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
