@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from rallyframe.functions.dates import clean_id, usable_date
 from rallyframe.llm.canonical import canonical_copies, canonical_groups, canonical_text
+from rallyframe.llm.entity_match import match_quotes
 from rallyframe.llm.leaks import leaked_items
 from rallyframe.llm.mixing import mix
 from rallyframe.llm.names import link_names
 from rallyframe.llm.nearest_time import nearest_in_time
 from rallyframe.llm.pairwise import global_ranks, offence_defence
 from rallyframe.llm.text_quality import text_quality
+from rallyframe.operators.skew import skew_join
+from rallyframe.session import stage
 from rallyframe.sources.tables import table
 
 FORMATTED = ["tourney_name", "round", "winner_name", "loser_name"]
@@ -60,6 +63,37 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_in_time(odds, tiny, "odds_id", "row_id", ["one", "two"], "date", "day", 8).distinct()
 
 
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each quote that is for a result in tiny, with that result's first row and a confidence."""
+    odds, tiny = table(spark, sf_dir, "odds_template"), table(spark, sf_dir, "tiny")
+    surface = F.upper(F.substring(F.trim("surface"), 1, 1))
+    surface = F.when(surface.isin("H", "C", "G"), surface)
+    quotes = stage(odds.select(F.col("odds_id").alias("id"), F.col("player1").alias("n1"), F.col("player2").alias("n2"), F.col("date").cast("date").alias("day"), F.col("tournament").alias("event"), surface.alias("surface")))
+    rows = tiny.select("row_id", "winner_name", "loser_name", clean_id("winner_id").alias("w"), clean_id("loser_id").alias("l"), "tourney_id", "tourney_name", surface.alias("surface"), usable_date("tourney_date").alias("day"), canonical_text("round").alias("round"), "score")
+    # A result sent again, alike or nearly, is one result: its first row, dated by its event where its own date is unusable.
+    same = rows.groupBy("tourney_id", "winner_name", "loser_name", "w", "l", "round", "score").agg(F.min("row_id").alias("id"), F.min("day").alias("day"), F.min(F.struct("row_id", "tourney_name", "surface")).alias("x"))
+    same = stage(same.select("*", F.col("x.tourney_name").alias("event"), F.col("x.surface").alias("surface")).drop("x"))
+    events = same.groupBy("tourney_id").agg(F.min("day").alias("event_day"), F.mode("event", True).alias("event_name"), F.mode("surface", True).alias("event_surface"))
+    typed = quotes.select(F.col("n1").alias("spelling")).union(quotes.select("n2"))
+    typed = typed.union(same.where("w is null").select("winner_name")).union(same.where("l is null").select("loser_name"))
+    links = stage(link_names(typed, _people(spark, sf_dir)).select("spelling", "player_id"))
+
+    def linked(df: DataFrame, name: str, to: str) -> DataFrame:
+        return skew_join(df, links.select(F.col("spelling").alias(name), F.col("player_id").alias(to)), [name], "left")
+
+    left = linked(linked(quotes, "n1", "p1"), "n2", "p2")
+    right = linked(linked(same, "winner_name", "w2"), "loser_name", "l2").withColumns({"p1": F.coalesce("w", "w2"), "p2": F.coalesce("l", "l2")})
+    right = right.groupBy("tourney_id", "p1", "p2", F.when(F.col("p1").isNull(), F.col("winner_name")).alias("k1"), F.when(F.col("p2").isNull(), F.col("loser_name")).alias("k2"), "round", "score").agg(F.min("id").alias("id"), F.min("day").alias("day"), F.min("winner_name").alias("n1"), F.min("loser_name").alias("n2"))
+    right = skew_join(right, events, ["tourney_id"], "left").select("id", "p1", "p2", "n1", "n2", F.coalesce("day", "event_day").alias("day"), F.col("event_name").alias("event"), F.col("event_surface").alias("surface"))
+    found = match_quotes(left.select("id", "p1", "p2", "n1", "n2", "day", "event", "surface"), right)
+    return found.select(F.col("l").alias("odds_id"), F.col("r").alias("row_id"), "confidence")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each quote that is for a result in tiny, with that result's first row."""
+    return p5_matches(spark, sf_dir).select("odds_id", "row_id").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each result row that repeats another but for formatting, with the first of its copies."""
     return canonical_copies(table(spark, sf_dir, "tiny"), "row_id", FORMATTED, DELIVERY).distinct()
@@ -102,7 +136,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality(table(spark, sf_dir, "documents")).where("2 * junk_line_share > 1").select("doc_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_records": p6_records, "p8_found": p8_found, "p8_near": p8_near, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats}
+QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p6_records": p6_records, "p8_found": p8_found, "p8_near": p8_near, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats}
 
 _DAY = "case when regexp_matches(tourney_date, '^[0-9]{8}$') then cast(try_strptime(tourney_date, '%Y%m%d') as date) end"
 _WORDS = "list_filter(regexp_split_to_array(regexp_replace(translate(lower({0}), '''’‘`´ʼ', ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
