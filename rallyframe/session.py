@@ -37,10 +37,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stage(df: DataFrame, partitioned: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage there.
+
+    With ``partitioned`` the staged rows keep the partitioning and order of ``df`` for later joins;
+    adaptive execution would forget both, so it is off while they are written.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    if not partitioned:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def partitions(spark: SparkSession) -> int:
