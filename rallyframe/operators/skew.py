@@ -24,20 +24,29 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, at_least:
     return [tuple(r[k] for k in keys) for r in counts.where(F.col("n__") >= floor).select(*keys).collect()]
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: float = HOT_SHARE, at_least: int = 10_000) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: float = HOT_SHARE, at_least: int = 10_000, hot: list[tuple] | None = None, salts: int = 64) -> DataFrame:
     """Equi-join a possibly skewed ``left`` with a ``right`` that is unique on ``keys``.
 
-    Rows of ``left`` with a hot key meet a broadcast of the matching ``right`` rows (at most
-    ``1 / share`` rows); all others go through a shuffle join. ``how`` is inner or left. Keys are
-    compared with ``=``: null keys match nothing, and a left join keeps their rows.
+    Rows of ``left`` with a hot key spread over ``salts`` sub-keys, and the few ``right`` rows of hot
+    keys are copied to each; all others have one sub-key. So both tables are read and shuffled once,
+    whatever the skew. ``hot`` may give the hot keys where the caller has counted them. ``how`` is
+    inner or left. Keys are compared with ``=``: null keys match nothing, and a left join keeps
+    their rows, spread too.
     """
-    hot = hot_keys(left, keys, share, at_least)
+    hot = hot_keys(left, keys, share, at_least) if hot is None else hot
+    absent = F.lit(False)
+    for k in keys:
+        absent = absent | F.col(k).isNull()
+    spread = F.pmod(F.xxhash64(*left.columns, F.monotonically_increasing_id()), F.lit(salts))
     if not hot:
-        return left.join(right, keys, how)
-    schema = left.select(*keys).schema
-    table = left.sparkSession.createDataFrame(hot, schema).withColumn("hot__", F.lit(True))
-    marked = left.join(F.broadcast(table), keys, "left")
-    few = F.broadcast(right.join(F.broadcast(table.drop("hot__")), keys, "left_semi"))
-    warm = marked.where(F.col("hot__")).drop("hot__").join(few, keys, how)
-    cold = marked.where(F.col("hot__").isNull()).drop("hot__").join(right, keys, how)
-    return warm.unionByName(cold)
+        if how == "inner":
+            return left.join(right, keys, how)
+        salted = left.withColumn("salt__", F.when(absent, spread).otherwise(F.lit(0).cast("long")))
+        return salted.join(right.withColumn("salt__", F.lit(0).cast("long")), [*keys, "salt__"], how).drop("salt__")
+    table = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*keys).schema).withColumn("hot__", F.lit(True)))
+    is_hot = F.coalesce(F.col("hot__"), F.lit(False))
+    one = F.lit(0).cast("long")
+    salted = left.join(table, keys, "left").withColumn("salt__", F.when(is_hot | absent, spread).otherwise(one)).drop("hot__")
+    copies = F.when(is_hot, F.sequence(one, F.lit(salts - 1).cast("long"))).otherwise(F.array(one))
+    spread_right = right.join(table, keys, "left").withColumn("salt__", F.explode(copies)).drop("hot__")
+    return salted.join(spread_right, [*keys, "salt__"], how).drop("salt__")
