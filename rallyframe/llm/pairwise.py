@@ -40,20 +40,20 @@ def offence_defence(results: DataFrame, group: str, winner: str, loser: str, smo
     # An empty entry of each item with itself keeps items without a win or a loss in every sum.
     own = pairs.select("g", F.explode(F.array("w", "l")).alias("w")).groupBy("g", "w").agg(F.lit(0.0).alias("n")).select("g", "w", F.col("w").alias("l"), "n")
     entries = pairs.unionByName(own)
-    by_winner, by_loser = stage(entries.repartition(p, "g", "w")), stage(entries.repartition(p, "g", "l"))
+    by_winner, by_loser = [stage(entries.repartition(p, "g", c).sortWithinPartitions("g", c), partitioned=True) for c in ("w", "l")]
 
     def half(edges: DataFrame, at: str, to: str, vector: DataFrame) -> DataFrame:
         met = edges.join(vector.withColumnRenamed("x", "v"), ["g", at])
         return met.groupBy("g", to).agg((F.sum(F.col("n") / F.col("v")) + smoothing).alias("x"))
 
-    defence = stage(by_loser.groupBy("g", "l").agg(F.lit(1.0).alias("x")))
+    defence = by_loser.groupBy("g", "l").agg(F.lit(1.0).alias("x"))
     offence, before = None, None
     for i in range(math.ceil(iterations / UNROLL)):
         for _ in range(UNROLL):
             offence = half(by_loser, "l", "w", defence)
             defence = half(by_winner, "w", "l", offence)
         both = defence.withColumnRenamed("x", "d").join(offence.select("g", F.col("w").alias("l"), F.col("x").alias("o")), ["g", "l"])
-        both = stage(both.select("g", "l", "d", "o", F.log(F.col("o") / F.col("d")).alias("s")))
+        both = stage(both.select("g", "l", "d", "o", F.log(F.col("o") / F.col("d")).alias("s")), partitioned=True)
         if before is not None:
             moved = both.join(before.select("g", "l", F.col("s").alias("t")), ["g", "l"]).agg(F.max(F.abs(F.col("s") - F.col("t")))).first()[0]
             if moved is None or moved <= tolerance:
