@@ -24,6 +24,15 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, at_least:
     return [tuple(r[k] for k in keys) for r in counts.where(F.col("n__") >= floor).select(*keys).collect()]
 
 
+#: Rows up to which a table of a few columns may be broadcast (a few MB).
+SMALL_ROWS = 50_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, counted no further; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: float = HOT_SHARE, at_least: int = 10_000, hot: list[tuple] | None = None, salts: int = 64) -> DataFrame:
     """Equi-join a possibly skewed ``left`` with a ``right`` that is unique on ``keys``.
 
