@@ -46,7 +46,7 @@ def past_counts(rows: DataFrame) -> DataFrame:
     count = lambda w: F.coalesce(F.sum(clean).over(w), F.lit(0))
     last = F.max(F.when(F.col("is_clean"), F.col("day"))).over(before)
     return rows.withColumns(
-        {"experience": count(before), "surface_experience": count(on_surface), "rest_days": F.coalesce(F.least(F.col("day") - last, F.lit(60)), F.lit(21)).cast("double")}
+        {"experience": count(before), "surface_experience": count(on_surface), "rest_days": F.when(last.isNull(), F.lit(21)).otherwise(F.least(F.col("day") - last, F.lit(60))).cast("double")}
         | {f"workload_{n}d": F.least(count(by_day.rangeBetween(-n, -1)), F.lit(CAP)) for n in (7, 14, 28)}
     )
 

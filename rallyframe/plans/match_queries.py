@@ -316,7 +316,7 @@ x as (select row_id, (w_1stwon + w_2ndwon) / nullif(w_svpt, 0) ws, (l_1stwon + l
 select row_id, round(ws, 6) w_spw, round(1 - ls, 6) w_rpw, round(1 - wb, 6) w_hold, round(lb, 6) w_break, round(ls, 6) l_spw, round(1 - ws, 6) l_rpw, round(1 - lb, 6) l_hold, round(wb, 6) l_break from x""",
     "m_past_counts": f"""with {_SIDES}, q as (select *, is_clean::int c, datediff('day', date '1970-01-01', d) n from p)
 select row_id, side, player, coalesce(sum(c) over b, 0)::bigint experience, coalesce(sum(c) over s, 0)::bigint surface_experience,
- coalesce(least(n - max(case when is_clean then n end) over b, 60), 21)::double rest_days,
+ case when max(case when is_clean then n end) over b is null then 21 else least(n - max(case when is_clean then n end) over b, 60) end::double rest_days,
  least(coalesce(sum(c) over w7, 0), 140)::bigint workload_7d, least(coalesce(sum(c) over w14, 0), 140)::bigint workload_14d, least(coalesce(sum(c) over w28, 0), 140)::bigint workload_28d from q
 window b as (partition by player order by n range between unbounded preceding and 1 preceding), s as (partition by player, surface order by n range between unbounded preceding and 1 preceding),
  w7 as (partition by player order by n range between 7 preceding and 1 preceding), w14 as (partition by player order by n range between 14 preceding and 1 preceding), w28 as (partition by player order by n range between 28 preceding and 1 preceding)""",

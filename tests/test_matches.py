@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def test_normalized_names():
-    assert normalized("  Ána  O’Neil Jr. ") == "ana o neil"
+    assert normalized("  Ána  O’Neil Jr.") == "ana o neil" and normalized("Ana Jr. ") == "ana jr"
     assert normalized("Müller-Straße") == "muller strasse"
     assert normalized(None) == "" and normalized("...") == ""
 
