@@ -210,7 +210,7 @@ def text_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
         return out
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk_chars).cast("int")), lambda i: F.substring(F.col("text"), i * chunk_chars + 1, F.lit(chunk_chars)))
     own = F.concat_ws(":", F.col("doc_id"), F.monotonically_increasing_id()).alias("u__")
-    parts = long.select(own, F.posexplode(cut).alias("n__", "t__")).select("u__", F.col("n__").cast("long").alias("n__"), "t__")
+    parts = long.select(own, "text").select("u__", F.posexplode(cut).alias("n__", "t__")).select("u__", F.col("n__").cast("long").alias("n__"), "t__")
     states = parts.repartition(partitions(docs.sparkSession), "u__", "n__").mapInArrow(_pieces, "u__ string, n__ long, state__ string")
     left = -(-most // chunk_chars)
     while left > 1:
