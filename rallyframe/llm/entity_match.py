@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.session import buckets_for, partitions, stage
+from rallyframe.operators.skew import skew_join, small
+from rallyframe.session import buckets_for, partitions, stage, stage_table
 
 #: Rows of the other table, before and after a row in sorted order, that it is compared with.
 WINDOW = 6
 #: Days that a quote may lie before and after the start of the event it is for.
 EARLY, LATE, WEEK = 9, 14, 6
+#: Days of one shard's stretch of time.
+STRETCH = 180
 #: Confidence from which a match is kept.
 CONFIDENT = 0.8
 WEIGHTS = {"players": 0.4, "event": 0.35, "date": 0.2, "surface": 0.05}
@@ -54,23 +56,26 @@ def _ratio(a: str, b: str) -> float:
 
 def event_similarity(a: str | None, b: str | None) -> float | None:
     """How well two event names fit: shared, shortened or mistyped words; None if either has no words."""
-    x, y = event_words(a), event_words(b)
+    return words_similarity(event_words(a), event_words(b))
+
+
+def words_similarity(x: list[str], y: list[str]) -> float | None:
     if not x or not y:
         return None
-
-    def best(w: str, others: list[str]) -> float:
+    have, total = set(y), 0.0
+    for w in x:
+        if w in have:
+            total += 1.0
+            continue
         top = 0.0
-        for v in others:
-            if w == v:
-                return 1.0
+        for v in y:
             if v.startswith(w) or w.startswith(v):
                 top = max(top, 0.85)
             elif min(len(w), len(v)) > 3:
                 top = max(top, 0.95 * _ratio(w, v))
-        return top
-
-    words = sum(best(w, y) for w in x) / len(x)
-    return max(words, _ratio("".join(x), "".join(y)))
+        total += top
+    words = total / len(x)
+    return words if words >= 0.95 else max(words, _ratio("".join(sorted(x)), "".join(sorted(y))))
 
 
 @dataclass
@@ -114,55 +119,24 @@ class Assignment:
         return self.pairs
 
 
-_FIELDS = ["side", "id", "p1", "p2", "n1", "n2", "day", "event", "surface"]
-_ROWS = "key string, side int, id long, p1 string, p2 string, n1 string, n2 string, day int, event string, surface string"
-
-
-def _sorted(left: DataFrame, right: DataFrame, key: Callable[[], F.Column]) -> DataFrame:
-    """Both tables in one order by ``key`` and day, staged in range partitions that a hot key can't overfill."""
-    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    rows = both.select(key().alias("key"), *_FIELDS).where("key is not null")
-    order = ["key", "day", "side", "id"]
-    return stage(rows.repartitionByRange(partitions(left.sparkSession), *order).sortWithinPartitions(*order))
-
-
-def _edges(rows: DataFrame, window: int) -> dict[int, tuple[list, list]]:
-    """For each partition the ``window`` rows of the right table before and after it: at most 2 * window a partition."""
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last = [], []
-        for b in batches:
-            for r in b.filter(pc.equal(b.column(1), 1)).to_pylist():
-                if len(first) < window:
-                    first.append(r)
-                last = [*last[-(window - 1) :], r] if window > 1 else [r]
-        p = TaskContext.get().partitionId()
-        out = [{"p": p, "end": 0, "n": i, **r} for i, r in enumerate(first)] + [{"p": p, "end": 1, "n": i, **r} for i, r in enumerate(last)]
-        names = ["p", "end", "n", "key", *_FIELDS]
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), *[pa.string()] * 4, pa.int32(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in zip(names, types, strict=True)], names=names)
-
-    found = sorted(rows.mapInArrow(ends, f"p int, end int, n int, {_ROWS}").collect(), key=lambda r: (r["p"], r["end"], r["n"]))
-    count = rows.rdd.getNumPartitions()
-    heads, tails = [[] for _ in range(count)], [[] for _ in range(count)]
-    for r in found:
-        (tails if r["end"] else heads)[r["p"]].append([r[c] for c in _FIELDS])
-    out: dict[int, tuple[list, list]] = {}
-    before: list = []
-    for p in range(count):
-        out[p] = (before[-window:], [])
-        # A partition with fewer right rows than the window passes on those before it too.
-        before = [*before, *tails[p]][-window:]
-    after: list = []
-    for p in reversed(range(count)):
-        out[p] = (out[p][0], after[:window])
-        after = [*heads[p], *after][:window]
-    return out
+_FIELDS = ["side", "id", "p1", "p2", "n1", "n2", "day", "event", "surface", "twin"]
+def _neighbourhood(left: DataFrame, right: DataFrame, shard: F.Column, order: list[F.Column]) -> DataFrame:
+    """Both tables sorted together by ``order``, within shards of a key and a stretch of days.
+
+    A right row near the edge of its stretch stands in the next one too, so each shard has every
+    neighbour that its left rows may be about, and a key that holds a third of the rows is many shards.
+    """
+    stretch = lambda d: F.floor(d / F.lit(STRETCH)).cast("int")
+    ask = left.withColumns({"side": F.lit(0), "stretch": stretch(F.col("day"))})
+    have = right.withColumns({"side": F.lit(1), "stretch": F.explode(F.array_distinct(F.array(stretch(F.col("day") - EARLY), stretch(F.col("day") + LATE))))})
+    places = [f"o{i}" for i in range(len(order))]
+    rows = ask.unionByName(have).select(shard.alias("key"), "stretch", *[c.alias(o) for c, o in zip(order, places, strict=True)], *_FIELDS).where("key is not null")
+    return rows.repartition(partitions(left.sparkSession), "key", "stretch").sortWithinPartitions("key", "stretch", *places, "side", "id")
 
 
 def confidence(q: list, r: list, seen: dict) -> float:
     """Weighted similarity of two rows; missing fields are left out of the weights. 0 without a shared player."""
-    (_, _, a1, a2, m1, m2, qday, qevent, qsurface), (_, _, b1, b2, n1, n2, rday, revent, rsurface) = q, r
+    (_, _, a1, a2, m1, m2, qday, qevent, qsurface, _), (_, _, b1, b2, n1, n2, rday, revent, rsurface, _) = q, r
     shared = len({a1, a2} & {b1, b2} - {None})
     if not shared:
         return 0.0
@@ -181,7 +155,8 @@ def confidence(q: list, r: list, seen: dict) -> float:
     parts = {"players": players, "date": max(date, 0.0)}
     event = seen.get((qevent, revent), -1.0)
     if event == -1.0:
-        event = seen[qevent, revent] = event_similarity(qevent, revent)
+        qwords, rwords = [seen.get(e) or seen.setdefault(e, event_words(e)) for e in (qevent, revent)]
+        event = seen[qevent, revent] = words_similarity(qwords, rwords)
     if event is not None:
         parts["event"] = event
     if qsurface and rsurface:
@@ -189,44 +164,83 @@ def confidence(q: list, r: list, seen: dict) -> float:
     return sum(WEIGHTS[k] * x for k, x in parts.items()) / sum(WEIGHTS[k] for k in parts)
 
 
-def _compare(window: int, edges: dict[int, tuple[list, list]]):
+def _both_shared(left: pa.Table, right: pa.Table, i: np.ndarray, j: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """``confidence`` of pairs that share both players, worked by column; each distinct pair of event names once."""
+
+    def codes(c: str) -> tuple[np.ndarray, np.ndarray, list]:
+        both = pa.chunked_array([x for t, k in ((left, i), (right, j)) for x in t.column(c).take(pa.array(k)).chunks], pa.string()).combine_chunks().dictionary_encode()
+        n = both.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return n[: len(i)], n[len(i) :], both.dictionary.to_pylist()
+
+    weight = np.full(len(i), WEIGHTS["players"] + WEIGHTS["date"])
+    off = np.where(gap < 0, -gap, np.maximum(gap - WEEK, 0))
+    total = WEIGHTS["players"] + WEIGHTS["date"] * np.maximum(1.0 - off / 12.0, 0.0)
+    a, b, names = codes("event")
+    words = [event_words(n) for n in names]
+    named = (a >= 0) & (b >= 0)
+    known, back = np.unique(a[named] * len(names) + b[named], return_inverse=True)
+    alike = [words_similarity(words[k // len(names)], words[k % len(names)]) for k in known.tolist()]
+    event = np.full(len(i), np.nan)
+    event[named] = np.array([np.nan if x is None else x for x in alike], dtype=float)[back]
+    ok = ~np.isnan(event)
+    weight[ok] += WEIGHTS["event"]
+    total[ok] += WEIGHTS["event"] * event[ok]
+    a, b, _ = codes("surface")
+    ok = (a >= 0) & (b >= 0)
+    weight[ok] += WEIGHTS["surface"]
+    total[ok] += WEIGHTS["surface"] * (a == b)[ok]
+    return total / weight
+
+
+_SCHEMA = pa.schema([(c, pa.int64() if c in ("id", "twin") else pa.int32() if c in ("side", "day") else pa.string()) for c in _FIELDS])
+
+
+def _compare(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, after = edges.get(TaskContext.get().partitionId(), ([], []))
-        tables = [b for b in batches if b.num_rows]
         names = ["pair", "l", "r", "event", "confidence"]
         types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
-        out: list[list] = [[] for _ in names]
+        tables = [b for b in batches if b.num_rows]
         if tables:
-            t = pa.Table.from_batches(tables)
+            t = pa.Table.from_batches(tables).select(_FIELDS).cast(_SCHEMA)
             side = t.column("side").to_numpy()
-            at = np.flatnonzero(side == 1)
-            own = list(zip(*[t.column(c).take(pa.array(at)).to_pylist() for c in _FIELDS], strict=True)) if len(at) else []
-            right = [*map(tuple, before), *own, *map(tuple, after)]
-            rday = np.array([r[6] for r in right], dtype=np.int64)
-            code: dict[str | None, int] = {None: -1}
-            number = lambda x: code.setdefault(x, len(code))
-            rp = np.array([[number(r[2]), number(r[3])] for r in right], dtype=np.int64).reshape(len(right), 2)
-            rp[rp < 0] = -2
-            place = len(before) + np.cumsum(side)  # right rows up to here
-            ask = np.flatnonzero(side == 0)
-            left = list(zip(*[t.column(c).take(pa.array(ask)).to_pylist() for c in _FIELDS], strict=True)) if len(ask) else []
-            lday = np.array([q[6] for q in left], dtype=np.int64)
-            lp = np.array([[number(q[2]), number(q[3])] for q in left], dtype=np.int64).reshape(len(left), 2)
-            seen: dict = {}
+            left = t.filter(pa.array(side == 0))
+            right = t.filter(pa.array(side == 1))
+            place = np.cumsum(side)[side == 0]  # right rows before each left row
+            # Twins stand together, as they share players and day; the smallest id of them answers.
+            ids = right.column("id").to_numpy()
+            twin, which = np.unique(right.column("twin").to_numpy(), return_inverse=True)
+            least = np.full(len(twin), np.iinfo(np.int64).max)
+            np.minimum.at(least, which, ids)
+            # Players as numbers, the same on both sides; unknown players equal no one.
+            names4 = pa.chunked_array([c for x in (left, right) for p in ("p1", "p2") for c in x.column(p).chunks], pa.string())
+            code = names4.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            n, m = left.num_rows, right.num_rows
+            l1, l2, r1, r2 = code[:n], code[n : 2 * n], code[2 * n : 2 * n + m], code[2 * n + m :]
+            lday, rday = left.column("day").to_numpy().astype(np.int64), right.column("day").to_numpy().astype(np.int64)
+            pairs = []
             for shift in range(-window, window):
-                j = place[ask] + shift
-                ok = (j >= 0) & (j < len(right))
-                i = np.flatnonzero(ok)
-                j = j[i]
-                gap = lday[i] - rday[j] if len(i) else np.empty(0, np.int64)
-                same = (lp[i, 0] == rp[j, 0]) | (lp[i, 0] == rp[j, 1]) | (lp[i, 1] == rp[j, 0]) | (lp[i, 1] == rp[j, 1]) if len(i) else np.empty(0, bool)
-                for a, b in zip(i[same & (gap >= -EARLY) & (gap <= LATE)].tolist(), j[same & (gap >= -EARLY) & (gap <= LATE)].tolist(), strict=True):
-                    c = confidence(left[a], right[b], seen)
-                    if c > 0.5:
-                        pair = "|".join(sorted(str(x) for x in right[b][2:4]))
-                        for x, y in zip(out, (pair, left[a][1], right[b][1], left[a][7], c), strict=True):
-                            x.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, types, strict=True)], names=names)
+                i = np.flatnonzero((place + shift >= 0) & (place + shift < m))
+                j = place[i] + shift
+                gap = lday[i] - rday[j]
+                same = ((l1[i] >= 0) & ((l1[i] == r1[j]) | (l1[i] == r2[j]))) | ((l2[i] >= 0) & ((l2[i] == r1[j]) | (l2[i] == r2[j])))
+                ok = same & (gap >= -EARLY) & (gap <= LATE)
+                pairs.append((i[ok], j[ok]))
+            i, j = [np.concatenate(x) for x in zip(*pairs, strict=True)]
+            two = (l1[i] >= 0) & (l2[i] >= 0) & (((l1[i] == r1[j]) & (l2[i] == r2[j])) | ((l1[i] == r2[j]) & (l2[i] == r1[j])))
+            score = np.zeros(len(i))
+            score[two] = _both_shared(left, right, i[two], j[two], (lday[i] - rday[j])[two])
+            seen: dict = {}
+            for k in np.flatnonzero(~two & ((l1[i] < 0) | (l2[i] < 0) | (r1[j] < 0) | (r2[j] < 0))).tolist():
+                q, r = [tuple(x.column(c)[int(n[k])].as_py() for c in _FIELDS) for x, n in ((left, i), (right, j))]
+                score[k] = confidence(q, r, seen)
+            keep = np.flatnonzero(score > 0.5)
+            a, b = pa.array(i[keep]), pa.array(j[keep])
+            mark = [right.column(c).take(b).fill_null("") for c in ("p1", "p2")]
+            low = pc.less(*mark)
+            out = [pc.binary_join_element_wise(pc.if_else(low, *mark), pc.if_else(low, *mark[::-1]), "|"), left.column("id").take(a), pa.array(least[which][j[keep]]), left.column("event").take(a), pa.array(score[keep])]
+            yield from pa.table(out, names=names).to_batches()
+            return
+        yield pa.RecordBatch.from_arrays([pa.array([], k) for k in types], names=names)
 
     return run
 
@@ -283,7 +297,15 @@ def _assign_pair(rows: list[tuple], confident: float, out: dict[int, tuple[float
             rs = sorted({r for g in gs for r in gain[g]})
             if len(rs) > 1:
                 found = Assignment([[gain[g].get(r, 0.0) for r in rs] for g in gs]).solve()
-                taken |= {gs[i]: rs[j] for i, j in found.items()}
+                used = {rs[j] for j in found.values()}
+                for i, j in sorted(found.items(), key=lambda x: rs[x[1]]):
+                    # Of results that gain the same, such as copies, the smallest id that is free.
+                    mine = gain[gs[i]]
+                    if rs[j] not in mine:
+                        continue
+                    r = min(x for x in mine if abs(mine[x] - mine[rs[j]]) < 1e-12 and (x == rs[j] or x not in used))
+                    used = (used - {rs[j]}) | {r}
+                    taken[gs[i]] = r
     for g, ls in groups.items():
         for l in ls:
             r = taken.get(g, best[l])
@@ -297,35 +319,48 @@ def _assign_pair(rows: list[tuple], confident: float, out: dict[int, tuple[float
 def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confident: float = CONFIDENT, rows_per_bucket: int = 200_000) -> DataFrame:
     """The row of ``right`` that each row of ``left`` is about: ``l``, ``r`` (ids) and ``confidence`` (0 to 1).
 
-    Both tables have ``id`` (bigint), ``p1``, ``p2`` (ids of the two players where known), ``n1``,
+    Rows of ``right`` that are one thing written again may share a number ``twin`` (they must agree in
+    players and day); the smallest id of them stands for all. Both tables have ``id`` (bigint), ``p1``, ``p2`` (ids of the two players where known), ``n1``,
     ``n2`` (their names as typed), ``day`` (date), ``event`` and ``surface``. Rows of a table that
-    are equal but for ``id`` should be given once (``match_quotes`` does so).
+    are equal but for ``id`` should be given once (``match_quotes`` sees to the quotes).
 
-    The tables are sorted together by several composite keys (both players and day; event, week and
-    one player; other player and event); in each order every left row is compared with the
-    ``window`` right rows before and after it. Rows within the dates' tolerance that share a player
+    The tables are sorted together by several composite keys: both players and day; and, for rows with
+    an unknown player and the rows they may be about, the known player, event and day, and the known
+    player, day and event. In each
+    order every left row is compared with the ``window`` right rows before and after it. Rows within the dates' tolerance that share a player
     get a confidence, the weighted mean of the similarities of players, event, date and surface over
     the fields that both have. Candidates are then assigned per pair of players so that total
     confidence is largest with each event of left going to one row of right; ties go to the smaller
-    id. One shared player is enough where the other is unknown on a side and the names are alike. Rows without an id or day match nothing, nulls elsewhere lower what can be compared, and
+    id. One shared player is enough where the other is unknown on a side and both names are given and alike. Rows without an id or day match nothing, nulls elsewhere lower what can be compared, and
     either table may be empty.
 
-    Range partitions on the whole sort key keep a hot player or event off one task, and the driver
-    sees only the ``window`` rows at either end of each partition.
+    Each order is cut into shards of a key and a stretch of days, with right rows near an edge on
+    both sides of it, which keeps a hot player or event off one task.
     """
-    slim = lambda df: df.select(F.col("id").cast("long").alias("id"), "p1", "p2", "n1", "n2", F.unix_date(F.col("day").cast("date")).alias("day"), "event", "surface").where("id is not null and day is not null")
+    twin = lambda df: F.col("twin") if "twin" in df.columns else F.col("id").cast("long")
+    slim = lambda df: df.select(F.col("id").cast("long").alias("id"), "p1", "p2", "n1", "n2", F.unix_date(F.col("day").cast("date")).alias("day"), "event", "surface", twin(df).alias("twin")).where("id is not null and day is not null")
     left, right = slim(left), slim(right)
     stem = F.substring(F.array_join(F.array_sort(F.filter(F.split(F.lower("event"), "[^a-z0-9]+"), lambda w: (F.length(w) > 3) & ~w.isin(*EVENT_NOISE))), ""), 1, 5)
-    low, high = F.least("p1", "p2"), F.greatest("p1", "p2")
-    keys = [
-        lambda: F.when(F.col("p1").isNotNull() & F.col("p2").isNotNull(), F.concat_ws("|", low, high)),
-        lambda: F.concat_ws("|", stem, F.floor((F.col("day") + 2) / 7).cast("string"), low),
-        lambda: F.concat_ws("|", high, F.floor((F.col("day") + 2) / 7).cast("string"), stem),
-    ]
+    known = F.col("p1").isNotNull() & F.col("p2").isNotNull()
+    pair = F.when(known, F.concat_ws("|", F.least("p1", "p2"), F.greatest("p1", "p2")))
+    passes = [(left, right, pair, [F.col("day")])]
+    # Rows with one unknown player take part in two more orders, by the known one, with the rows of that player within the dates.
+    one = F.col("p1").isNull() != F.col("p2").isNull()
+    unsure = [stage(df.where(one).withColumn("x", F.coalesce("p1", "p2"))) for df in (left, right)]
+    if any(df.limit(1).count() for df in unsure):
+        cell = F.floor(F.col("day") / (EARLY + LATE))
+        near = lambda df: df.select("x", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
+
+        def around(df: DataFrame, other: DataFrame) -> DataFrame:
+            players = df.where(known).withColumns({"x": F.explode(F.array("p1", "p2")), "cell": cell})
+            return players.join(small(near(other)), ["x", "cell"], "left_semi")
+
+        few = [own.unionByName(around(df, other).select(*own.columns)) for own, df, other in ((unsure[0], left, unsure[1]), (unsure[1], right, unsure[0]))]
+        few = [stage(df) for df in few]
+        passes += [(*few, F.col("x"), [stem, F.col("day")]), (*few, F.col("x"), [F.col("day"), stem])]
     found = None
-    for key in keys:
-        rows = _sorted(left, right, key)
-        part = rows.mapInArrow(_compare(window, _edges(rows, window)), "pair string, l long, r long, event string, confidence double")
+    for a, b, shard, order in passes:
+        part = _neighbourhood(a, b, shard, order).mapInArrow(_compare(window), "pair string, l long, r long, event string, confidence double")
         found = part if found is None else found.unionByName(part)
     found = stage(found.groupBy("pair", "l", "r", "event").agg(F.max("confidence").alias("confidence")))
     b = buckets_for(found.count(), rows_per_bucket, left.sparkSession)
@@ -334,22 +369,18 @@ def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confid
 
 
 def match_quotes(quotes: DataFrame, results: DataFrame, **options) -> DataFrame:
-    """``match_events`` for tables in which one fixture or result may stand many times: ``l``, ``r``, ``confidence``.
+    """``match_events`` for quotes that may stand many times: ``l``, ``r``, ``confidence``.
 
-    Rows that agree in players, names, day, event and surface are compared once, by their smallest
-    id, and the answer goes to all of them; a result is answered by its smallest id.
+    Quotes that agree in players, names of unknown players, day, event and surface are compared
+    once, by their smallest id, and the answer goes to all of them. ``results`` has each result once.
     """
-    from rallyframe.operators.skew import skew_join
-
     # Known players stand for their names, however typed.
-    by = ["p1", "p2", "k1", "k2", "day", "event", "surface"]
-    known = lambda df: df.withColumns({"k1": F.when(F.col("p1").isNull(), F.col("n1")), "k2": F.when(F.col("p2").isNull(), F.col("n2"))})
-    once = [F.min(c).alias(c) for c in ("id", "n1", "n2")]
-    q, r = known(quotes), known(results)
-    mark = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in by]), 256)
-    q = stage(q.withColumn("mark", F.unhex(mark)))
-    one = q.groupBy("mark", *by).agg(*once).drop("k1", "k2")
-    two = r.groupBy(*by).agg(*once).drop("k1", "k2")
-    found = match_events(one.drop("mark"), two, **options)
-    answers = one.select("mark", F.col("id").alias("l")).join(found, "l").drop("l")
-    return skew_join(q.select(F.col("id").alias("l"), "mark"), answers, ["mark"]).select("l", "r", "confidence")
+    by = ["p1", "p2", "n1", "n2", "day", "event", "surface"]
+    q = quotes.withColumns({"n1": F.when(F.col("p1").isNull(), F.col("n1")), "n2": F.when(F.col("p2").isNull(), F.col("n2"))})
+    filled = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in by]
+    mark = ["h1", "h2"]  # 128 bits of the columns in ``by``
+    q = stage_table(q.withColumns({"h1": F.xxhash64(*filled), "h2": F.xxhash64(F.lit(2), *filled)}))
+    one = stage_table(q.groupBy(*mark, *by).agg(F.min("id").alias("id")))
+    found = match_events(one.drop(*mark), results, **options)
+    answers = one.select(*mark, F.col("id").alias("l")).join(found, "l").drop("l")
+    return skew_join(q.select(F.col("id").alias("l"), *mark), answers, mark).select("l", "r", "confidence")

@@ -14,8 +14,8 @@ from rallyframe.llm.names import link_names
 from rallyframe.llm.nearest_time import nearest_in_time
 from rallyframe.llm.pairwise import global_ranks, offence_defence
 from rallyframe.llm.text_quality import text_quality
-from rallyframe.operators.skew import skew_join
-from rallyframe.session import stage
+from rallyframe.operators.skew import hot_keys, skew_join, small
+from rallyframe.session import stage, stage_table
 from rallyframe.sources.tables import table
 
 FORMATTED = ["tourney_name", "round", "winner_name", "loser_name"]
@@ -68,24 +68,31 @@ def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     odds, tiny = table(spark, sf_dir, "odds_template"), table(spark, sf_dir, "tiny")
     surface = F.upper(F.substring(F.trim("surface"), 1, 1))
     surface = F.when(surface.isin("H", "C", "G"), surface)
-    quotes = stage(odds.select(F.col("odds_id").alias("id"), F.col("player1").alias("n1"), F.col("player2").alias("n2"), F.col("date").cast("date").alias("day"), F.col("tournament").alias("event"), surface.alias("surface")))
-    rows = tiny.select("row_id", "winner_name", "loser_name", clean_id("winner_id").alias("w"), clean_id("loser_id").alias("l"), "tourney_id", "tourney_name", surface.alias("surface"), usable_date("tourney_date").alias("day"), canonical_text("round").alias("round"), "score")
-    # A result sent again, alike or nearly, is one result: its first row, dated by its event where its own date is unusable.
-    same = rows.groupBy("tourney_id", "winner_name", "loser_name", "w", "l", "round", "score").agg(F.min("row_id").alias("id"), F.min("day").alias("day"), F.min(F.struct("row_id", "tourney_name", "surface")).alias("x"))
-    same = stage(same.select("*", F.col("x.tourney_name").alias("event"), F.col("x.surface").alias("surface")).drop("x"))
-    events = same.groupBy("tourney_id").agg(F.min("day").alias("event_day"), F.mode("event", True).alias("event_name"), F.mode("surface", True).alias("event_surface"))
-    typed = quotes.select(F.col("n1").alias("spelling")).union(quotes.select("n2"))
-    typed = typed.union(same.where("w is null").select("winner_name")).union(same.where("l is null").select("loser_name"))
+    quotes = stage_table(odds.select(F.col("odds_id").alias("id"), F.col("player1").alias("n1"), F.col("player2").alias("n2"), F.col("date").cast("date").alias("day"), F.col("tournament").alias("event"), surface.alias("surface")))
+    # A result sent again, alike or nearly, is one result: rows that agree in players, event, round and score are twins.
+    who = [clean_id("winner_id").alias("p1"), clean_id("loser_id").alias("p2")]
+    same = F.xxhash64(F.regexp_replace(F.upper("round"), "[^A-Z0-9]+", ""), F.coalesce("score", F.lit("")))
+    rows = tiny.select(*who, "winner_name", "loser_name", F.xxhash64("tourney_id").alias("t"), same.alias("m"), F.col("row_id").alias("id"), usable_date("tourney_date").alias("day"), F.col("tourney_name").alias("event"), surface.alias("surface"))
+    rows = rows.withColumns({"n1": F.when(F.col("p1").isNull(), F.col("winner_name")), "n2": F.when(F.col("p2").isNull(), F.col("loser_name"))}).drop("winner_name", "loser_name")
+    once = stage_table(rows.groupBy("p1", "p2", "n1", "n2", "t", "m", "event", "surface").agg(F.min("id").alias("id"), F.min("day").alias("day")))
+    typed = quotes.select(F.col("n1").alias("spelling")).union(quotes.select("n2")).union(once.where("n1 is not null").select("n1")).union(once.where("n2 is not null").select("n2"))
     links = stage(link_names(typed, _people(spark, sf_dir)).select("spelling", "player_id"))
 
-    def linked(df: DataFrame, name: str, to: str) -> DataFrame:
-        return skew_join(df, links.select(F.col("spelling").alias(name), F.col("player_id").alias(to)), [name], "left")
-
-    left = linked(linked(quotes, "n1", "p1"), "n2", "p2")
-    right = linked(linked(same, "winner_name", "w2"), "loser_name", "l2").withColumns({"p1": F.coalesce("w", "w2"), "p2": F.coalesce("l", "l2")})
-    right = right.groupBy("tourney_id", "p1", "p2", F.when(F.col("p1").isNull(), F.col("winner_name")).alias("k1"), F.when(F.col("p2").isNull(), F.col("loser_name")).alias("k2"), "round", "score").agg(F.min("id").alias("id"), F.min("day").alias("day"), F.min("winner_name").alias("n1"), F.min("loser_name").alias("n2"))
-    right = skew_join(right, events, ["tourney_id"], "left").select("id", "p1", "p2", "n1", "n2", F.coalesce("day", "event_day").alias("day"), F.col("event_name").alias("event"), F.col("event_surface").alias("surface"))
-    found = match_quotes(left.select("id", "p1", "p2", "n1", "n2", "day", "event", "surface"), right)
+    def linked(df: DataFrame, name: str, to: str, hot: list | None = None) -> DataFrame:
+        return skew_join(df, links.select(F.col("spelling").alias(name), F.col("player_id").alias(to)), [name], "left", hot=hot)
+
+    hot = [hot_keys(quotes, [n]) for n in ("n1", "n2")]
+    left = linked(linked(quotes, "n1", "p1", hot[0]), "n2", "p2", hot[1])
+    # Only rows without an id, or whose own date is unusable, need a name looked up or a date from their event.
+    gaps = F.col("n1").isNotNull() | F.col("n2").isNotNull() | F.col("day").isNull()
+    days = once.where("day is not null").groupBy("t").agg(F.min("day").alias("event_day"))
+    fixed = stage(once.where(gaps)).join(days, "t", "left").withColumn("day", F.coalesce("day", "event_day")).drop("event_day")
+    fixed = stage(linked(linked(fixed, "n1", "x1", []), "n2", "x2", []).withColumns({"p1": F.coalesce("p1", "x1"), "p2": F.coalesce("p2", "x2")}).drop("x1", "x2"))
+    columns = ["id", "p1", "p2", "n1", "n2", "day", "event", "surface"]
+    players = [F.coalesce("p1", "n1"), F.coalesce("p2", "n2")]
+    pair = [F.least(*players), F.greatest(*players)]
+    right = once.where(~gaps).unionByName(fixed.select(*once.columns)).select(*columns, F.xxhash64("t", "m", *pair).alias("twin"))
+    found = match_quotes(left.select(*columns), right)
     return found.select(F.col("l").alias("odds_id"), F.col("r").alias("row_id"), "confidence")
 
 
