@@ -81,3 +81,13 @@ def first_wins_union(frames: list[DataFrame], identity: list[str], order: list[s
         df = df.withColumn("source__", F.lit(i))
         both = df if both is None else both.unionByName(df, allowMissingColumns=True)
     return keep_first(both, identity, ["source__", *order]).drop("source__")
+
+
+def main_draw_targets(matches: DataFrame, rounds: tuple[str, ...] = ("Q1", "Q2", "Q3", "Q4")) -> DataFrame:
+    """``matches`` with ``is_target`` false in qualifying ``rounds``; such matches still feed the history."""
+    return matches.withColumn("is_target", F.col("is_target") & ~F.upper(F.trim("round")).isin(*rounds))
+
+
+def rounds_by_event(matches: DataFrame) -> DataFrame:
+    """The distinct rounds of each event, sorted: at most the number of round codes, however many matches."""
+    return matches.groupBy("tourney_id", "tourney_date").agg(F.sort_array(F.collect_set(F.upper(F.trim("round")))).alias("rounds"))

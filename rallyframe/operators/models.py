@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.functions.scalars import expected_score, expit, logit
@@ -279,6 +279,26 @@ class Ensemble:
     def predict(self, df: DataFrame) -> DataFrame:
         return self.combine(self.base(df))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write everything under ``path``: tree models by their own writers, the rest as one JSON text."""
+        about: dict = {"weights": self.weights.tolist(), "models": {}, "calibrator": self.calibrator.model.to_json() if self.calibrator.model else None}
+        for name, m in self.models.items():
+            if isinstance(m, Trees):
+                m.model.write().overwrite().save(f"{path}/{name}")
+                about["models"][name] = ["trees", m.columns, m.kind, m.options]
+            else:
+                about["models"][name] = ["logistic", m.to_json()] if isinstance(m, Logistic) else ["rating", m.column]
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Ensemble:
+        about = json.loads(spark.read.text(f"{path}/about", wholetext=True).first()[0])
+        models: dict = {}
+        for name, (kind, *rest) in about["models"].items():
+            models[name] = Trees(*rest, PipelineModel.load(f"{path}/{name}")) if kind == "trees" else Logistic.from_json(rest[0]) if kind == "logistic" else RatingBaseline(rest[0])
+        calibrator = Calibrator(model=Logistic.from_json(about["calibrator"])) if about["calibrator"] else Calibrator()
+        return Ensemble(models, np.array(about["weights"]), calibrator)
+
 
 def walk_forward(df: DataFrame, horizon: int, block: int = 28, min_train: int = 600, min_test: int = 80, make: Callable[[int, int], dict] | None = None, frozen: Ensemble | None = None) -> DataFrame:
     """Out-of-fold predictions: each block by models fitted on the ``horizon`` days before it.

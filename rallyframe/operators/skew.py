@@ -17,11 +17,11 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, at_least:
     never count as hot, as they join with nothing. An empty table has no hot keys.
     """
     counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n__"))
-    n = df.count()
-    floor = max(at_least, int(n * share))
-    if n < floor:
+    most = counts.where(F.col("n__") >= at_least).orderBy(F.desc("n__")).limit(int(1 / share) + 1).collect()
+    if not most:
         return []
-    return [tuple(r[k] for k in keys) for r in counts.where(F.col("n__") >= floor).select(*keys).collect()]
+    floor = df.count() * share
+    return [tuple(r[k] for k in keys) for r in most if r["n__"] >= floor]
 
 
 #: Rows up to which a table of a few columns may be broadcast (a few MB).

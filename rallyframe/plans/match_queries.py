@@ -10,7 +10,7 @@ from rallyframe.functions.scalars import match_rates, month, score_shares
 from rallyframe.operators import features as feat
 from rallyframe.operators import linking, metrics, models, selection
 from rallyframe.operators.history import decayed_means, head_to_head, last_known, past_counts, player_rows
-from rallyframe.operators.matches import ORDER, canonical_matches, keep_first
+from rallyframe.operators.matches import ORDER, canonical_matches, keep_first, main_draw_targets, rounds_by_event
 from rallyframe.operators.ratings import pre_match_ratings
 from rallyframe.operators.validation import event_weeks
 from rallyframe.session import stage
@@ -242,6 +242,18 @@ def m_event_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_weeks(canonical(spark, sf_dir))
 
 
+def m_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target matches by round before and after qualifying rounds are set aside."""
+    before = canonical(spark, sf_dir)
+    both = before.select("round", "is_target", F.lit(0).alias("after")).union(main_draw_targets(before).select("round", "is_target", F.lit(1)))
+    return both.groupBy("round").agg(F.sum((F.col("is_target") & (F.col("after") == 0)).cast("long")).alias("before"), F.sum((F.col("is_target") & (F.col("after") == 1)).cast("long")).alias("after"))
+
+
+def m_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rounds of each event."""
+    return rounds_by_event(canonical(spark, sf_dir)).withColumn("rounds", F.array_join("rounds", ","))
+
+
 def m_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth result in order: a systematic sample."""
     return systematic_sample(table(spark, sf_dir, "tiny").select("row_id", "tourney_id"), ["row_id"], 10)
@@ -357,5 +369,7 @@ select row_id, tourney_date, p, place, cap from x where place <= cap""",
 z as (select *, count(*) over (partition by tourney_date) sz from g), x as (select policy, gain, greatest(1, ceil(fraction * sz)) cap, row_number() over (partition by policy, tourney_date order by p desc, row_id) pl from z join k on p >= floor)
 select policy, count(*) n, round(avg(gain), 6) mean_gain from x where pl <= cap group by policy""",
     "m_event_weeks": f"with {_CANON} select tourney_date, coalesce(tourney_id, '') tourney_id, count(*) \"rows\", bool_or(upper(trim(round)) = 'F') has_final from c where tourney_level = 'C' group by 1, 2",
+    "m_targets": f"with {_CANON} select round, count(*) filter (is_target) before, count(*) filter (is_target and trim(round) not in ('Q1', 'Q2', 'Q3', 'Q4')) after from c group by round",
+    "m_rounds": f"with {_CANON} select tourney_id, tourney_date, array_to_string(list_sort(list(distinct upper(trim(round)))), ',') rounds from c group by 1, 2",
     "m_sample": "select row_id, tourney_id from (select row_id, tourney_id, row_number() over (order by row_id) - 1 n from tiny) where n % 10 = 0",
 }

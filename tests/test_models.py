@@ -83,3 +83,13 @@ def test_trees_fit_and_score(frame):
     t = models.Trees(X, "forest", {"numTrees": 5, "maxDepth": 3, "seed": 1}).fit(df)
     p = t.predict(df, "p")
     assert set(p.columns) == {*df.columns, "p"} and p.where("p between 0 and 1").count() == 900
+
+
+def test_ensembles_survive_saving(frame, spark, tmp_path):
+    df, *_ = frame
+    parts = {"rating": models.RatingBaseline(), "logistic": models.Logistic(X, 4.5).fit(df), "forest": models.Trees(X, "forest", {"numTrees": 3, "maxDepth": 2, "seed": 1}).fit(df)}
+    e = models.Ensemble(parts, np.array([0.2, 0.5, 0.3]), models.Calibrator(least=10).fit(parts["logistic"].predict(df, "p"), "p"))
+    e.save(spark, str(tmp_path / "e"))
+    again = models.Ensemble.load(spark, str(tmp_path / "e"))
+    a, b = [{r.row_id: r.predicted_probability for r in x.predict(df).collect()} for x in (e, again)]
+    assert a == pytest.approx(b) and len(a) == 900
