@@ -347,7 +347,8 @@ def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confid
     # Rows with one unknown player take part in two more orders, by the known one, with the rows of that player within the dates.
     one = F.col("p1").isNull() != F.col("p2").isNull()
     unsure = [stage(df.where(one).withColumn("x", F.coalesce("p1", "p2"))) for df in (left, right)]
-    if any(df.limit(1).count() for df in unsure):
+    some = [df.limit(1).count() > 0 for df in unsure]
+    if any(some):
         cell = F.floor(F.col("day") / (EARLY + LATE))
         near = lambda df: df.select("x", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
 
@@ -355,7 +356,7 @@ def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confid
             players = df.where(known).withColumns({"x": F.explode(F.array("p1", "p2")), "cell": cell})
             return players.join(small(near(other)), ["x", "cell"], "left_semi")
 
-        few = [own.unionByName(around(df, other).select(*own.columns)) for own, df, other in ((unsure[0], left, unsure[1]), (unsure[1], right, unsure[0]))]
+        few = [own.unionByName(around(df, other).select(*own.columns)) if met else own for own, df, other, met in ((unsure[0], left, unsure[1], some[1]), (unsure[1], right, unsure[0], some[0]))]
         few = [stage(df) for df in few]
         passes += [(*few, F.col("x"), [stem, F.col("day")]), (*few, F.col("x"), [F.col("day"), stem])]
     found = None
