@@ -41,7 +41,8 @@ def canonical_matches(raw: DataFrame, source_kind: str | Column = "main", source
     sides = []
     for s in ("winner", "loser"):
         ident = clean_id(col(f"{s}_id").cast("string"))
-        sides += [ident.alias(f"{s}_id"), col(f"{s}_name").alias(f"{s}_name"), F.coalesce(F.when(~ident.isin("nan", "None"), ident), F.concat(F.lit("name:"), normalize_name(col(f"{s}_name")))).alias(f"{s}_key")]
+        keyed = F.when(~ident.isin("nan", "None"), ident)
+        sides += [ident.alias(f"{s}_id"), col(f"{s}_name").alias(f"{s}_name"), F.coalesce(keyed, F.concat(F.lit("name:"), normalize_name(F.when(keyed.isNull(), col(f"{s}_name"))))).alias(f"{s}_key")]
         sides += [finite(col(f"{s}_{c}")).alias(f"{s}_{c}") for c in ("age", "ht", "rank", "rank_points")] + [text(col(f"{s}_entry")).alias(f"{s}_entry")]
     out = raw.select(
         *keep, file.alias("source_file"), kind.alias("source_kind"), col("tourney_id").cast("string").alias("tourney_id"), col("tourney_name").alias("tourney_name"),
