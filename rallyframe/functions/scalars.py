@@ -65,7 +65,7 @@ def score_shares(score: str | Column) -> tuple[Column, Column]:
     text = F.upper(F.trim(F.coalesce(_col(score), F.lit(""))))
     bare = F.regexp_replace(F.replace(F.replace(text, F.lit("RET"), F.lit("")), F.lit("DEF"), F.lit("")), r"\s+", " ")
     sets = F.transform(F.filter(F.split(bare, " "), lambda t: ~t.startswith("[")), lambda t: F.regexp_replace(t, r"\([^)]*\)", ""))
-    sets = F.transform(F.filter(sets, lambda t: t.rlike("^[0-9]+-[0-9]+$")), lambda t: F.transform(F.split(t, "-"), lambda x: x.cast("int")))
+    sets = F.transform(F.filter(sets, lambda t: t.rlike("^[0-9]{1,9}-[0-9]{1,9}$")), lambda t: F.transform(F.split(t, "-"), lambda x: x.cast("int")))
     add = lambda f: F.aggregate(sets, F.lit(0), lambda a, s: a + f(s))
     won, lost = add(lambda s: (s[0] > s[1]).cast("int")), add(lambda s: (s[0] < s[1]).cast("int"))
     games, other = add(lambda s: s[0]), add(lambda s: s[1])

@@ -31,11 +31,11 @@ def test_similarities():
 
 
 def test_scalars(spark):
-    df = spark.createDataFrame([("6-4 3-6 7-6(5)",), ("6-4 2-1 RET",), ("W/O",), ("7-6(8) 6-4 [10-7]",), ("",), (None,), ("6-6",)], "score string")
+    df = spark.createDataFrame([("6-4 3-6 7-6(5)",), ("6-4 2-1 RET",), ("W/O",), ("7-6(8) 6-4 [10-7]",), ("",), (None,), ("6-6",), ("99999999999-1 6-4",)], "score string")
     sets, games = s.score_shares("score")
     got = [tuple(r) for r in df.select(sets, games).collect()]
     assert got[0] == (2 / 3, 16 / 32) and got[1] == (1.0, 8 / 13) and got[2] == (None, None)
-    assert got[3] == (1.0, 13 / 23) and got[4] == got[5] == (None, None) and got[6] == (None, 0.5)
+    assert got[3] == (1.0, 13 / 23) and got[4] == got[5] == (None, None) and got[6] == (None, 0.5) and got[7] == (1.0, 0.6)
     one = spark.createDataFrame([(float("nan"), "X9", 0.0)], "a double, r string, z double")
     r = one.select(s.finite("a", 7.0), s.round_order("r"), s.round_day("r"), s.rank_seed("z"), s.expected_score(F.lit(0.0)), s.comma_number(F.lit("1,85")), s.comma_number(F.lit("0.9"))).first()
     assert tuple(r) == (7.0, 6, 2, 1500.0, 0.5, 1.85, None)
