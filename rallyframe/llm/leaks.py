@@ -1,4 +1,4 @@
-"""Evaluation passages in a corpus: SimHash windows, Hamming blocks and exact shingle similarity."""
+"""Evaluation passages in a corpus: SimHash windows, Hamming blocks, a shingle index and exact shingle similarity."""
 
 from __future__ import annotations
 
@@ -117,6 +117,93 @@ class ItemIndex:
         return np.concatenate(left) if left else np.empty(0, np.int64), np.concatenate(right) if right else np.empty(0, np.int64)
 
 
+class ShingleIndex:
+    """The windows of a block of items by their shingles: no pair of windows that reaches the similarity is lost."""
+
+    def __init__(self, rows: list[tuple[int, int, str]], width: int, shingle: int, similarity: float) -> None:
+        assert similarity > 0, "windows that share no shingle are never met"
+        self.width, self.similarity, self.size = width, similarity, min(shingle, width)
+        self.per = width - self.size + 1  # shingles of a window
+        self.words: dict[int, list[str]] = {item_id: words(text) for item_id, _, text in rows}
+        self.weight = word_weights(self.words)
+        known = word_hashes(list(self.weight))
+        order = np.argsort(known)
+        self.word, self.word_weight = known[order], np.array(list(self.weight.values()))[order]
+        item, start, whole, hashes, mass = [], [], [], [], []
+        for item_id, ws in self.words.items():
+            h = word_hashes(ws)
+            s = exact_windows(h, self.size)
+            hashes.append(s)
+            mass.append(_sums(self._weights(h), self.size))
+            item.append(np.full(len(s), item_id, dtype=np.int64))
+            start.append(np.arange(len(s)))
+            whole.append(np.arange(len(s)) <= len(ws) - width)
+        # A window has the number of its first shingle; the last shingles of an item begin no window.
+        self.item, self.start, self.whole = np.concatenate(item), np.concatenate(start), np.concatenate(whole)
+        m = np.concatenate(mass)
+        self.mass = _sums(np.concatenate([m, np.zeros(self.per - 1)]), self.per)
+        self.shingle, code = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.order = np.argsort(code, kind="stable")
+        self.count = np.bincount(code, minlength=len(self.shingle))
+        self.first = np.cumsum(self.count) - self.count
+
+    def _weights(self, h: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
+        return np.where(self.word[at] == h, self.word_weight[at], 1.0)
+
+    def near(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (window position, item window) that may reach the similarity, equal windows of ``h`` once.
+
+        The shingles of a window that are in any item, then those in the item window, bound what the
+        two share from above, and the heavier window bounds their union from below.
+        """
+        none = np.empty(0, np.int64)
+        s = exact_windows(h, self.size)
+        code = np.minimum(np.searchsorted(self.shingle, s), len(self.shingle) - 1)
+        hit = self.shingle[code] == s
+        if len(h) < self.width or not hit.any():
+            return none, none
+        mass = _sums(self._weights(h), self.size)
+        total = _sums(mass, self.per)
+        at = np.flatnonzero(_sums(mass * hit, self.per) >= self.similarity * total * (1 - 1e-9))
+        at = at[np.unique(exact_windows(h, self.width)[at], return_index=True)[1]]
+        if not len(at):
+            return none, none
+        work = np.cumsum(_sums(self.count[code] * hit, self.per)[at] * self.per)
+        left, right = [], []
+        for part in np.split(at, np.flatnonzero(np.diff(work // 2_000_000)) + 1):
+            p = part[:, None] + np.arange(self.per)
+            q = np.repeat(part, self.per)[hit[p].ravel()]
+            p = p.ravel()[hit[p].ravel()]
+            k = self.count[code[p]]
+            q, p = np.repeat(q, k), np.repeat(p, k)
+            g = self.order[np.repeat(self.first[code[p[np.cumsum(k) - k]]], k) + np.arange(len(q)) - np.repeat(np.cumsum(k) - k, k)]
+            w = g[:, None] - np.arange(self.per)
+            ok = (w >= 0) & self.whole[w] & (self.item[w] == self.item[g][:, None])
+            n = ok.sum(axis=1)
+            pair, back = np.unique(np.repeat(q, n) * len(self.item) + w[ok], return_inverse=True)
+            shared = np.bincount(back, weights=np.repeat(mass[p], n), minlength=len(pair))
+            q, w = pair // len(self.item), pair % len(self.item)
+            ok = shared >= self.similarity * np.maximum(total[q], self.mass[w]) * (1 - 1e-9)
+            left.append(q[ok])
+            right.append(w[ok])
+        return np.concatenate(left), np.concatenate(right)
+
+
+def _sums(x: np.ndarray, width: int) -> np.ndarray:
+    """Sums of each ``width`` consecutive numbers, each added up by itself."""
+    return np.lib.stride_tricks.sliding_window_view(x, width).sum(axis=1) if len(x) >= width else x[:0]
+
+
+def word_weights(items: dict[int, list[str]]) -> dict[str, float]:
+    """The weight of each word of the items, larger the fewer items have it."""
+    weight: dict[str, float] = {}
+    for ws in items.values():
+        for w in set(ws):
+            weight[w] = weight.get(w, 0.0) + 1.0
+    return {w: 1.0 + float(np.log(len(items) / n)) for w, n in weight.items()}
+
+
 def shingle_similarity(a: list[str], b: list[str], size: int, weight: dict[str, float] | None = None) -> float:
     """Weighted Jaccard similarity of the word shingles of two passages; a word's weight is 1 if not given."""
     def bag(ws: list[str]) -> dict[tuple[str, ...], float]:
@@ -133,12 +220,8 @@ def shingle_similarity(a: list[str], b: list[str], size: int, weight: dict[str,
 
 def _scan(rows: list[tuple[int, int, str]], width: int, radius: int, shingle: int, similarity: float, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(rows, width, radius)
-        weight: dict[str, float] = {}
-        for ws in index.words.values():
-            for w in set(ws):
-                weight[w] = weight.get(w, 0.0) + 1.0
-        weight = {w: 1.0 + float(np.log(len(index.words) / n)) for w, n in weight.items()}
+        index = ItemIndex(rows, width, radius) if exact else ShingleIndex(rows, width, shingle, similarity)
+        weight = word_weights(index.words)
         known: dict[str, int] = {}
         import xxhash
 
@@ -161,13 +244,13 @@ def _scan(rows: list[tuple[int, int, str]], width: int, radius: int, shingle: in
                 best: dict[int, float] = {}
                 for at in range(0, len(ws) - width + 1, CHUNK_WORDS):
                     piece = h[at : at + CHUNK_WORDS + width - 1]
-                    left, right = index.near(simhash_windows(piece, width))
-                    if not len(left):
-                        continue
-                    same = exact_windows(piece, width)[left] == index.exact[right]
-                    for q, w, eq in zip(left.tolist(), right.tolist(), same.tolist(), strict=True):
+                    left, right = index.near(simhash_windows(piece, width) if exact else piece)
+                    if exact and len(left):
+                        same = exact_windows(piece, width)[left] == index.exact[right]
+                        left, right = left[same], right[same]
+                    for q, w in zip(left.tolist(), right.tolist(), strict=True):
                         item = int(index.item[w])
-                        if best.get(item, 0.0) >= 1.0 or (exact and not eq):
+                        if best.get(item, 0.0) >= 1.0:
                             continue
                         there = ws[at + q : at + q + width]
                         mine = index.words[item][index.start[w] : index.start[w] + width]
@@ -201,11 +284,13 @@ def item_blocks(items: DataFrame, item_id: str, text: str, limit: int = ITEM_WIN
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 12, radius: int = 3, shingle: int = 5, similarity: float = 0.8, exact: bool = False) -> DataFrame:
     """Documents that hold a passage of ``width`` words of an item: ``doc_id``, ``item_id``, ``similarity``.
 
-    Every window of ``width`` words of the documents and of the items gets a 64-bit SimHash; all
-    pairs within ``radius`` bits are found through BLOCKS block tables (pigeonhole, none is lost)
-    and verified by the weighted Jaccard similarity of their ``shingle``-word shingles, at least
-    ``similarity``; with ``exact`` the words must be equal, which leaves radius 0 of the index. A
-    pair of document and item is one row, with its best similarity.
+    A window of ``width`` words of a document and one of an item count if the weighted Jaccard
+    similarity of their ``shingle``-word shingles is at least ``similarity``, or their words are
+    equal. Such windows share shingles, so candidates come from an index of the items' shingles,
+    pruned by bounds of the similarity, and none is lost. With ``exact`` the words must be equal:
+    every window gets a 64-bit SimHash, all pairs within ``radius`` bits are found through BLOCKS
+    block tables (pigeonhole), and equal windows are among them. A pair of document and item is one
+    row, with its best similarity.
 
     The items are a stated query set: they go over the corpus in blocks of bounded size, each block
     a broadcast of at most ITEM_WINDOWS windows, so a larger item table means more passes and never

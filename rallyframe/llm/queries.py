@@ -118,8 +118,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents holding a passage close to one of an evaluation item, with the similarity."""
-    found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), width=24)
+    """Documents holding 12 words close to 12 of an evaluation item, with the similarity."""
+    found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 

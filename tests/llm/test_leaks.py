@@ -61,6 +61,36 @@ def test_near_passages_are_found_within_the_radius(spark):
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 1)] and got[0].similarity == 1.0
 
 
+def test_near_passages_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    common = V[:12]  # in every item, so of little weight
+    text = lambda n: [rng.choice(common if rng.random() < 0.3 else V) for _ in range(n)]
+    items = {i: text(n) for i, n in enumerate([40, 14, 12, 60, 25, 11])} | {6: ["w1"] * 20}
+    docs = [["w1"] * 30]
+    for d in range(160):
+        w = list(items[d % 6])
+        n = min(len(w), rng.choice([12, 13, 16, 24, 30]))
+        s = rng.randrange(0, len(w) - n + 1)
+        w = w[s : s + n]
+        for at in rng.choice([[0], [-1], [0, -1], [0, 1], [n // 2], []]):
+            w[at] = rng.choice(common)
+        docs.append(text(rng.randrange(0, 20)) + w + text(rng.randrange(0, 20)))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    for width, chunk in ((12, leaks.CHUNK_WORDS), (12, 16), (24, leaks.CHUNK_WORDS)):
+        weight = leaks.word_weights({i: w for i, w in items.items() if len(w) >= width})
+        want = {}
+        for d, w in enumerate(docs):
+            for i, v in items.items():
+                a, b = [[x[k : k + width] for k in range(len(x) - width + 1)] for x in (w, v)]
+                s = max((1.0 if x == y else shingle_similarity(x, y, 5, weight) for x in a for y in b), default=0.0)
+                if s >= 0.8:
+                    want[d, i] = s
+        monkeypatch.setattr(leaks, "CHUNK_WORDS", chunk)
+        got = {(r.doc_id, r.item_id): r.similarity for r in leaked_items(df, it, width=width).collect()}
+        assert got == want and sum(s < 1.0 for s in want.values()) > 5
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     rng = random.Random(9)
     rows = [(i, 0, " ".join(rng.choice(V) for _ in range(30))) for i in range(20)]
