@@ -120,15 +120,15 @@ class Assignment:
 
 
 _FIELDS = ["side", "id", "p1", "p2", "n1", "n2", "day", "event", "surface", "twin"]
-def _neighbourhood(left: DataFrame, right: DataFrame, shard: F.Column, order: list[F.Column]) -> DataFrame:
-    """Both tables sorted together by ``order``, within shards of a key and a stretch of days.
+def _neighbourhood(left: DataFrame, right: DataFrame, shard: F.Column, order: list[F.Column], days: int = STRETCH) -> DataFrame:
+    """Both tables sorted together by ``order``, within shards of a key and a stretch of ``days``.
 
-    A right row near the edge of its stretch stands in the next one too, so each shard has every
+    A right row near the edge of its stretch stands in the next ones too, so each shard has every
     neighbour that its left rows may be about, and a key that holds a third of the rows is many shards.
     """
-    stretch = lambda d: F.floor(d / F.lit(STRETCH)).cast("int")
+    stretch = lambda d: F.floor(d / F.lit(days)).cast("int")
     ask = left.withColumns({"side": F.lit(0), "stretch": stretch(F.col("day"))})
-    have = right.withColumns({"side": F.lit(1), "stretch": F.explode(F.array_distinct(F.array(stretch(F.col("day") - EARLY), stretch(F.col("day") + LATE))))})
+    have = right.withColumns({"side": F.lit(1), "stretch": F.explode(F.sequence(stretch(F.col("day") - EARLY), stretch(F.col("day") + LATE)))})
     places = [f"o{i}" for i in range(len(order))]
     rows = ask.unionByName(have).select(shard.alias("key"), "stretch", *[c.alias(o) for c, o in zip(order, places, strict=True)], *_FIELDS).where("key is not null")
     return rows.repartition(partitions(left.sparkSession), "key", "stretch").sortWithinPartitions("key", "stretch", *places, "side", "id")
@@ -229,10 +229,6 @@ def _compare(window: int):
             two = (l1[i] >= 0) & (l2[i] >= 0) & (((l1[i] == r1[j]) & (l2[i] == r2[j])) | ((l1[i] == r2[j]) & (l2[i] == r1[j])))
             score = np.zeros(len(i))
             score[two] = _both_shared(left, right, i[two], j[two], (lday[i] - rday[j])[two])
-            seen: dict = {}
-            for k in np.flatnonzero(~two & ((l1[i] < 0) | (l2[i] < 0) | (r1[j] < 0) | (r2[j] < 0))).tolist():
-                q, r = [tuple(x.column(c)[int(n[k])].as_py() for c in _FIELDS) for x, n in ((left, i), (right, j))]
-                score[k] = confidence(q, r, seen)
             keep = np.flatnonzero(score > 0.5)
             a, b = pa.array(i[keep]), pa.array(j[keep])
             mark = [right.column(c).take(b).fill_null("") for c in ("p1", "p2")]
@@ -245,6 +241,65 @@ def _compare(window: int):
     return run
 
 
+def _compare_unsure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs within the dates of a shard of one known player in which the other player is unknown on a side."""
+    names = ["pair", "l", "r", "event", "confidence"]
+    out: dict[str, list] = {c: [] for c in names}
+    tables = [b for b in batches if b.num_rows]
+    if tables:
+        t = pa.Table.from_batches(tables)
+        # Shards stand one after another; within one, right rows are sorted by day.
+        key, stretch = t.column("key").combine_chunks().dictionary_encode().indices.to_numpy(), t.column("stretch").to_numpy()
+        shard = np.concatenate([[0], np.cumsum((np.diff(key) != 0) | (np.diff(stretch) != 0))])
+        x = t.column("key")
+        t = t.select(_FIELDS).cast(_SCHEMA)
+        side = t.column("side").to_numpy()
+        ids, twin, day = [t.column(c).to_numpy().astype(np.int64) for c in ("id", "twin", "day")]
+        place = shard * (1 << 26) + day + (1 << 25)
+        # The player that is not the shard's, with the name that is compared.
+        first = pc.fill_null(pc.equal(t.column("p1"), x), False)
+        other = pc.if_else(first, t.column("p2"), t.column("p1"))
+        name = pc.if_else(first, t.column("n2"), t.column("n1")).combine_chunks().dictionary_encode()
+        unknown = other.is_null().to_numpy()
+        code = name.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        plain = [" ".join(sorted(event_words(n))) for n in name.dictionary.to_pylist()]
+        least: dict[int, int] = {}
+        for k, n in zip(twin[side == 1].tolist(), ids[side == 1].tolist(), strict=True):
+            least[k] = min(n, least.get(k, n))
+        alike: dict[tuple[int, int], bool] = {}
+        seen: dict = {}
+        row = lambda n: tuple(t.column(c)[n].as_py() for c in _FIELDS)
+        named = code >= 0
+        for ask, have in ((unknown, np.ones(len(t), bool)), (~unknown, unknown)):
+            i, j = np.flatnonzero((side == 0) & named & ask), np.flatnonzero((side == 1) & named & have)
+            low = np.searchsorted(place[j], place[i] - LATE, side="left")
+            count = np.searchsorted(place[j], place[i] + EARLY, side="right") - low
+            work = np.cumsum(count)
+            for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(work // 2_000_000)) + 1):
+                k = count[part]
+                a = np.repeat(i[part], k)
+                b = j[np.repeat(low[part], k) + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)]
+                ok = shard[a] == shard[b]
+                a, b = a[ok], b[ok]
+                both, back = np.unique(code[a] * (len(plain) + 1) + code[b], return_inverse=True)
+                fits = np.zeros(len(both), dtype=bool)
+                for n, (m, w) in enumerate(zip((both // (len(plain) + 1)).tolist(), (both % (len(plain) + 1)).tolist(), strict=True)):
+                    if (m, w) not in alike:
+                        # A name much longer than the other is not worth its edits.
+                        p, q = plain[m], plain[w]
+                        alike[m, w] = min(len(p), len(q)) >= 0.59 * max(len(p), len(q)) and 0.5 + 0.5 * _ratio(p, q) >= 0.8
+                    fits[n] = alike[m, w]
+                ok = fits[back]
+                for m, w in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+                    q, r = row(m), row(w)
+                    c = confidence(q, r, seen)
+                    if c > 0.5:
+                        for k, v in zip(names, ("|".join(sorted((r[2] or "", r[3] or ""))), q[1], least[r[9]], q[7], c), strict=True):
+                            out[k].append(v)
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
+    yield pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in zip(names, types, strict=True)], names=names)
+
+
 def _assign(confident: float):
     def run(t: pa.Table) -> pa.Table:
         rows = sorted(zip(*[t.column(c).to_pylist() for c in ("pair", "l", "r", "event", "confidence")], strict=True), key=lambda x: (x[0], x[1], -x[4], x[2]))
@@ -316,7 +371,7 @@ def _assign_pair(rows: list[tuple], confident: float, out: dict[int, tuple[float
                 out[l] = (c, r)
 
 
-def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confident: float = CONFIDENT, rows_per_bucket: int = 200_000) -> DataFrame:
+def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confident: float = CONFIDENT, rows_per_bucket: int = 200_000, people: DataFrame | None = None) -> DataFrame:
     """The row of ``right`` that each row of ``left`` is about: ``l``, ``r`` (ids) and ``confidence`` (0 to 1).
 
     Rows of ``right`` that are one thing written again may share a number ``twin`` (they must agree in
@@ -324,10 +379,10 @@ def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confid
     ``n2`` (their names as typed), ``day`` (date), ``event`` and ``surface``. Rows of a table that
     are equal but for ``id`` should be given once (``match_quotes`` sees to the quotes).
 
-    The tables are sorted together by several composite keys: both players and day; and, for rows with
-    an unknown player and the rows they may be about, the known player, event and day, and the known
-    player, day and event. In each
-    order every left row is compared with the ``window`` right rows before and after it. Rows within the dates' tolerance that share a player
+    The tables are sorted together by both players and day, and every left row is compared with the
+    ``window`` right rows before and after it. Rows with one unknown player are compared with all rows
+    of the known player within the dates, in shards of player and week. ``people`` (``player_id``,
+    ``name``) names known players that come without a name, for these comparisons. Rows within the dates' tolerance that share a player
     get a confidence, the weighted mean of the similarities of players, event, date and surface over
     the fields that both have. Candidates are then assigned per pair of players so that total
     confidence is largest with each event of left going to one row of right; ties go to the smaller
@@ -340,11 +395,11 @@ def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confid
     twin = lambda df: F.col("twin") if "twin" in df.columns else F.col("id").cast("long")
     slim = lambda df: df.select(F.col("id").cast("long").alias("id"), "p1", "p2", "n1", "n2", F.unix_date(F.col("day").cast("date")).alias("day"), "event", "surface", twin(df).alias("twin")).where("id is not null and day is not null")
     left, right = slim(left), slim(right)
-    stem = F.substring(F.array_join(F.array_sort(F.filter(F.split(F.lower("event"), "[^a-z0-9]+"), lambda w: (F.length(w) > 3) & ~w.isin(*EVENT_NOISE))), ""), 1, 5)
     known = F.col("p1").isNotNull() & F.col("p2").isNotNull()
     pair = F.when(known, F.concat_ws("|", F.least("p1", "p2"), F.greatest("p1", "p2")))
-    passes = [(left, right, pair, [F.col("day")])]
-    # Rows with one unknown player take part in two more orders, by the known one, with the rows of that player within the dates.
+    schema = "pair string, l long, r long, event string, confidence double"
+    found = _neighbourhood(left, right, pair, [F.col("day")]).mapInArrow(_compare(window), schema)
+    # Rows with one unknown player meet all rows of the known one within the dates.
     one = F.col("p1").isNull() != F.col("p2").isNull()
     unsure = [stage(df.where(one).withColumn("x", F.coalesce("p1", "p2"))) for df in (left, right)]
     some = [df.limit(1).count() > 0 for df in unsure]
@@ -357,12 +412,11 @@ def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confid
             return players.join(small(near(other)), ["x", "cell"], "left_semi")
 
         few = [own.unionByName(around(df, other).select(*own.columns)) if met else own for own, df, other, met in ((unsure[0], left, unsure[1], some[1]), (unsure[1], right, unsure[0], some[0]))]
-        few = [stage(df) for df in few]
-        passes += [(*few, F.col("x"), [stem, F.col("day")]), (*few, F.col("x"), [F.col("day"), stem])]
-    found = None
-    for a, b, shard, order in passes:
-        part = _neighbourhood(a, b, shard, order).mapInArrow(_compare(window), "pair string, l long, r long, event string, confidence double")
-        found = part if found is None else found.unionByName(part)
+        if people is not None:
+            named = people.where("player_id is not null").groupBy("player_id").agg(F.min("name").alias("name"))
+            for p, n in (("p1", "n1"), ("p2", "n2")):
+                few = [skew_join(df, named.select(F.col("player_id").alias(p), F.col("name").alias("name")), [p], "left").withColumn(n, F.coalesce(n, "name")).drop("name") for df in few]
+        found = found.unionByName(_neighbourhood(*[stage(df) for df in few], F.col("x"), [F.col("day")], days=WEEK + 1).mapInArrow(_compare_unsure, schema))
     found = stage(found.groupBy("pair", "l", "r", "event").agg(F.max("confidence").alias("confidence")))
     b = buckets_for(found.count(), rows_per_bucket, left.sparkSession)
     chosen = found.groupBy(F.pmod(F.xxhash64("pair"), F.lit(b)).alias("b")).applyInArrow(_assign(confident), "l long, r long, confidence double")

@@ -92,7 +92,7 @@ def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     players = [F.coalesce("p1", "n1"), F.coalesce("p2", "n2")]
     pair = [F.least(*players), F.greatest(*players)]
     right = once.where(~gaps).unionByName(fixed.select(*once.columns)).select(*columns, F.xxhash64("t", "m", *pair).alias("twin"))
-    found = match_quotes(left.select(*columns), right)
+    found = match_quotes(left.select(*columns), right, people=_people(spark, sf_dir))
     return found.select(F.col("l").alias("odds_id"), F.col("r").alias("row_id"), "confidence")
 
 

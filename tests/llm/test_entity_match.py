@@ -51,6 +51,20 @@ def test_neighbours_across_partitions_are_found(spark):
     assert got == {(1000 + i, i) for i in range(400)}
 
 
+def test_unlinked_opponents_of_a_hot_player_are_found(spark):
+    rng = random.Random(8)
+    name = lambda i: " ".join("".join(rng.choice("abcdefghijklmnoprstuvz") for _ in range(9)) for _ in range(2))
+    people = [(f"k{i}", name(i)) for i in range(90)]
+    # 30 results a week; of every third the opponent is not linked either.
+    right = [(i, "hot", None if i % 3 == 0 else k, None, n if i % 3 == 0 else None, D + timedelta(7 * (i // 30)), f"{'LOV'[i // 30]}yon Open", "H") for i, (k, n) in enumerate(people)]
+    left = [(1000 + i, None, "hot", n.replace(n[3], "q", 1), None, right[i][5] + timedelta(i % 9), "Zz" + right[i][6], "H") for i, (_, n) in enumerate(people)]
+    # A linked opponent whose result has only a name.
+    left += [(2000 + i, "hot", people[i][0], None, None, right[i][5] + timedelta(2), right[i][6], "H") for i in range(0, 90, 3)]
+    a, b, p = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), spark.createDataFrame(people, "player_id string, name string")
+    got = {(r.l, r.r) for r in m.match_quotes(a, b, people=p).collect()}
+    assert got == {(1000 + i, i) for i in range(90)} | {(2000 + i, i) for i in range(0, 90, 3)}
+
+
 def test_empty_tables(spark):
     left, right = tables(spark)
     assert m.match_quotes(left.limit(0), right).count() == 0 and m.match_quotes(left, right.limit(0)).count() == 0
