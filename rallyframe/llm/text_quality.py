@@ -17,7 +17,7 @@ from rallyframe.session import partitions
 CHUNK_CHARS = 1 << 20
 #: Chunks merged at each level of the tree.
 FAN_IN = 32
-#: Characters kept from either end of an unfinished line.
+#: Characters kept from either end of an unfinished line, blanks before and after it set aside.
 EDGE = 24
 
 # Frequent function words of English, German, French and Spanish.
@@ -51,6 +51,7 @@ _LINE = ("chars", "words", "letters", "digits", "symbols", "common", "cells", "s
 def _line(s: str) -> dict:
     """The counts of a line or a piece of one, with its two ends."""
     ws = _WORD.findall(s)
+    solid = s.strip()
     common = 0
     for w in ws:
         if w.lower() in COMMON:
@@ -64,8 +65,10 @@ def _line(s: str) -> dict:
         "common": common,
         "cells": s.count("\t") + s.count("|") + s.count(";") + s.count(">") + s.count("="),
         "spaces": s.count(" "),
-        "head": s[:EDGE],
-        "tail": s[-EDGE:],
+        "lead": len(s) - len(s.lstrip()),
+        "trail": len(s) - len(s.rstrip()),
+        "head": solid[:EDGE],
+        "tail": solid[-EDGE:],
     }
 
 
@@ -73,12 +76,15 @@ def _join(a: dict, b: dict) -> dict:
     """Two pieces of one line as one: counts add, and a word cut between them is put right."""
     out = {k: a[k] + b[k] for k in _LINE}
     left, right = _LAST_WORD.search(a["tail"]), _FIRST_WORD.match(b["head"])
-    if left and right:
+    if left and right and not a["trail"] and not b["lead"]:
         x, y = left.group().lower(), right.group().lower()
         out["words"] -= 1
         out["common"] += (x + y in COMMON) - (x in COMMON) - (y in COMMON)
-    out["head"] = a["head"] if len(a["head"]) == EDGE else (a["head"] + b["head"])[:EDGE]
-    out["tail"] = b["tail"] if len(b["tail"]) == EDGE else (a["tail"] + b["tail"])[-EDGE:]
+    out["lead"] = a["lead"] if a["head"] else a["chars"] + b["lead"]
+    out["trail"] = b["trail"] if b["head"] else a["trail"] + b["chars"]
+    gap = " " * min(a["trail"] + b["lead"], EDGE) if a["head"] and b["head"] else ""
+    out["head"] = a["head"] if len(a["head"]) == EDGE else (a["head"] + gap + b["head"])[:EDGE]
+    out["tail"] = b["tail"] if len(b["tail"]) == EDGE else (a["tail"] + gap + b["tail"])[-EDGE:]
     return out
 
 
@@ -96,7 +102,7 @@ def is_junk(x: dict) -> bool:
         return True
     if ended and x["words"] >= 4 and x["common"]:
         return False
-    if _BULLET.match(x["head"]) and not (ended and x["words"] >= 4):
+    if _BULLET.match(x["head"] + " " * (x["trail"] > 0)) and not (ended and x["words"] >= 4):
         return True
     if x["cells"] and x["common"] <= 0.25 * x["words"] + x["cells"]:
         return True

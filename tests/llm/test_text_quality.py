@@ -28,6 +28,16 @@ def test_lines(line, junk):
     assert t.is_junk(t._line(line)) is junk
 
 
+@pytest.mark.parametrize("blank", [" " * 30, "\u2003\u00a0" * 20])
+def test_blanks_around_a_line_change_nothing(blank):
+    for line, junk, end in (("The walls hold.", 0, 1), ("- the water tower", 1, 0), ("a)", 1, 0), ("the map", 0, 0)):
+        for text in (blank + line, line + blank, blank + line + blank):
+            want = t.partial("\n" + text + "\n")["sums"]
+            assert (want["junk_lines"], want["line_ends"]) == (int(junk and (line != "a)" or text.endswith(blank))), end)
+            for n in (1, 7, 25):
+                assert whole(text, n) == t.finish(t.partial(text))
+
+
 def test_documents_long_and_short(spark):
     prose, junk = "The boat is on the lake. It was very cold there.\n" * 40, "- a small engine\nstand gate bell mast net\n" * 30
     rows = [(1, prose, "a"), (2, junk, "a"), (3, None, "a"), (4, "", "a"), (5, "x" * 5000, "a"), (1, prose, "b"), (None, prose, "c"), (6, prose + junk, "a")]
