@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.functions.names import full_anchor, full_signatures, normalize_name, pair_key, short_anchor, short_signature
 from rallyframe.functions.scalars import logit, two_way_probability
-from rallyframe.functions.similarity import event_similarity, name_similarity
+from rallyframe.functions.similarity import event_similarity, pair_scores
 from rallyframe.session import stage
 
 
@@ -47,6 +47,18 @@ def _near(f: DataFrame, q: DataFrame, keys: list[str], days: int) -> DataFrame:
     return met.withColumn("gap", F.abs(F.datediff("qday", "fday"))).where(F.col("gap") <= days)
 
 
+def _similar_events(f: DataFrame, q: DataFrame, days: int, least: float = 0.45) -> DataFrame:
+    """Pairs of event names (``fevent``, ``qevent``) at least ``least`` alike, of rows and quotes within ``days``.
+
+    Compared are the distinct names of neighbouring cells of the calendar, so the work follows the
+    events of a few days and not the rows. Null and empty names are like nothing.
+    """
+    cell = lambda d: F.floor(F.unix_date(d) / (days + 1))
+    own = f.select("fevent", cell("fday").alias("cell")).dropna().distinct()
+    near = q.select("qevent", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: cell("qday") + i)).alias("cell")).dropna().distinct()
+    return own.join(near, "cell").select("fevent", "qevent").distinct().where(event_similarity("fevent", "qevent", " challenger") >= least)
+
+
 def _audit(f: DataFrame, best: DataFrame, feature_id: str) -> DataFrame:
     return f.select("f").join(best, "f", "left").withColumnRenamed("f", feature_id)
 
@@ -112,8 +124,8 @@ def link_anchors(features: DataFrame, quotes: DataFrame, feature_id: str = "row_
     """As ``link_exact`` for loosely written names: candidates by surname anchors, chosen by weighted similarity.
 
     Candidates come in tiers, each for the rows that the tier before left without one: both anchors
-    equal; one anchor equal; and with ``weights.by_date`` quotes within the days of an event that
-    shares a telling word and is at least 0.45 alike (all quotes of the days would be a cross join). The best total wins. Rows whose best pair is below
+    equal; one anchor equal; and with ``weights.by_date`` all quotes within the days whose event is
+    at least 0.45 alike (rows whose days have no such event stay without a candidate). The best total wins. Rows whose best pair is below
     ``min_pair`` are low_name_score, those whose runner-up is a good pair within ``margin`` ambiguous,
     those without a candidate no_candidate. Ties go to the better pair, event and date, then the
     smaller quote id. The audit has pair, total, margin, candidates and the tier.
@@ -121,7 +133,7 @@ def link_anchors(features: DataFrame, quotes: DataFrame, feature_id: str = "row_
     f, q = _sides(features, quotes, day, feature_id, quote_id)
     f = f.withColumns({"a1": full_anchor(F.col("na")), "a2": full_anchor(F.col("nb"))}).withColumn("pair", pair_key("a1", "a2"))
     q = q.withColumns({"q1": short_anchor(F.col("n1")), "q2": short_anchor(F.col("n2"))}).withColumn("pair", pair_key("q1", "q2"))
-    shape = ["f", "q", "gap", "fevent", "qevent", "player_a", "player_b", "player1", "player2", "tier"]
+    shape = ["f", "q", "gap", "fevent", "qevent", "na", "nb", "n1", "n2", "tier"]
     first = stage(_near(f, q, ["pair"], max_gap).withColumn("tier", F.lit("pair_anchor")).select(*shape))
     rest = f.join(first.select("f").distinct(), "f", "left_anti")
     one = rest.withColumn("anchor", F.explode(F.array_distinct(F.filter(F.array("a1", "a2"), lambda x: x != "")))).drop("pair")
@@ -130,13 +142,10 @@ def link_anchors(features: DataFrame, quotes: DataFrame, feature_id: str = "row_
     found = first.unionByName(second)
     if weights.by_date:
         left = rest.join(second.select("f").distinct(), "f", "left_anti").drop("pair")
-        telling = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: (F.length(w) > 3) & (w != "challenger"))))
-        third = _near(left.withColumn("word", telling("fevent")), q.drop("pair").withColumn("word", telling("qevent")), ["word"], max_gap).dropDuplicates(["f", "q"])
-        third = third.withColumn("tier", F.lit("date_fallback")).select(*shape).where(event_similarity("fevent", "qevent", " challenger") >= 0.45)
+        third = _near(left.join(_similar_events(left, q, max_gap), "fevent"), q.drop("pair"), ["qevent"], max_gap)
+        third = third.withColumn("tier", F.lit("date_fallback")).select(*shape)
         found = found.unionByName(third)
-    scored = found.withColumn("event_similarity", event_similarity("fevent", "qevent", " challenger"))
-    similar = lambda a, b: name_similarity(a, b, weights.initials)
-    scored = scored.withColumns({"direct": 0.5 * (similar("player_a", "player1") + similar("player_b", "player2")), "turned": 0.5 * (similar("player_a", "player2") + similar("player_b", "player1"))})
+    scored = pair_scores(found, ("na", "nb"), ("n1", "n2"), ("fevent", "qevent"), weights.initials, " challenger")
     scored = scored.withColumns({"pair_score": F.greatest("direct", "turned"), "swapped": F.col("turned") > F.col("direct")})
     near = F.greatest(F.lit(0.0), 1.0 - F.col("gap") / (max_gap + 1.0))
     scored = scored.withColumn("total", weights.pair * F.col("pair_score") + weights.event * F.col("event_similarity") + weights.date * near)

@@ -54,3 +54,15 @@ def test_empty_sides(tables):
     f, q = tables
     assert {r.status for r in linking.link_exact(f, q.limit(0), day="date")[1].collect()} == {"no_pair"}
     assert linking.link_anchors(f.limit(0), q)[1].count() == 0
+
+
+def test_rows_meet_quotes_of_a_similar_event_without_a_shared_word(spark):
+    f = spark.createDataFrame([(1, D, "Ana Silva", "Bo Berg", "Ulm"), (2, D, "Ana Silva", "Bo Berg", None)], "row_id long, date date, player_a string, player_b string, tourney_name string")
+    q = spark.createDataFrame([(7, D, "Silvq A.", "Borg B.", 1.5, 2.5, "Ulm Cup", "s"), (8, D, "Silvq A.", "Borg B.", 1.5, 2.5, "Zagreb", "s")], "odds_id long, date date, player1 string, player2 string, odd1 double, odd2 double, tournament string, source string")
+    got = {r.row_id: r for r in linking.link_anchors(f, q, weights=linking.WIDE)[1].collect()}
+    assert (got[1].odds_id, got[1].tier, got[1].candidates) == (7, "date_fallback", 1) and got[2].status == "no_candidate"
+
+
+@pytest.mark.parametrize(("full", "short", "expected"), [("Ana Silva Costa", "Silva A.", 1.0), ("Ana Silva Costa", "Silva C. A.", 0.84 + 0.16 / 2), ("Ana Silva", "ana SILVA", 1.0), ("Ana Silva", "Li", 0.84 * 2 / 7), ("", "x", 0.0), (None, None, 0.0)])
+def test_short_names(full, short, expected):
+    assert short_name_similarity(full, short) == pytest.approx(expected, abs=0.02)
