@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rallyframe.functions.dates import clean_id, usable_date
 from rallyframe.operators.asof import known_at
 from rallyframe.operators.rolling import rolling_totals
+from rallyframe.operators.skew import lookup_join
 from rallyframe.sources.tables import table
 
 
@@ -34,7 +35,7 @@ def p7_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose winner's height or age differs from the record in force on their day."""
     bio = table(spark, sf_dir, "player_bio").select("bio_id", "ht", F.col("birth_date").cast("date").alias("born"))
-    rows = _in_force(spark, sf_dir).join(_events(spark, sf_dir), "row_id").join(bio, "bio_id")
+    rows = lookup_join(_in_force(spark, sf_dir).join(_events(spark, sf_dir), "row_id"), bio, ["bio_id"])
     age = F.datediff("day", "born") / F.lit(365.25)
     wrong_ht = F.coalesce((F.col("winner_ht") != F.col("ht")) & ~F.isnan("winner_ht") & ~F.isnan("ht"), F.lit(False))
     wrong_age = F.coalesce((F.abs(F.col("winner_age") - age) > 0.5) & ~F.isnan("winner_age"), F.lit(False))
