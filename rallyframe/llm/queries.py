@@ -19,6 +19,7 @@ from rallyframe.session import stage, stage_table
 from rallyframe.sources.tables import table
 
 FORMATTED = ["tourney_name", "round", "winner_name", "loser_name"]
+CODES = ["round"]
 DELIVERY = ["source_file", "ingested_at"]
 
 
@@ -103,12 +104,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each result row that repeats another but for formatting, with the first of its copies."""
-    return canonical_copies(table(spark, sf_dir, "tiny"), "row_id", FORMATTED, DELIVERY).distinct()
+    return canonical_copies(table(spark, sf_dir, "tiny"), "row_id", FORMATTED, DELIVERY, CODES).distinct()
 
 
 def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct result once, with the number of its copies."""
-    return canonical_groups(table(spark, sf_dir, "tiny"), "row_id", FORMATTED, DELIVERY)
+    return canonical_groups(table(spark, sf_dir, "tiny"), "row_id", FORMATTED, DELIVERY, CODES)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,18 +147,14 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p6_records": p6_records, "p8_found": p8_found, "p8_near": p8_near, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats}
 
 _DAY = "case when regexp_matches(tourney_date, '^[0-9]{8}$') then cast(try_strptime(tourney_date, '%Y%m%d') as date) end"
-_WORDS = "list_filter(regexp_split_to_array(regexp_replace(translate(lower({0}), '''’‘`´ʼ', ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
-_CANON = "(with w as (select {w} l) select case when len(list_filter(l, lambda x: length(x) > 3)) = 0 and (len(l) = 1 or len(list_filter(l, lambda x: length(x) = 1)) > 0) then array_to_string(l, '') else array_to_string(list_sort(l), ' ') end from w)"
-
-
-def _canon(c: str) -> str:
-    return _CANON.format(w=_WORDS.format(c))
-
-
+_PLAIN = "translate(lower({0}), '''’‘`´ʼ', '')"
+# Word order set aside: sorted words. In round a gap may stand between any two characters, so their order is set aside.
+_SORTED = "array_to_string(list_sort(regexp_split_to_array(regexp_replace(" + _PLAIN + ", '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'), ' ')), '')"
+_LETTERS = "array_to_string(list_sort(string_split(regexp_replace(" + _PLAIN + ", '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g'), '')), '')"
 _REST = """tourney_id, surface, draw_size, tourney_level, indoor, tourney_date, match_num, winner_id, winner_seed, winner_entry, winner_hand, winner_ht, winner_ioc,
 winner_age, loser_id, loser_seed, loser_entry, loser_hand, loser_ht, loser_ioc, loser_age, score, best_of, minutes, w_ace, w_df, w_svpt, w_1stin, w_1stwon, w_2ndwon,
 w_svgms, w_bpsaved, w_bpfaced, l_ace, l_df, l_svpt, l_1stin, l_1stwon, l_2ndwon, l_svgms, l_bpsaved, l_bpfaced, winner_rank, winner_rank_points, loser_rank, loser_rank_points"""
-_COPIES = f"select *, min(row_id) over g f, count(*) over g n from (select *, {_canon('tourney_name')} c1, {_canon('round')} c2, {_canon('winner_name')} c3, {_canon('loser_name')} c4 from tiny) window g as (partition by c1, c2, c3, c4, {_REST})"
+_COPIES = f"select *, min(row_id) over g f, count(*) over g n from (select *, {_SORTED.format('tourney_name')} c1, {_LETTERS.format('round')} c2, {_SORTED.format('winner_name')} c3, {_SORTED.format('loser_name')} c4 from tiny) window g as (partition by c1, c2, c3, c4, {_REST})"
 
 ORACLES = {
     "p4_found": f"""

@@ -10,16 +10,17 @@ from rallyframe.llm import canonical as c
 SCHEMA = "row_id long, name string, round string, n double, note string, k__ string"
 ROWS = [
     (5, "Ana Bo", "R16", 1.0, None, "a"), (3, " BO,  ana ", "[r.1.6.]", 1.0, None, "a"), (9, "Ana-Bo", "R 16", 1.0, None, "a"), (4, "Ána Bo", "R16", 1.0, None, "a"), (6, "Ana Bo", "R16", None, None, "a"),
+    (13, "Y Li", "SF", 2.0, None, "b"), (14, "Li, Y.", "F.S.", 2.0, None, "b"), (15, "Il Y", "SF", 2.0, None, "b"),
     (7, "Bo Ana", "r-16", float("nan"), None, "a"), (8, None, None, 0.0, "", "a"), (2, None, None, -0.0, "", "a"), (1, "", None, 0.0, "", "a"), (10, "Aan Bo", "R16", 1.0, None, "a"), (11, "x" * 100_000, "F", 1.0, None, "a"), (12, "X" * 100_000 + ".", "f", 1.0, None, "a"), (5, "Ana Bo", "R16", 1.0, None, "a"),
 ]
 
 
 def test_groups_and_copies(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    groups = {(r.first_row_id, r.copies) for r in c.canonical_groups(df, "row_id", ["name", "round"], ["k__"]).collect()}
-    assert groups == {(3, 4), (4, 1), (6, 2), (2, 2), (1, 1), (10, 1), (11, 2)}
-    pairs = {tuple(r) for r in c.canonical_copies(df, "row_id", ["name", "round"], ["k__"]).collect()}
-    assert pairs == {(3, 5), (3, 9), (6, 7), (2, 8), (11, 12)}
+    groups = {(r.first_row_id, r.copies) for r in c.canonical_groups(df, "row_id", ["name", "round"], ["k__"], ["round"]).collect()}
+    assert groups == {(3, 4), (4, 1), (6, 2), (2, 2), (1, 1), (10, 1), (11, 2), (13, 2), (15, 1)}
+    pairs = {tuple(r) for r in c.canonical_copies(df, "row_id", ["name", "round"], ["k__"], ["round"]).collect()}
+    assert pairs == {(3, 5), (3, 9), (6, 7), (2, 8), (11, 12), (13, 14)}
     assert c.canonical_copies(df.limit(0), "row_id", ["name"], []).count() == 0
 
 
@@ -31,15 +32,15 @@ def test_a_hot_group_is_salted_to_the_same_result(spark, monkeypatch):
     assert sorted(map(tuple, c.canonical_groups(df, "row_id", ["name"], []).collect()))[0] == (0, 1000)
 
 
-def brute(s):
+def brute(s, code):
     if s is None:
         return None
     ws = re.findall(r"[^\W_]+", re.sub(f"[{c.APOSTROPHES}]", "", s.lower()))
-    code = all(len(w) <= 3 for w in ws) and (len(ws) == 1 or any(len(w) == 1 for w in ws))
-    return "".join(ws) if code else " ".join(sorted(ws))
+    return "".join(sorted("".join(ws) if code else ws))
 
 
-@pytest.mark.parametrize("text", ["St. Émile  Open", "O'Neil-Smith", "Q-1", "Li Fu", "Fu, Li", "S.F.", "(R.3.2.)", "", "...", None, "a_b C d", "II, Bad Y"])
-def test_canonical_text(spark, text):
-    got = spark.createDataFrame([(text,)], "t string").select(c.canonical_text("t")).first()[0]
-    assert got == brute(text)
+@pytest.mark.parametrize("code", [False, True])
+@pytest.mark.parametrize("text", ["St. Émile  Open", "O'Neil-Smith", "Q-1", "Li Fu", "Fu, Li", "S.F.", "(R.3.2.)", "", "...", None, "a_b C d", "II, Bad Y", "Y Li"])
+def test_canonical_text(spark, text, code):
+    got = spark.createDataFrame([(text,)], "t string").select(c.canonical_text("t", code)).first()[0]
+    assert got == brute(text, code)
