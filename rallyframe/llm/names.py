@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rallyframe.operators.skew import skew_join, small
 from rallyframe.session import partitions, stage
 
 # Surname particles, and suffixes that name no one.
@@ -20,8 +22,6 @@ SUFFIXES = frozenset({"jr", "sr"})
 EDITS = 2
 #: Names of a trie shard, and query forms that one task walks through a trie.
 SHARD_NAMES, BLOCK_FORMS = 50_000, 20_000
-#: Letters of the longest surname form; automata keep a query's letters in one 64-bit word.
-LONGEST = 56
 #: Query forms walked at a time.
 STEP = 2_000
 #: Costs above this link nothing.
@@ -66,18 +66,29 @@ def registered_forms(name: str) -> list[tuple[str, str]]:
         return []
     parts = [p for p in _SPLIT.split(fold(plain(ws[-1]))) if p]
     given = " ".join(w for x in ws[:-1] for w in _SPLIT.split(fold(plain(x))) if w)
-    return [(f[:LONGEST], given) for f in dict.fromkeys(["".join(parts), *parts[:1]]) if f]
+    return [(f, given) for f in dict.fromkeys(["".join(parts), *parts[:1]]) if f]
+
+
+#: A text with more distinct words than this means no one. ``given_cost`` charges each distinct word at least 0.1, or
+#: 0.15 * n for the n-th given name itself, so over 37 words beside the surname (up to three) cost more than MOST.
+MOST_WORDS = 40
 
 
 def spelled_forms(name: str) -> list[tuple[str, str]]:
-    """(possible surname, other words) of a typed name: each run of up to three neighbouring words, joined."""
-    ws = tokens(name)[:12]
+    """(possible surname, other words) of a typed name: each run of up to three neighbouring words, joined.
+
+    All words are read, each of the others once. No form of a text with over MOST_WORDS distinct
+    words could link, so such texts have none.
+    """
+    ws = tokens(name)
+    if len(set(ws)) > MOST_WORDS:
+        return []
     out: dict[tuple[str, str], None] = {}
+    count = Counter(ws)
     for i in range(len(ws)):
         for j in range(i + 1, min(i + 3, len(ws)) + 1):
-            f = "".join(ws[i:j])
-            if 3 <= len(f) <= LONGEST:
-                out[(f, " ".join(ws[:i] + ws[j:]))] = None
+            run = Counter(ws[i:j])
+            out["".join(ws[i:j]), " ".join(w for w in count if count[w] > run[w])] = None
     return list(out)
 
 
@@ -210,14 +221,14 @@ class Trie:
         k = automaton.k
         lengths = np.array([len(q) for q in queries])
         place = {int(c): i for i, c in enumerate(self.letters)}
-        # Bit p + k + 1 of seen[q, c] tells that letter p of the query is c; only queries whose length can match are walked.
-        seen = np.zeros((len(queries), len(self.letters)), dtype=np.uint64)
+        # Bit p + k + 1 of seen[q, c], over 32-bit words, tells that letter p of the query is c; only queries whose length can match are walked.
+        seen = np.zeros((len(queries), len(self.letters), (self.length + 2 * k + 1) // 32 + 2), dtype=np.uint64)
         query = np.flatnonzero(np.abs(lengths - self.length) <= k)
         for q in query.tolist():
-            for p, ch in enumerate(queries[q]):
+            for p, ch in enumerate(queries[q], k + 1):
                 c = place.get(ord(ch))
                 if c is not None:
-                    seen[q, c] |= np.uint64(1 << (p + k + 1))
+                    seen[q, c, p // 32] |= np.uint64(1 << (p % 32))
         node = np.zeros(len(query), dtype=np.int64)
         state = np.zeros(len(query), dtype=np.int32)
         mask = np.uint64((1 << (2 * k + 2)) - 1)
@@ -228,7 +239,8 @@ class Trie:
             at = np.repeat(np.arange(len(node)), n)
             child = np.arange(len(at)) + np.repeat(low - np.cumsum(n) + n, n)
             q = query[at]
-            hit = (seen[q, self.letter[d][child]] >> np.uint64(d)) & mask
+            c = self.letter[d][child]
+            hit = ((seen[q, c, d // 32] | (seen[q, c, d // 32 + 1] << np.uint64(32))) >> np.uint64(d % 32)) & mask
             new = automaton.next[state[at], hit.astype(np.int64)]
             live = np.flatnonzero(new >= 0)
             query, node, state = q[live], child[live], new[live]
@@ -244,11 +256,13 @@ def _walk(names: pa.Table, forms: pa.Table) -> pa.Table:
     trie, automaton = Trie(names.column("near").to_pylist()), Automaton(EDITS)
     qs = sorted(set(forms.column("form").to_pylist()))
     found = []
-    for at in range(0, len(qs), STEP):
-        part = qs[at : at + STEP]
-        # Short words are held to one edit.
+    step = max(1, min(STEP, 4_000_000 // (len(trie.letters) * (trie.length // 32 + 2))))
+    for at in range(0, len(qs), step):
+        part = qs[at : at + step]
+        # Short words are held to one edit, those of one or two letters to none.
         q, w, e = trie.near(part, automaton)
-        ok = e <= np.where(np.minimum(np.array([len(x) for x in part])[q], trie.length) >= 6, EDITS, 1)
+        shorter = np.minimum(np.array([len(x) for x in part])[q], trie.length)
+        ok = e <= np.where(shorter >= 6, EDITS, np.where(shorter >= 3, 1, 0))
         q, w, e = q[ok], w[ok], e[ok]
         found.append(pa.table([pa.array([part[i] for i in q], pa.string()), pa.array([trie.words[i] for i in w], pa.string()), pa.array(e.astype(np.int32))], schema=out))
     return pa.concat_tables(found)
@@ -318,31 +332,35 @@ def link_names(spellings: DataFrame, registry: DataFrame) -> DataFrame:
 
     ``spellings`` has a string column ``spelling``; ``registry`` has ``player_id`` and ``name``.
     Output, one row per distinct spelling that means someone: ``spelling``, ``player_id``, ``cost``
-    (0 for the registered name itself), ``margin`` (how much more the next person costs; null if
+    (0 for the registered name itself), ``margin`` (how much more any other person costs at least; null if
     there is none). Nulls, and spellings without letters, have no row. Of two persons at equal cost
     the smaller id is taken, with margin 0. Repeated spellings and registry rows count once; either
-    table may be empty; of a spelling's words the first twelve are read,
-    and surnames of more than LONGEST letters link by no typing error.
+    table may be empty; texts with over MOST_WORDS distinct words can mean no one.
 
     Each typed name gives forms: a run of its words as the surname, the others as given names, in
-    any order. Forms that equal a registered surname are joined first. Only spellings without a
-    plausible person there have their forms walked through the tries (``near_forms``).
+    any order. Forms that equal a registered surname are joined first, over salts if a surname is
+    hot. Spellings without a plausible person there (a cost under 1) have their forms walked through
+    the tries (``near_forms``). A walked person costs 1 or more, so no better one is missed by the
+    others, and their margin is at most what a person at 1 would leave.
     """
     spark = spellings.sparkSession
     people = registry.select("player_id", "name").dropna().groupBy("player_id", "name").agg(F.lit(1).alias("x")).drop("x")
     known = stage(people.mapInArrow(_explode(registered_forms, ["near", "given"]), "player_id string, name string, near string, given string"))
     texts = spellings.select("spelling").dropna().groupBy("spelling").agg(F.lit(1).alias("x")).select("spelling")
-    typed = stage(texts.repartition(partitions(spark), "spelling").mapInArrow(_explode(spelled_forms, ["form", "rest"]), "spelling string, form string, rest string"))
+    typed = texts.repartition(partitions(spark), "spelling").mapInArrow(_explode(spelled_forms, ["form", "rest"]), "spelling string, form string, rest string")
+    # Initials are surnames only where a registered one is as short.
+    brief = small(known.where(F.length("near") < 3).select(F.col("near").alias("form")).distinct().withColumn("brief__", F.lit(True)))
+    typed = stage(typed.join(brief, "form", "left").where("length(form) > 2 or brief__").drop("brief__"))
     costed = "spelling string, player_id string, cost double"
     shape = ["spelling", "name", "form", "near", "rest", "given", "edits", "player_id"]
-    exact = stage(typed.join(known.withColumn("form", F.col("near")), "form").withColumn("edits", F.lit(0)).select(*shape).mapInArrow(_cost, costed))
+    met = skew_join(typed, known.withColumn("form", F.col("near")), ["form"])
+    exact = stage(met.withColumn("edits", F.lit(0)).select(*shape).mapInArrow(_cost, costed))
     sure = exact.where("cost < 1").select("spelling").distinct()
-    rest = typed.join(sure, "spelling", "left_anti")
-    # A whole typed name of several words is no mistyped surname.
-    rest = rest.where((F.col("rest") != "") | ~F.trim("spelling").rlike(r"\W"))
+    rest = stage(typed.join(sure, "spelling", "left_anti").where("length(form) > 2"))
     near = near_forms(rest.select("form").distinct(), known.select("near").distinct())
-    loose = rest.join(near, "form").join(known, "near").select(*shape).mapInArrow(_cost, costed)
+    loose = skew_join(rest.join(near, "form"), known, ["near"]).select(*shape).mapInArrow(_cost, costed)
     best = exact.unionByName(loose).groupBy("spelling", "player_id").agg(F.min("cost").alias("cost"))
     order = Window.partitionBy("spelling").orderBy("cost", "player_id")
-    ranked = best.select("spelling", "player_id", "cost", F.row_number().over(order).alias("n"), (F.lead("cost").over(order) - F.col("cost")).alias("margin"))
-    return ranked.where("n = 1").select("spelling", "player_id", F.round("cost", 4).alias("cost"), F.round("margin", 4).alias("margin"))
+    ranked = best.select("spelling", "player_id", "cost", F.row_number().over(order).alias("n"), F.lead("cost").over(order).alias("next"))
+    margin = F.when(F.col("cost") < 1, F.least("next", F.lit(1.0))).otherwise(F.col("next")) - F.col("cost")
+    return ranked.where("n = 1").select("spelling", "player_id", F.round("cost", 4).alias("cost"), F.round(margin, 4).alias("margin"))
