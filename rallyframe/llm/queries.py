@@ -26,20 +26,28 @@ DELIVERY = ["source_file", "ingested_at"]
 SURFACES = ["Hard", "Clay", "Grass"]
 
 
-def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strength and rank of every player on each surface; results sent more than once count once, walkovers not at all."""
+def _ranked(spark: SparkSession, sf_dir: str, surfaces: list[str] | None = None) -> DataFrame:
     surface = F.initcap(F.trim("surface"))
-    rows = table(spark, sf_dir, "tiny").where(surface.isin(SURFACES) & ~F.coalesce(F.upper("score").contains("W/O"), F.lit(False)))
-    seen = rows.select(surface.alias("surface"), clean_id("winner_id").alias("winner"), clean_id("loser_id").alias("loser"), "tourney_id", canonical_text("round").alias("round"))
-    once = seen.dropna(subset=["winner", "loser"]).groupBy("surface", "winner", "loser", "tourney_id", "round").agg(F.lit(1).alias("n"))
-    found = offence_defence(once, "surface", "winner", "loser")
-    ranked = global_ranks(found.withColumnRenamed("item", "player_id"), "surface", "strength", "player_id")
-    return ranked.select("surface", "player_id", "wins", "losses", F.round("strength", 6).alias("strength"), "rank")
+    rows = table(spark, sf_dir, "tiny").where(surface.isin(surfaces) if surfaces else surface != "")
+    played = ~F.coalesce(F.upper("score").contains("W/O"), F.lit(False))
+    seen = rows.select(surface.alias("surface"), clean_id("winner_id").alias("winner"), clean_id("loser_id").alias("loser"), "tourney_id", canonical_text("round", code=True).alias("round"), played.alias("played"))
+    once = stage(seen.groupBy("surface", "winner", "loser", "tourney_id", "round").agg(F.max("played").alias("played")))
+    items = once.select("surface", F.explode(F.array("winner", "loser")).alias("item"))
+    found = offence_defence(once.where("played"), "surface", "winner", "loser", items=items)
+    return global_ranks(found.withColumnRenamed("item", "player_id"), "surface", "strength", "player_id")
+
+
+def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strength and rank of every player on each surface (all labels, trimmed, in any case; a null label is none).
+
+    Results sent more than once count once. Walkovers are no comparisons; their players are ranked all the same.
+    """
+    return _ranked(spark, sf_dir).select("surface", "player_id", "wins", "losses", F.round("strength", 6).alias("strength"), "rank", "converged")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five strongest players on each surface."""
-    return p2_ranking(spark, sf_dir).where("rank <= 5").select("surface", "player_id")
+    """The five strongest players on each of SURFACES."""
+    return _ranked(spark, sf_dir, SURFACES).where("rank <= 5").select("surface", "player_id")
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,19 @@ def test_equals_a_dense_iteration(spark):
     assert {(r["item"], r.wins, r.losses) for r in got if r.s == "Clay"} == {("p1", 2, 0), ("p2", 0, 2), ("p3", 1, 0), ("p4", 0, 1)}
 
 
+def test_split_items_and_items_without_comparisons(spark):
+    rng = np.random.default_rng(4)
+    rows = [("g", *((f"p{a}", "hot") if rng.random() < 0.4 else ("hot", f"p{a}"))) for a in rng.integers(0, 40, 120)] + [("g", "p1", "p2")]
+    df, items = spark.createDataFrame(rows, "s string, w string, l string"), spark.createDataFrame([("g", "alone"), ("g", "hot"), ("h", "alone"), (None, "x"), ("g", None)], "s string, item string")
+    got = {(r.s, r["item"]): r for r in offence_defence(df, "s", "w", "l", tolerance=1e-9, items=items, block=7).collect()}
+    want = brute(rows) | {("g", "alone"): 1.0, ("h", "alone"): 1.0}
+    assert set(got) == set(want) and all(r.converged for r in got.values())
+    for k, r in got.items():
+        assert r.strength == pytest.approx(want[k], rel=1e-6)
+    assert (got["g", "alone"].wins, got["g", "alone"].losses) == (0, 0)
+    assert not any(r.converged for r in offence_defence(df, "s", "w", "l", tolerance=1e-12, iterations=4).collect())
+
+
 def test_strengths_are_recovered_from_uneven_comparisons(spark):
     rng = np.random.default_rng(8)
     true = rng.normal(0, 1.2, 25)
