@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from rallyframe.session import partitions
 
-#: Characters of a text that are counted as one chunk.
-CHUNK_CHARS = 1 << 20
+#: Characters of a text above which its chunks spread over tasks, and of a piece counted at a time.
+CHUNK_CHARS, PIECE_CHARS = 1 << 20, 1 << 10
 #: Chunks merged at each level of the tree.
 FAN_IN = 32
-#: Characters kept from either end of an unfinished line, blanks before and after it set aside.
+#: Characters kept from either end of an unfinished line, without blanks and with runs of bullet marks as one. A bullet has
+#: at most seven of them and a word of COMMON under twenty, so what is read from an end never needs more.
 EDGE = 24
+#: Letters of a mean word above which a line is word junk.
+LONG_WORD = 20
 
 # Frequent function words of English, German, French and Spanish.
 COMMON = frozenset(
@@ -36,8 +39,10 @@ COMMON = frozenset(
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")
 _SYMBOL = re.compile(r"[^\w\s.,;:!?…'’‘\"“”„«»()\-–—¿¡]|[_²³¹¼½¾]")
-_END = re.compile(r"[.!?…:;,]['’\"”»)]*\s*$")
-_SENTENCE_END = re.compile(r"[.!?…]['’\"”»)]*\s*$")
+#: The last character of a line that is no blank and no closing mark.
+_LAST = re.compile(r"([^\s'’\"”»)])[\s'’\"”»)]*$")
+_SENTENCE_END, _OTHER_END = ".!?…", ":;,"
+_MARKS = re.compile(r"[-*•·‣◦▪+–—>#]{2,}")
 _BULLET = re.compile(r"\s*(?:[-*•·‣◦▪+–—>#]+|\(?\d{1,4}[.):]|\(?[A-Za-z][.)])\s")
 _FIRST_WORD = re.compile(r"[^\W\d_]+")
 _LAST_WORD = re.compile(r"[^\W\d_]+$")
@@ -48,10 +53,20 @@ FIELDS = ("chars", "words", "letters", "digits", "symbols", "common", "lines", "
 _LINE = ("chars", "words", "letters", "digits", "symbols", "common", "cells", "spaces")
 
 
+def _edge(s: str) -> str:
+    """The beginning of a line's solid text, runs of bullet marks as one mark."""
+    head = s[:EDGE]
+    if _MARKS.match(head):
+        rest = s.lstrip("-*•·‣◦▪+–—>#")
+        return (head[0] + rest)[:EDGE]
+    return head
+
+
 def _line(s: str) -> dict:
     """The counts of a line or a piece of one, with its two ends."""
     ws = _WORD.findall(s)
     solid = s.strip()
+    last = _LAST.search(solid)
     common = 0
     for w in ws:
         if w.lower() in COMMON:
@@ -67,8 +82,9 @@ def _line(s: str) -> dict:
         "spaces": s.count(" "),
         "lead": len(s) - len(s.lstrip()),
         "trail": len(s) - len(s.rstrip()),
-        "head": solid[:EDGE],
+        "head": _edge(solid),
         "tail": solid[-EDGE:],
+        "last": last.group(1) if last else "",
     }
 
 
@@ -83,14 +99,15 @@ def _join(a: dict, b: dict) -> dict:
     out["lead"] = a["lead"] if a["head"] else a["chars"] + b["lead"]
     out["trail"] = b["trail"] if b["head"] else a["trail"] + b["chars"]
     gap = " " * min(a["trail"] + b["lead"], EDGE) if a["head"] and b["head"] else ""
-    out["head"] = a["head"] if len(a["head"]) == EDGE else (a["head"] + gap + b["head"])[:EDGE]
+    out["head"] = a["head"] if len(a["head"]) == EDGE else _edge(a["head"] + gap + b["head"])
+    out["last"] = b["last"] or a["last"]
     out["tail"] = b["tail"] if len(b["tail"]) == EDGE else (a["tail"] + gap + b["tail"])[-EDGE:]
     return out
 
 
 def is_junk(x: dict) -> bool:
     """Whether a line is no sentence nor a piece of one: a list entry, a table row, or junk of symbols, numbers or words."""
-    ended = bool(_SENTENCE_END.search(x["tail"]))
+    ended = x["last"] != "" and x["last"] in _SENTENCE_END
     solid = x["letters"] + x["digits"] + x["symbols"]
     if not x["words"]:
         return True
@@ -98,7 +115,7 @@ def is_junk(x: dict) -> bool:
         return True
     if not x["spaces"] and x["chars"] >= 12 and x["symbols"] + x["digits"] >= 2:
         return True
-    if x["digits"] > x["letters"]:
+    if x["digits"] > x["letters"] or x["letters"] > LONG_WORD * x["words"]:
         return True
     if ended and x["words"] >= 4 and x["common"]:
         return False
@@ -115,7 +132,7 @@ def _close(sums: dict, x: dict) -> None:
         sums[k] += x[k]
     if x["head"].strip() or x["tail"].strip() or x["words"] or x["digits"] or x["symbols"]:
         sums["lines"] += 1
-        sums["line_ends"] += bool(_END.search(x["tail"]))
+        sums["line_ends"] += x["last"] != "" and x["last"] in _SENTENCE_END + _OTHER_END
         sums["junk_lines"] += is_junk(x)
 
 
@@ -141,6 +158,18 @@ def combine(a: dict, b: dict) -> dict:
     return {"first": a["first"], "sums": sums, "last": b["last"]}
 
 
+def merged(states: list[dict]) -> dict:
+    """Neighbouring states as one, merged up a tree."""
+    while len(states) > 1:
+        states = [reduce(combine, states[i : i + FAN_IN]) for i in range(0, len(states), FAN_IN)]
+    return states[0]
+
+
+def counted(text: str, piece: int = PIECE_CHARS) -> dict:
+    """The state of a text, counted in pieces that are merged."""
+    return merged([partial(text[i : i + piece]) for i in range(0, max(len(text), 1), piece)])
+
+
 def finish(state: dict) -> dict:
     """A document's counts: the two open lines are closed, and ratios derived."""
     n = dict(state["sums"])
@@ -171,12 +200,12 @@ def _table(ids: list, stats: list[dict]) -> pa.RecordBatch:
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield _table(b.column(0).to_pylist(), [finish(partial(t or "")) for t in b.column(1).to_pylist()])
+        yield _table(b.column(0).to_pylist(), [finish(counted(t or "")) for t in b.column(1).to_pylist()])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        states = [json.dumps(partial(t)) for t in b.column(2).to_pylist()]
+        states = [json.dumps(counted(t)) for t in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(states, pa.string())], names=["u__", "n__", "state__"])
 
 
@@ -201,10 +230,11 @@ def text_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
     throughout and are not natural; rows repeated under one id give a row each; rows without an id
     are left out.
 
-    Texts of up to ``chunk_chars`` characters are counted where they are read, without a shuffle.
-    Longer ones are cut into chunks that spread over all tasks; a chunk's state keeps its counts and
-    both unfinished lines, so that lines and words cut at a chunk's edge are put right when states
-    are merged, FAN_IN at a time, up a tree. The result does not depend on the chunk size.
+    Every text is counted in pieces of PIECE_CHARS; a piece's state keeps its counts and both
+    unfinished lines, so that lines and words cut at an edge are put right when states are merged,
+    FAN_IN at a time, up a tree. Texts of up to ``chunk_chars`` characters are merged where they are
+    read, without a shuffle; the chunks of longer ones spread over all tasks and are merged over
+    shuffles. The result depends on neither size.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     size = F.coalesce(F.length("text"), F.lit(0))

@@ -9,7 +9,9 @@ PIECES = ["The boat is on the lake. ", "stand gate bell mast net wall\n", "- a s
 
 
 def whole(text, n):
-    return t.finish(reduce(t.combine, [t.partial(text[i : i + n]) for i in range(0, max(1, len(text)), n)]))
+    flat = t.finish(reduce(t.combine, [t.partial(text[i : i + n]) for i in range(0, max(1, len(text)), n)]))
+    assert flat == t.finish(t.counted(text, n))
+    return flat
 
 
 @pytest.mark.parametrize("n", [1, 3, 10, 29])
@@ -38,13 +40,21 @@ def test_blanks_around_a_line_change_nothing(blank):
                 assert whole(text, n) == t.finish(t.partial(text))
 
 
+@pytest.mark.parametrize(("line", "junk", "end"), [("-" * 40 + " the water tower", 1, 0), ("The walls hold." + "”’)" * 20, 0, 1), ("The boat is in the port" + " ”" * 20, 0, 0), ("x" * 5000, 1, 0), ("x" * 30 + ".", 1, 1), ("> " * 30 + "the map", 1, 0)])
+def test_long_ends_of_a_line_are_read(line, junk, end):
+    want = t.partial("\n" + line + "\n")["sums"]
+    assert (want["junk_lines"], want["line_ends"]) == (junk, end)
+    for n in (1, 7, 25):
+        assert whole(line, n) == t.finish(t.partial(line))
+
+
 def test_documents_long_and_short(spark):
     prose, junk = "The boat is on the lake. It was very cold there.\n" * 40, "- a small engine\nstand gate bell mast net\n" * 30
     rows = [(1, prose, "a"), (2, junk, "a"), (3, None, "a"), (4, "", "a"), (5, "x" * 5000, "a"), (1, prose, "b"), (None, prose, "c"), (6, prose + junk, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, words string")
     key = lambda d: sorted(map(tuple, d.collect()))
     base = key(t.text_quality(df))
-    assert len(base) == 7 and [r[0] for r in base if r[-1]] == [1, 1, 5] and base[0][1] == 440
+    assert len(base) == 7 and [r[0] for r in base if r[-1]] == [1, 1] and base[0][1] == 440
     assert [r[1:] for r in base if r[0] in (3, 4)] == [(0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, False)] * 2
     for n in (7, 100):
         assert key(t.text_quality(df, chunk_chars=n)) == base
