@@ -73,20 +73,27 @@ def _result(audit: DataFrame, features: DataFrame, quotes: DataFrame, feature_id
     return out.withColumn("market_logit_a", logit("market_probability_a"))
 
 
+def _event_score(how: str) -> Column:
+    if how == "ratio":
+        return event_similarity("fevent", "qevent")
+    a, b = normalize_name("fevent"), normalize_name("qevent")
+    return F.coalesce(((a != "") & (a == b)).cast("double"), F.lit(0.0))
+
+
 def _first(candidates: DataFrame, order: list[Column]) -> DataFrame:
     return candidates.withColumn("place", F.row_number().over(Window.partitionBy("f").orderBy(*order))).where("place = 1").drop("place")
 
 
-def link_exact(features: DataFrame, quotes: DataFrame, feature_id: str = "row_id", quote_id: str = "odds_id", day: str = "event_start_date", max_gap: int = 8) -> tuple[DataFrame, DataFrame]:
+def link_exact(features: DataFrame, quotes: DataFrame, feature_id: str = "row_id", quote_id: str = "odds_id", day: str = "event_start_date", max_gap: int = 8, events: str = "ratio") -> tuple[DataFrame, DataFrame]:
     """Quotes whose two normalized names equal a row's, in either order, nearest in days; events break ties, then the smaller id.
 
     Returns matched rows and an audit of every row: matched, no_pair (no quote of the two at all) or
-    date_gap (none within ``max_gap`` days). Null names normalize to nothing and match each other
+    date_gap (none within ``max_gap`` days). ``events`` is ratio (matching blocks) or equal (1 for equal names, else 0). Null names normalize to nothing and match each other
     only; the result of a match is never looked at.
     """
     f, q = _sides(features, quotes, day, feature_id, quote_id)
     f, q = f.withColumn("pair", pair_key("na", "nb")), q.withColumn("pair", pair_key("n1", "n2"))
-    met = _near(f, q, ["pair"], max_gap).withColumn("event_similarity", event_similarity("fevent", "qevent"))
+    met = _near(f, q, ["pair"], max_gap).withColumn("event_similarity", _event_score(events))
     best = _first(met, [F.asc("gap"), F.desc("event_similarity"), F.asc("q")]).select("f", "q", "gap", "event_similarity", (F.col("n1") != F.col("na")).alias("swapped"))
     paired = q.select("pair").distinct().withColumn("paired", F.lit(True))
     audit = f.select("f", "pair").join(paired, "pair", "left").join(best, "f", "left")
@@ -95,12 +102,12 @@ def link_exact(features: DataFrame, quotes: DataFrame, feature_id: str = "row_id
     return _result(audit, features, quotes, feature_id, quote_id), audit.withColumnRenamed("q", quote_id)
 
 
-def link_signatures(features: DataFrame, quotes: DataFrame, feature_id: str = "row_id", quote_id: str = "odds_id", day: str = "event_start_date", max_gap: int = 8) -> tuple[DataFrame, DataFrame]:
+def link_signatures(features: DataFrame, quotes: DataFrame, feature_id: str = "row_id", quote_id: str = "odds_id", day: str = "event_start_date", max_gap: int = 8, events: str = "ratio") -> tuple[DataFrame, DataFrame]:
     """As ``link_exact`` for quotes that name players by surnames and an initial.
 
     A full name has the signatures of its endings with its first initial; a quote meets a row if its
     two signatures are among those of the row's two players. The audit also counts how many rows
-    took the same quote (``reuse``); its statuses are matched, no_pair and date_or_orientation_fail.
+    took the same quote (``reuse``); ``events`` is as there; its statuses are matched, no_pair and date_or_orientation_fail.
     """
     f, q = _sides(features, quotes, day, feature_id, quote_id)
     f = f.withColumns({"sa": full_signatures(F.col("na")), "sb": full_signatures(F.col("nb"))})
@@ -110,7 +117,7 @@ def link_signatures(features: DataFrame, quotes: DataFrame, feature_id: str = "r
     met = _near(keyed, q, ["pair"], max_gap)
     direct = F.array_contains("sa", F.col("s1")) & F.array_contains("sb", F.col("s2"))
     turned = F.array_contains("sa", F.col("s2")) & F.array_contains("sb", F.col("s1"))
-    met = met.where(direct | turned).withColumn("swapped", ~F.array_contains("sa", F.col("s1"))).dropDuplicates(["f", "q"]).withColumn("event_similarity", event_similarity("fevent", "qevent"))
+    met = met.where(direct | turned).withColumn("swapped", ~F.array_contains("sa", F.col("s1"))).dropDuplicates(["f", "q"]).withColumn("event_similarity", _event_score(events))
     best = _first(met, [F.asc("gap"), F.desc("event_similarity"), F.asc("q")]).select("f", "q", "gap", "event_similarity", "swapped")
     paired = keyed.join(q.select("pair").distinct(), "pair", "left_semi").select("f").distinct().withColumn("paired", F.lit(True))
     audit = f.select("f").join(paired, "f", "left").join(best, "f", "left")

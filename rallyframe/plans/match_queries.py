@@ -13,6 +13,7 @@ from rallyframe.operators.history import decayed_means, head_to_head, last_known
 from rallyframe.operators.matches import ORDER, canonical_matches, keep_first, main_draw_targets, rounds_by_event
 from rallyframe.operators.ratings import pre_match_ratings
 from rallyframe.operators.validation import event_weeks
+from rallyframe.plans import feature_sql
 from rallyframe.session import stage
 from rallyframe.sources.results import canonical_quotes
 from rallyframe.sources.sinks import systematic_sample
@@ -33,8 +34,13 @@ def _once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_first(canonical(spark, sf_dir), ["tourney_id", "tourney_date", "round", "winner_key", "loser_key"], [*ORDER[:3], "row_id"])
 
 
-def _six(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def _six(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _four(df: DataFrame) -> DataFrame:
+    """Doubles to four digits, a little off the half: sums of powers of two lie on halves, and two engines' last bits differ."""
+    return df.select(*[F.round(F.col(c) + F.lit(feature_sql.NUDGE), 4).alias(c) if c in feat.FEATURES else F.col(c) for c in df.columns])
 
 
 def m_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,17 +106,17 @@ def m_decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides' ratings before each match, days in batches."""
-    return _six(pre_match_ratings(_once(spark, sf_dir)))
+    return _six(pre_match_ratings(_once(spark, sf_dir)), 3)
 
 
 def m_ratings_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides' ratings before each match, match by match."""
-    return _six(pre_match_ratings(_once(spark, sf_dir), replay="row"))
+    return _six(pre_match_ratings(_once(spark, sf_dir), replay="row"), 3)
 
 
 def m_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature row of each target match."""
-    return _six(feat.build_features(stage(_once(spark, sf_dir))))
+    return _four(feat.build_features(stage(_once(spark, sf_dir))))
 
 
 def m_mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +126,7 @@ def m_mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The features of unplayed fixtures."""
-    return _six(feat.live_features(stage(_once(spark, sf_dir)), table(spark, sf_dir, "live_slate_template")))
+    return _four(feat.live_features(stage(_once(spark, sf_dir)), table(spark, sf_dir, "live_slate_template")))
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +154,17 @@ def m_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(linking.link_exact(_sides(spark, sf_dir), _quotes(spark, sf_dir))[0])
 
 
+def m_linked_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with the quote linked to them, ties of days decided by equal event names."""
+    found = linking.link_exact(_sides(spark, sf_dir), _quotes(spark, sf_dir), events="equal")[0]
+    return _six(found.select("row_id", "odds_id", "odds_date_gap", "odds_event_similarity", "odd_a", "odd_b", "market_probability_a", "market_logit_a"))
+
+
+def m_link_signatures_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of quotes linked by surname and initial, ties of days decided by equal event names."""
+    return linking.link_signatures(_sides(spark, sf_dir), _quotes(spark, sf_dir), events="equal")[1].select("row_id", "status", "odds_id", "gap", "reuse")
+
+
 def m_link_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of quotes linked by surname and initial."""
     return linking.link_signatures(_sides(spark, sf_dir), _quotes(spark, sf_dir))[1].select("row_id", "status", "gap", "reuse")
@@ -281,7 +298,7 @@ c1 as (select row_id, source_file, source_kind, tourney_id, tourney_name, case w
  cast(ind in ('yes', 'no', 'true', 'false', '1', '0', 'indoor', 'outdoor') as double) indoor_known, cast(ind in ('yes', 'true', '1', 'indoor') as double) indoor_flag,
  lv tourney_level, case when source_kind = 'challenger' then 'challenger' when source_kind = 'futures' then 'futures' when lv = 'C' then 'challenger' else 'main' end level_role,
  d tourney_date, d + {_RD} proxy_date, rd round, {_RO} round_order, coalesce(match_num, 0) match_num, coalesce(best_of, 3) best_of, winner_key, loser_key, winner_name, loser_name,
- winner_rank, loser_rank, winner_rank_points, loser_rank_points, loser_ht, w_svpt, l_svpt, w_1stwon, w_2ndwon, l_1stwon, l_2ndwon, w_bpfaced, w_bpsaved, l_bpfaced, l_bpsaved, w_svgms, l_svgms, score,
+ winner_rank, loser_rank, winner_rank_points, loser_rank_points, winner_ht, loser_ht, winner_age, loser_age, upper(coalesce(winner_entry, '')) winner_entry, upper(coalesce(loser_entry, '')) loser_entry, w_svpt, l_svpt, w_1stwon, w_2ndwon, l_1stwon, l_2ndwon, w_bpfaced, w_bpsaved, l_bpfaced, l_bpsaved, w_svgms, l_svgms, score,
  regexp_matches(sc, '\\b(RET|DEF)\\b') is_retirement, regexp_matches(sc, 'W/O|WALKOVER') is_walkover
  from c0 where d is not null and winner_name is not null and loser_name is not null and winner_key <> loser_key),
 c as (select *, not (is_retirement or is_walkover) is_clean, (tourney_level = 'C' or level_role = 'challenger') and not (is_retirement or is_walkover) is_target from c1)"""
@@ -310,7 +327,28 @@ def _decay(name: str, value: str, test: str, half: int) -> str:
     return f"round(sum(case when {ok} then {w} * {value} end) / sum(case when {ok} then {w} end), 6) {name}, round(coalesce(sum(case when {ok} then {w} end), 0), 6) {name}_n"
 
 
+_LINK = f"""{_ONCE}, f as (select row_id, tourney_date d, tourney_name ev, case when winner_key < loser_key then winner_name else loser_name end a, case when winner_key < loser_key then loser_name else winner_name end b from m),
+fn as (select *, {_NORM.format("a")} na, {_NORM.format("b")} nb, {_NORM.format("coalesce(ev, '')")} ne from f),
+qn as (select odds_id, date::date d, odd1, odd2, {_NORM.format("coalesce(player1, '')")} n1, {_NORM.format("coalesce(player2, '')")} n2, {_NORM.format("coalesce(tournament, '')")} ne from odds_template where date is not null and odd1 > 1 and odd2 > 1)"""
+_SAME_EVENT = "(f.ne <> '' and f.ne = q.ne)::double"
+_SUFFIXES = "(with w as (select list_filter(string_split({0}, ' '), lambda x: x <> '') l) select list_distinct(list_transform(range(greatest(len(l) - 3, 1), len(l) + 1), lambda i: array_to_string(l[i:], ' ') || '::' || left(l[1], 1))) from w)"
+_SHORT = "(with w as (select list_filter(string_split({0}, ' '), lambda x: x <> '') l) select case when len(l) < 2 then {0} || '::' else array_to_string(l[1:len(l) - 1], ' ') || '::' || left(l[len(l)], 1) end from w)"
+
 ORACLES = {
+    "m_linked_plain": f"""with {_LINK},
+lc as (select f.row_id, q.*, f.na, abs(datediff('day', f.d, q.d)) gap, {_SAME_EVENT} sim from fn f join qn q on least(f.na, f.nb) = least(q.n1, q.n2) and greatest(f.na, f.nb) = greatest(q.n1, q.n2) and abs(datediff('day', f.d, q.d)) <= 8),
+lb as (select *, n1 <> na sw from lc qualify row_number() over (partition by row_id order by gap, sim desc, odds_id) = 1),
+lo as (select *, case when sw then odd2 else odd1 end a, case when sw then odd1 else odd2 end b from lb), lp as (select *, (1 / a) / (1 / a + 1 / b) pr from lo)
+select row_id, odds_id, gap::int odds_date_gap, sim odds_event_similarity, round(a, 6) odd_a, round(b, 6) odd_b, round(pr, 6) market_probability_a, round(ln(least(greatest(pr, 1e-5), 1 - 1e-5) / (1 - least(greatest(pr, 1e-5), 1 - 1e-5))), 6) market_logit_a from lp""",
+    "m_link_signatures_plain": f"""with {_LINK},
+fs as materialized (select *, {_SUFFIXES.format("na")} sa, {_SUFFIXES.format("nb")} sb from fn), qs as materialized (select *, {_SHORT.format("n1")} s1, {_SHORT.format("n2")} s2 from qn),
+fk as (select distinct row_id, least(x, y) k1, greatest(x, y) k2 from (select row_id, unnest(sa) x, sb from fs) t, unnest(sb) u(y)),
+j as (select distinct f.row_id, q.odds_id from fk f join qs q on f.k1 = least(s1, s2) and f.k2 = greatest(s1, s2)),
+lc as (select f.row_id, q.odds_id, abs(datediff('day', f.d, q.d)) gap, {_SAME_EVENT} sim from j join fs f using (row_id) join qs q using (odds_id)
+ where abs(datediff('day', f.d, q.d)) <= 8 and ((list_contains(sa, s1) and list_contains(sb, s2)) or (list_contains(sa, s2) and list_contains(sb, s1)))),
+lb as (select * from lc qualify row_number() over (partition by row_id order by gap, sim desc, odds_id) = 1)
+select fn.row_id, case when b.odds_id is not null then 'matched' when fn.row_id in (select row_id from j) then 'date_or_orientation_fail' else 'no_pair' end status, b.odds_id, gap::int gap,
+ case when b.odds_id is not null then count(*) over (partition by b.odds_id) end reuse from fn left join lb b using (row_id)""",
     "m_canonical": f"with {_CANON} select row_id, source_kind, tourney_id, surface, indoor_known, indoor_flag, tourney_level, level_role, tourney_date, proxy_date, round, round_order, match_num, best_of, winner_key, loser_key, winner_rank, loser_ht, w_svpt, is_retirement, is_walkover, is_clean, is_target from c",
     "m_names": f"select name, {_NORM.format('name')} normalized from (select winner_name name from tiny union select loser_name from tiny) where name is not null",
     "m_dedupe": f"with {_ONCE} select row_id, tourney_id, round, winner_key, loser_key from m",
@@ -371,5 +409,14 @@ select policy, count(*) n, round(avg(gain), 6) mean_gain from x where pl <= cap
     "m_event_weeks": f"with {_CANON} select tourney_date, coalesce(tourney_id, '') tourney_id, count(*) \"rows\", bool_or(upper(trim(round)) = 'F') has_final from c where tourney_level = 'C' group by 1, 2",
     "m_targets": f"with {_CANON} select round, count(*) filter (is_target) before, count(*) filter (is_target and trim(round) not in ('Q1', 'Q2', 'Q3', 'Q4')) after from c group by round",
     "m_rounds": f"with {_CANON} select tourney_id, tourney_date, array_to_string(list_sort(list(distinct upper(trim(round)))), ',') rounds from c group by 1, 2",
+    "m_ratings": feature_sql.ratings(_ONCE),
+    "m_ratings_by_row": feature_sql.ratings(_ONCE, by_day=False),
+    "m_features": feature_sql.features(_ONCE),
+    "m_mirrored": feature_sql.mirrored(_ONCE),
+    "m_live": feature_sql.live(_ONCE, _NORM),
+    "m_link_quality": None,
+    "m_chosen": None,
     "m_sample": "select row_id, tourney_id from (select row_id, tourney_id, row_number() over (order by row_id) - 1 n from tiny) where n % 10 = 0",
 }
+ORACLES["m_link_quality"] = f"""with x as ({ORACLES["m_link_exact"]}) select status, count(*) n, round(median(gap), 6) gap_median, round(quantile_cont(gap, 0.05), 6) gap_p05, round(count(*) / (select count(*) from x), 6) share from x group by status"""
+ORACLES["m_chosen"] = f"""with x as ({ORACLES["m_grid"]}) select policy, n, mean_gain from x order by (n >= 100) desc, case when n >= 100 then mean_gain else n end desc, policy limit 1"""
