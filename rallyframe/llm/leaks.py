@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,22 +74,27 @@ def exact_windows(h: np.ndarray, width: int) -> np.ndarray:
 class ItemIndex:
     """The windows of a block of items, found by Hamming distance through a table per 16-bit block."""
 
-    def __init__(self, rows: list[tuple[int, int, str]], width: int, radius: int) -> None:
+    def __init__(self, rows: list[tuple[int, int, str]], width: int, radius: int, shingle: int = 5, similarity: float = 0.8) -> None:
         assert radius < BLOCKS, "the blocks guarantee radius BLOCKS - 1"
-        self.width, self.radius = width, radius
-        item, sim, exact, start = [], [], [], []
+        self.width, self.radius, self.size, self.similarity = width, radius, min(shingle, width), similarity
+        item, sim, exact, start, rows_ = [], [], [], [], []
         self.words: dict[int, list[str]] = {}
         for item_id, shift, text in rows:
             ws = words(text)
             self.words[item_id] = ws
             h = word_hashes(ws)
             s = simhash_windows(h, width)
+            rows_.append(np.lib.stride_tricks.sliding_window_view(h, width) if len(h) >= width else np.empty((0, width), np.uint64))
             item.append(np.full(len(s), item_id, dtype=np.int64))
             sim.append(s)
             exact.append(exact_windows(h, width))
             start.append(np.arange(len(s)))
         self.item, self.sim = np.concatenate(item), np.concatenate(sim)
-        self.exact, self.start = np.concatenate(exact), np.concatenate(start)
+        self.exact, self.start, self.hashes = np.concatenate(exact), np.concatenate(start), np.concatenate(rows_)
+        self.weight = word_weights(self.words)
+        known = word_hashes(list(self.weight))
+        order = np.argsort(known)
+        self.word, self.word_weight = known[order], np.array(list(self.weight.values()))[order]
         self.blocks = []
         for b in range(BLOCKS):
             v = ((self.sim >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
@@ -96,6 +103,18 @@ class ItemIndex:
             count = np.bincount(v, minlength=1 << 16)
             self.blocks.append((order, first, count))
 
+    def verified(self, h: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which pairs of windows (of the words ``h``, and of the items) have weighted shingles similar enough."""
+        keep = np.zeros(len(left), dtype=bool)
+        for at in range(0, len(left), 20_000):
+            a, b = h[left[at : at + 20_000, None] + np.arange(self.width)], self.hashes[right[at : at + 20_000]]
+            keep[at : at + 20_000] = window_similarities(a, b, self._weights(a), self._weights(b), self.size) >= self.similarity * (1 - 1e-9)
+        return keep
+
+    def _weights(self, h: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
+        return np.where(self.word[at] == h, self.word_weight[at], 1.0)
+
     def near(self, fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (fingerprint position, window position) within the radius."""
         left, right = [], []
@@ -190,6 +209,27 @@ class ShingleIndex:
         return np.concatenate(left), np.concatenate(right)
 
 
+def window_similarities(a: np.ndarray, b: np.ndarray, mass_a: np.ndarray, mass_b: np.ndarray, size: int) -> np.ndarray:
+    """Weighted Jaccard similarity of pairs of windows, given as rows of word hashes with the words' weights.
+
+    A window's shingles are the runs of ``size`` of its words; one that occurs twice counts twice.
+    """
+    def shingles(h: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = h.shape[1] - size + 1
+        s, m = np.zeros((len(h), n), dtype=np.uint64), np.zeros((len(h), n))
+        for i in range(size):
+            s = _mix(s ^ h[:, i : i + n], i + 1)
+            m += mass[:, i : i + n]
+        return s, m
+
+    (s, m), (t, k) = shingles(a, mass_a), shingles(b, mass_b)
+    # The o-th occurrence of a shingle meets the o-th occurrence in the other window.
+    place = lambda x: np.tril(x[:, :, None] == x[:, None, :], -1).sum(axis=2)
+    same = (s[:, :, None] == t[:, None, :]) & (place(s)[:, :, None] == place(t)[:, None, :])
+    shared = (m * same.any(axis=2)).sum(axis=1)
+    return shared / np.maximum(m.sum(axis=1) + k.sum(axis=1) - shared, 1e-12)
+
+
 def _sums(x: np.ndarray, width: int) -> np.ndarray:
     """Sums of each ``width`` consecutive numbers, each added up by itself."""
     return np.lib.stride_tricks.sliding_window_view(x, width).sum(axis=1) if len(x) >= width else x[:0]
@@ -218,10 +258,21 @@ def shingle_similarity(a: list[str], b: list[str], size: int, weight: dict[str,
     return sum(min(x[s], y[s]) for s in x.keys() & y.keys()) / total if total else 0.0
 
 
-def _scan(rows: list[tuple[int, int, str]], width: int, radius: int, shingle: int, similarity: float, exact: bool):
+#: The index of the block a worker had last; a worker takes many tasks of one block.
+_last: dict[str, object] = {}
+
+
+def _index(name: str, rows: list[tuple[int, int, str]], width: int, radius: int, shingle: int, similarity: float, exact: bool) -> ItemIndex | ShingleIndex:
+    if name not in _last:
+        _last.clear()
+        _last[name] = ItemIndex(rows, width, radius, shingle, similarity) if exact else ShingleIndex(rows, width, shingle, similarity)
+    return _last[name]
+
+
+def _scan(block: Broadcast, name: str, width: int, radius: int, shingle: int, similarity: float, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(rows, width, radius) if exact else ShingleIndex(rows, width, shingle, similarity)
-        weight = word_weights(index.words)
+        index = _index(name, block.value, width, radius, shingle, similarity, exact)
+        weight = index.weight
         known: dict[str, int] = {}
         import xxhash
 
@@ -246,6 +297,9 @@ def _scan(rows: list[tuple[int, int, str]], width: int, radius: int, shingle: in
                     piece = h[at : at + CHUNK_WORDS + width - 1]
                     left, right = index.near(simhash_windows(piece, width) if exact else piece)
                     if exact and len(left):
+                        ok = index.verified(piece, left, right)
+                        left, right = left[ok], right[ok]
+                        # What follows is exact: of similar windows those of the same words.
                         same = exact_windows(piece, width)[left] == index.exact[right]
                         left, right = left[same], right[same]
                     for q, w in zip(left.tolist(), right.tolist(), strict=True):
@@ -289,7 +343,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     equal. Such windows share shingles, so candidates come from an index of the items' shingles,
     pruned by bounds of the similarity, and none is lost. With ``exact`` the words must be equal:
     every window gets a 64-bit SimHash, all pairs within ``radius`` bits are found through BLOCKS
-    block tables (pigeonhole), and equal windows are among them. A pair of document and item is one
+    block tables (pigeonhole), those whose weighted shingles are similar enough are kept, and of
+    these, windows of the same words count; equal windows pass both steps, so none is lost. A pair of document and item is one
     row, with its best similarity.
 
     The items are a stated query set: they go over the corpus in blocks of bounded size, each block
@@ -304,7 +359,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     for block in item_blocks(items, item_id, item_text):
         block = [r for r in block if len(words(r[2])) >= width]
         if block:
-            part = slim.mapInArrow(_scan(block, width, radius, shingle, similarity, exact), schema)
+            sent = docs.sparkSession.sparkContext.broadcast(block)
+            part = slim.mapInArrow(_scan(sent, uuid.uuid4().hex, width, radius, shingle, similarity, exact), schema)
             out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)

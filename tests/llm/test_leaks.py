@@ -51,6 +51,21 @@ def test_exact_passages_equal_brute_force_in_any_blocks(spark, monkeypatch):
     assert leaked_items(df, it.limit(0)).count() == 0 and leaked_items(df.limit(0), it).count() == 0
 
 
+def test_similarities_of_windows_equal_the_plain_ones():
+    rng = random.Random(3)
+    items = {i: [rng.choice(V[:6]) for _ in range(14)] for i in range(8)}
+    index = ItemIndex([(i, 0, " ".join(w)) for i, w in items.items()], 12, 3)
+    pairs = [(k, m) for k in range(len(index.hashes)) for m in range(len(index.hashes))]
+    a, b = [index.hashes[[p[k] for p in pairs]] for k in (0, 1)]
+    got = leaks.window_similarities(a, b, index._weights(a), index._weights(b), 5)
+    text = lambda k: items[index.item[k]][index.start[k] : index.start[k] + 12]
+    for (k, m), s in zip(pairs, got, strict=True):
+        assert abs(s - shingle_similarity(text(k), text(m), 5, index.weight)) < 1e-9
+    h = word_hashes(items[0])
+    left, right = np.zeros(len(index.hashes), np.int64), np.arange(len(index.hashes))
+    assert (index.verified(h, left, right) == (got[: len(index.hashes)] >= 0.8)).all()
+
+
 def test_near_passages_are_found_within_the_radius(spark):
     rng = random.Random(4)
     item = [rng.choice(V) for _ in range(60)]
