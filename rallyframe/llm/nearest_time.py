@@ -12,40 +12,40 @@ from rallyframe.session import buckets_for
 
 #: Days of one time shard.
 SHARD_DAYS = 365
-#: Sorted keys that one linear piece of the index covers.
-PIECE = 128
+#: Places that a linear piece of the index may be wrong by.
+MOST_ERROR = 8
 
 
 class LearnedIndex:
-    """Positions in a sorted integer array, predicted by linear pieces with known error bounds.
+    """Positions in a sorted integer array, predicted by linear pieces with a bounded error.
 
-    Each piece covers PIECE consecutive keys and predicts a position by the line through its ends;
-    the largest error over its own keys is kept, so a search never leaves prediction +- error + 1.
+    ``shards`` gives the shard of each key, never falling; a piece belongs to one shard. Each shard
+    starts as one piece, the line through its ends, and pieces that err by more than MOST_ERROR on a
+    key of theirs are cut in half until none does, so a search never leaves prediction +- error + 1.
     """
 
-    def __init__(self, keys: np.ndarray) -> None:
-        self.keys = keys
+    def __init__(self, keys: np.ndarray, shards: np.ndarray) -> None:
         n = len(keys)
-        self.start = np.arange(0, n, PIECE)
-        end = np.minimum(self.start + PIECE, n) - 1
-        self.low = keys[self.start]
-        span = np.maximum(keys[end] - self.low, 1)
-        self.slope = (end - self.start) / span
-        piece = np.arange(n) // PIECE
-        guess = self._guess(piece, keys)
-        self.error = np.zeros(len(self.start), dtype=np.int64)
-        np.maximum.at(self.error, piece, np.abs(guess - np.arange(n)))
+        self.keys, place = keys, np.arange(n)
+        start = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]])
+        while True:
+            end = np.r_[start[1:], n] - 1
+            self.start, self.end, self.low = start, end, keys[start]
+            self.slope = (end - start) / np.maximum(keys[end] - self.low, 1)
+            error = np.abs(self._guess(np.repeat(np.arange(len(start)), end - start + 1), keys) - place)
+            wrong = np.flatnonzero(np.maximum.reduceat(error, start) > MOST_ERROR)
+            if not len(wrong):
+                return
+            start = np.sort(np.r_[start, (start[wrong] + end[wrong] + 1) // 2])
 
     def _guess(self, piece: np.ndarray, x: np.ndarray) -> np.ndarray:
         return self.start[piece] + np.rint((x - self.low[piece]) * self.slope[piece]).astype(np.int64)
 
     def first_at_least(self, x: np.ndarray) -> np.ndarray:
         """For each x the first position whose key is >= x (the array's length if there is none)."""
-        n = len(self.keys)
         piece = np.maximum(np.searchsorted(self.low, x, side="left") - 1, 0)
-        guess, reach = self._guess(piece, x), self.error[piece] + 1
-        first, last = self.start[piece], np.minimum(self.start[piece] + PIECE, n)
-        lo, hi = np.clip(guess - reach, first, last), np.clip(guess + reach + 1, first, last)
+        guess, first, last = self._guess(piece, x), self.start[piece], self.end[piece] + 1
+        lo, hi = np.clip(guess - MOST_ERROR - 1, first, last), np.clip(guess + MOST_ERROR + 2, first, last)
         while True:
             open_ = lo < hi
             if not open_.any():
@@ -65,10 +65,10 @@ def _search(tolerance: int):
         if not queries.num_rows or not records.num_rows:
             return _OUT.empty_table()
         col = lambda t, c: t.column(c).to_numpy()
-        both = np.empty(queries.num_rows + records.num_rows, dtype=[("h", "i8"), ("g", "i8")])
-        both["h"] = np.concatenate([col(queries, "h__"), col(records, "h__")])
-        both["g"] = np.concatenate([col(queries, "g__"), col(records, "g__")])
-        _, code = np.unique(both, return_inverse=True)
+        both = np.empty(queries.num_rows + records.num_rows, dtype=[("h", "i8"), ("g", "i8"), ("s", "i4")])
+        for c in both.dtype.names:
+            both[c] = np.concatenate([col(queries, f"{c}__"), col(records, f"{c}__")])
+        _, code = np.unique(both, return_inverse=True)  # a number for each shard, of an entity and a stretch of time
         nq = queries.num_rows
         qd, rd = col(queries, "d__").astype(np.int64), col(records, "d__").astype(np.int64)
         base = min(qd.min(), rd.min()) - tolerance - 1
@@ -77,7 +77,7 @@ def _search(tolerance: int):
         order = np.argsort(rk, kind="stable")
         rk, ids = rk[order], col(records, "r__")[order]
         qk = code[:nq] * wide + (qd - base)
-        after = LearnedIndex(rk).first_at_least(qk)
+        after = LearnedIndex(rk, code[nq:][order]).first_at_least(qk)
         ahead = np.where(after < len(rk), rk[np.minimum(after, len(rk) - 1)] - qk, tolerance + 1)
         behind = np.where(after > 0, qk - rk[np.maximum(after - 1, 0)], tolerance + 1)
         pick = np.where(behind <= ahead, after - 1, after)
@@ -98,7 +98,7 @@ def nearest_in_time(queries: DataFrame, records: DataFrame, query_id: str, recor
     days, so an entity that holds a third of the rows leaves at most one row a day. Both are cut
     into time shards; a record within ``tolerance`` of a shard's edge goes to the neighbour too, so
     each shard answers its own queries alone. Shards are hashed into buckets of bounded size, where
-    a learned index finds the neighbours. Entities are carried as two 64-bit hashes and compared by
+    a learned index, fitted shard by shard, finds the neighbours. Entities are carried as two 64-bit hashes and compared by
     both. The answers go back to the query rows by a join that keeps hot entity days off one task.
     """
     spark = queries.sparkSession
@@ -115,9 +115,9 @@ def nearest_in_time(queries: DataFrame, records: DataFrame, query_id: str, recor
     have = r.groupBy("h__", "g__", "d__").agg(F.min("r__").alias("r__"))
     have = have.withColumn("s__", F.explode(F.array_distinct(F.array(*[shard(F.col("d__") + x) for x in (-tolerance, 0, tolerance)]))))
     found = (
-        ask.select("h__", "g__", "d__", bucket)
+        ask.select("h__", "g__", "s__", "d__", bucket)
         .groupBy("b__")
-        .cogroup(have.select("h__", "g__", "d__", "r__", bucket).groupBy("b__"))
+        .cogroup(have.select("h__", "g__", "s__", "d__", "r__", bucket).groupBy("b__"))
         .applyInArrow(_search(tolerance), "h__ long, g__ long, d__ int, r__ long")
     )
     back = skew_join(q.withColumnRenamed("r__", "q__"), found, ["h__", "g__", "d__"])

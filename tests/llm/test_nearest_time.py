@@ -4,7 +4,7 @@ from datetime import date, timedelta
 import numpy as np
 import pytest
 
-from rallyframe.llm.nearest_time import LearnedIndex, nearest_in_time
+from rallyframe.llm.nearest_time import MOST_ERROR, LearnedIndex, nearest_in_time
 
 Q, R = "qid long, a string, b string, day date, rid string", "rid long, a string, b string, day date, qid string"
 
@@ -38,6 +38,13 @@ def test_empty_tables(spark):
 def test_learned_index_equals_binary_search():
     rng = np.random.default_rng(1)
     for n in (1, 5, 128, 129, 3000):
-        keys = np.sort(rng.integers(0, rng.choice([3, 500, 10**12]), n))
-        x = np.concatenate([keys, keys + 1, keys - 1, rng.integers(-5, keys.max() + 5, 200)])
-        assert (LearnedIndex(keys).first_at_least(x) == np.searchsorted(keys, x)).all()
+        for kinds in (1, 7):
+            shard = np.sort(rng.integers(0, kinds, n))
+            keys = np.sort(np.unique(rng.integers(0, rng.choice([3, 500, 10**6]), n)) ** 2)
+            shard = np.sort(rng.integers(0, kinds, len(keys)))
+            keys = keys + shard * 10**13
+            x = np.concatenate([keys, keys + 1, keys - 1, rng.integers(-5, keys.max() + 5, 200)])
+            index = LearnedIndex(keys, shard)
+            assert (index.first_at_least(x) == np.searchsorted(keys, x)).all()
+            piece = np.repeat(np.arange(len(index.start)), index.end - index.start + 1)
+            assert np.abs(index._guess(piece, keys) - np.arange(len(keys))).max() <= MOST_ERROR and all(shard[a] == shard[b] for a, b in zip(index.start, index.end))
