@@ -20,8 +20,6 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern that splits a text before byte-pair merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of a long text that are tokenized at a time, cut at white space.
-PIECE_CHARS = 1 << 18
 #: Labelled rows the classifier is fitted on, at most about this many, and its hashed features.
 FIT_ROWS, FEATURES = 20_000, 1 << 13
 #: Buckets of the two histograms that place each source's rounding threshold.
@@ -30,7 +28,6 @@ GRID = 1024
 SLACK = 0.995
 
 _WORD = re.compile(r"[^\W_]+")
-_PIECE = re.compile(r"[\s\S]{1,%d}(?!\S)|[\s\S]{1,%d}" % (PIECE_CHARS, PIECE_CHARS))
 
 
 def _encoding(folder: str):
@@ -45,7 +42,8 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", tokenizer
     """The columns ``keep`` and ``tokens`` (bigint): the tokens of each whole text; 0 for null or empty.
 
     The count of one word never depends on its neighbours beyond the pattern's split, so words seen
-    before are taken from a bounded memory of their counts. Long texts go in pieces cut at white space.
+    before are taken from a bounded memory of their counts. Texts and words of any length are
+    tokenized uncut.
     """
     from pyspark.sql.types import LongType, StructField, StructType
 
@@ -60,14 +58,16 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", tokenizer
             counts = []
             for t in b.column(len(keep)).to_pylist():
                 n = 0
-                for piece in (t,) if t and len(t) <= PIECE_CHARS else _PIECE.findall(t or ""):
-                    for w in split.findall(piece):
-                        k = known.get(w)
-                        if k is None:
+                for m in split.finditer(t or ""):
+                    w = m.group()
+                    k = known.get(w)
+                    if k is None:
+                        k = len(enc.encode_ordinary(w))
+                        if len(w) < 100:
                             if len(known) > 200_000:
                                 known.clear()
-                            k = known[w] = len(enc.encode_ordinary(w)) if len(w) < 2000 else sum(len(enc.encode_ordinary(w[i : i + 2000])) for i in range(0, len(w), 2000))
-                        n += k
+                            known[w] = k
+                    n += k
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(counts, pa.int64())], names=[*keep, "tokens"])
 
@@ -164,7 +164,8 @@ def mix(docs: DataFrame, weights: DataFrame, doc_id: str = "doc_id", text: str =
 
     First result: ``doc_id``, ``source``, ``tokens``, ``rate`` (expected draws), ``copies`` (draws).
     Second: ``source``, ``target_share``, ``expected_share`` and ``actual_share`` of all drawn
-    tokens, ``documents`` drawn, ``draws``, ``max_copies``, ``max_repeats``, ``tokens``; tokens of
+    tokens, ``documents`` drawn, ``draws``, ``max_copies``, ``max_repeats``, ``tokens``,
+    ``most_tokens`` (what its own documents could give) and ``converged`` (whether the rates settled); tokens of
     documents of unknown source count by their membership, documents and draws by source alone.
 
     Each document has a soft membership over the sources of ``weights``: its own source if that is
@@ -173,7 +174,8 @@ def mix(docs: DataFrame, weights: DataFrame, doc_id: str = "doc_id", text: str =
     on the least squares of expected domain tokens against the targets, each rate kept between 0
     and its expected cap; a step is one pass over the staged memberships and one sum per source, so
     the driver sees a vector per step. The total drawn is SLACK times the largest for which every
-    source can reach its share with its own labelled documents within their repeats. Rates are rounded to whole draws by a per-source threshold
+    source can reach its share with its own labelled documents within their repeats; a source that has
+    none is reported with 0 ``most_tokens``, and the others share its part in their proportions. Rates are rounded to whole draws by a per-source threshold
     on a hash of the id, placed by two histograms of bounded size, so no document exceeds its
     ``max_repeats`` and each source misses its tokens by about one document.
 
@@ -190,7 +192,7 @@ def mix(docs: DataFrame, weights: DataFrame, doc_id: str = "doc_id", text: str =
     k = len(sources)
     if not k:
         empty = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.lit(0).cast("long").alias("tokens"), F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
-        return empty, spark.createDataFrame([], "source string, target_share double, expected_share double, actual_share double, documents long, draws long, max_copies int, max_repeats int, tokens long")
+        return empty, spark.createDataFrame([], "source string, target_share double, expected_share double, actual_share double, documents long, draws long, max_copies int, max_repeats int, tokens long, most_tokens long, converged boolean")
     share = np.array([goal[s][0] for s in sources])
     share /= share.sum()
     most = np.array([goal[s][1] for s in sources], dtype=float)
@@ -231,13 +233,17 @@ def mix(docs: DataFrame, weights: DataFrame, doc_id: str = "doc_id", text: str =
 
     steps = np.zeros((0, k))
     _, there, capped = totals(steps)
-    total = SLACK * float(np.min(capped / share))
-    want = share * total
+    # A source without a document that could be drawn reaches nothing; the others keep their proportions.
+    has = capped > 0
+    part = np.where(has, share, 0.0) / max(share[has].sum(), 1e-300)
+    total = SLACK * float(np.min(capped[has] / part[has])) if has.any() else 0.0
+    want = part * total
     scale = np.where(there > 0, there, 1.0)
-    reached = np.zeros(k)
-    for _ in range(iterations):
+    reached, converged = np.zeros(k), False
+    for _ in range(iterations + 1):
         error = reached - want
-        if total <= 0 or np.max(np.abs(error)) <= tolerance * total:
+        converged = total <= 0 or bool(np.max(np.abs(error)) <= tolerance * total)
+        if converged or len(steps) == iterations:
             break
         steps = np.vstack([steps, (error / scale)[None, :]])
         reached = totals(steps)[0]
@@ -285,6 +291,6 @@ def mix(docs: DataFrame, weights: DataFrame, doc_id: str = "doc_id", text: str =
     lines = []
     for i, s in enumerate(sources):
         n = (seen[s]["documents"], seen[s]["draws"], seen[s]["max_copies"]) if s in seen else (0, 0, 0)
-        lines.append((s, float(share[i]), sums[f"e{i}"] / all_expected, sums[f"t{i}"] / all_tokens, *n, int(most[i]), int(sums[f"t{i}"])))
-    schema = "source string, target_share double, expected_share double, actual_share double, documents long, draws long, max_copies int, max_repeats int, tokens long"
+        lines.append((s, float(share[i]), sums[f"e{i}"] / all_expected, sums[f"t{i}"] / all_tokens, *n, int(most[i]), int(sums[f"t{i}"]), int(capped[i]), converged))
+    schema = "source string, target_share double, expected_share double, actual_share double, documents long, draws long, max_copies int, max_repeats int, tokens long, most_tokens long, converged boolean"
     return drawn.drop("member"), spark.createDataFrame(lines, schema)
