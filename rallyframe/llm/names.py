@@ -358,7 +358,8 @@ def link_names(spellings: DataFrame, registry: DataFrame) -> DataFrame:
     sure = exact.where("cost < 1").select("spelling").distinct()
     rest = stage(typed.join(sure, "spelling", "left_anti").where("length(form) > 2"))
     near = near_forms(rest.select("form").distinct(), known.select("near").distinct())
-    loose = skew_join(rest.join(near, "form"), known, ["near"]).select(*shape).mapInArrow(_cost, costed)
+    walked = stage(rest.join(near, "form"))
+    loose = skew_join(walked, known, ["near"]).select(*shape).mapInArrow(_cost, costed)
     best = exact.unionByName(loose).groupBy("spelling", "player_id").agg(F.min("cost").alias("cost"))
     order = Window.partitionBy("spelling").orderBy("cost", "player_id")
     ranked = best.select("spelling", "player_id", "cost", F.row_number().over(order).alias("n"), F.lead("cost").over(order).alias("next"))
