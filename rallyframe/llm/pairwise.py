@@ -21,7 +21,7 @@ UNROLL = 4
 BLOCK = 2_000_000
 
 
-def offence_defence(results: DataFrame, group: str, winner: str, loser: str, smoothing: float = SMOOTHING, tolerance: float = 1e-4, iterations: int = 400, items: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def offence_defence(results: DataFrame, group: str, winner: str, loser: str, smoothing: float = SMOOTHING, tolerance: float = 1e-4, iterations: int = 400, weight: str | None = None, block: int = BLOCK) -> DataFrame:
     """A strength for each item of each group: ``group``, ``item``, ``wins``, ``losses``, ``strength``, ``converged``.
 
     Sinkhorn iterations on the matrix of wins: an item's offence is the sum over its wins of
@@ -32,8 +32,8 @@ def offence_defence(results: DataFrame, group: str, winner: str, loser: str, smo
     whether that came before ``iterations`` were done.
 
     Each row is one win. Null groups, winners or losers, and items beating themselves, are left out;
-    repeated rows each count; an empty table gives no rows. ``items`` (``group``, ``item``) may name
-    items without a comparison; their strength is 1. Rows are first counted per pair, so an item in a
+    repeated rows each count; an empty table gives no rows. ``weight`` names a column of what a row
+    counts; items that have only rows of weight 0 (or null) have strength 1. Rows are first counted per pair, so an item in a
     third of the rows has at most one entry per opponent. The entries are staged in two
     partitionings, by winner and by loser, in which each half iteration joins the vector it needs
     without moving the entries: only partial sums, one per item and task, are shuffled. An item with
@@ -42,20 +42,21 @@ def offence_defence(results: DataFrame, group: str, winner: str, loser: str, smo
     """
     spark = results.sparkSession
     p = partitions(spark)
-    rows = results.select(F.col(group).cast("string").alias("g"), F.col(winner).cast("string").alias("w"), F.col(loser).cast("string").alias("l")).dropna().where("w <> l")
-    pairs = stage(rows.groupBy("g", "w", "l").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    rows = results.select(F.col(group).cast("string").alias("g"), F.col(winner).cast("string").alias("w"), F.col(loser).cast("string").alias("l"), (F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)).alias("n")).dropna().where("w <> l")
+    pairs = stage(rows.groupBy("g", "w", "l").agg(F.sum("n").alias("n")))
     # An empty entry of each item with itself keeps items without a win or a loss in every sum.
     every = pairs.select("g", F.explode(F.array("w", "l")).alias("w"))
-    if items is not None:
-        every = every.unionByName(items.select(F.col(group).cast("string").alias("g"), F.col("item").cast("string").alias("w")).dropna())
     own = every.groupBy("g", "w").agg(F.lit(0.0).alias("n")).select("g", "w", F.col("w").alias("l"), "n")
     entries = pairs.unionByName(own)
+    large = pairs.limit(block + 1).count() > block  # else no item can have more than a block
     sides = {}
     for c, other in (("w", "l"), ("l", "w")):
-        # At most entries / block items are split, so the list of them is short beside the entries.
-        split = entries.groupBy("g", c).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block).select("g", c, F.ceil(F.col("k") / block).cast("int").alias("z"))
-        split = stage(split)
-        if split.limit(1).count():
+        split = None
+        if large:
+            # At most entries / block items are split, so the list of them is short beside the entries.
+            split = stage(entries.groupBy("g", c).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block).select("g", c, F.ceil(F.col("k") / block).cast("int").alias("z")))
+            split = split if split.limit(1).count() else None
+        if split is not None:
             cut = entries.join(small(split), ["g", c], "left").withColumn("z", F.pmod(F.xxhash64(other), F.coalesce("z", F.lit(1))).cast("int"))
             sides[c] = (stage(cut.repartition(p, "g", c, "z").sortWithinPartitions("g", c, "z"), partitioned=True), split)
         else:

@@ -31,9 +31,8 @@ def _ranked(spark: SparkSession, sf_dir: str, surfaces: list[str] | None = None)
     rows = table(spark, sf_dir, "tiny").where(surface.isin(surfaces) if surfaces else surface != "")
     played = ~F.coalesce(F.upper("score").contains("W/O"), F.lit(False))
     seen = rows.select(surface.alias("surface"), clean_id("winner_id").alias("winner"), clean_id("loser_id").alias("loser"), "tourney_id", canonical_text("round", code=True).alias("round"), played.alias("played"))
-    once = stage(seen.groupBy("surface", "winner", "loser", "tourney_id", "round").agg(F.max("played").alias("played")))
-    items = once.select("surface", F.explode(F.array("winner", "loser")).alias("item"))
-    found = offence_defence(once.where("played"), "surface", "winner", "loser", items=items)
+    once = seen.groupBy("surface", "winner", "loser", "tourney_id", "round").agg(F.max(F.col("played").cast("int")).alias("played"))
+    found = offence_defence(once, "surface", "winner", "loser", weight="played")
     return global_ranks(found.withColumnRenamed("item", "player_id"), "surface", "strength", "player_id")
 
 

@@ -33,9 +33,10 @@ def test_equals_a_dense_iteration(spark):
 def test_split_items_and_items_without_comparisons(spark):
     rng = np.random.default_rng(4)
     rows = [("g", *((f"p{a}", "hot") if rng.random() < 0.4 else ("hot", f"p{a}"))) for a in rng.integers(0, 40, 120)] + [("g", "p1", "p2")]
-    df, items = spark.createDataFrame(rows, "s string, w string, l string"), spark.createDataFrame([("g", "alone"), ("g", "hot"), ("h", "alone"), (None, "x"), ("g", None)], "s string, item string")
-    got = {(r.s, r["item"]): r for r in offence_defence(df, "s", "w", "l", tolerance=1e-9, items=items, block=7).collect()}
-    want = brute(rows) | {("g", "alone"): 1.0, ("h", "alone"): 1.0}
+    given = [(*r, 1) for r in rows] + [("g", "alone", "hot", 0), ("h", "alone", "too", None), (None, "x", "y", 0), ("g", None, "y", 0)]
+    df = spark.createDataFrame(given, "s string, w string, l string, played int")
+    got = {(r.s, r["item"]): r for r in offence_defence(df, "s", "w", "l", tolerance=1e-9, weight="played", block=7).collect()}
+    want = brute(rows) | {("g", "alone"): 1.0, ("h", "alone"): 1.0, ("h", "too"): 1.0}
     assert set(got) == set(want) and all(r.converged for r in got.values())
     for k, r in got.items():
         assert r.strength == pytest.approx(want[k], rel=1e-6)
