@@ -13,7 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.operators.skew import skew_join, small
+from rallyframe.llm.names import link_names, registered_forms, tokens
+from rallyframe.operators.skew import lookup_join, skew_join, small
 from rallyframe.session import buckets_for, partitions, stage, stage_table
 
 #: Rows of the other table, before and after a row in sorted order, that it is compared with.
@@ -119,7 +120,40 @@ class Assignment:
         return self.pairs
 
 
-_FIELDS = ["side", "id", "p1", "p2", "n1", "n2", "day", "event", "surface", "twin"]
+_FIELDS = ["side", "id", "a", "b", "day", "event", "surface", "twin"]
+_SCHEMA = pa.schema([(c, pa.int64() if c in ("id", "twin") else pa.int32() if c in ("side", "day") else pa.string()) for c in _FIELDS])
+_FOUND = pa.schema([("pair", pa.string()), ("l", pa.int64()), ("r", pa.int64()), ("event", pa.string()), ("confidence", pa.float64())])
+#: Mark between the words and the id of a linked player's name key.
+LINK = "#"
+
+
+def name_key(name: str | None, player_id: str | None = None) -> str:
+    """What a name sorts by: the folded words of a registered name, surname first, and its id; of an unlinked one the words, longest first."""
+    if player_id is None:
+        return " ".join(sorted(tokens(name or ""), key=lambda w: (-len(w), w)))
+    forms = registered_forms(name or "")
+    return " ".join(forms[0] if forms else ()) + LINK + player_id
+
+
+def name_keys(spellings: DataFrame, people: DataFrame) -> DataFrame:
+    """``spelling`` and ``key`` of each distinct spelling: that of the registered person it means, else of its own words.
+
+    Spellings that two persons fit alike are not linked.
+    """
+    texts = stage(spellings.select("spelling").dropna().groupBy("spelling").agg(F.lit(1).alias("x")).select("spelling"))
+    links = link_names(texts, people).where("margin is null or margin > 0").select("spelling", "player_id")
+    registered = people.where("player_id is not null and name is not null").groupBy("player_id").agg(F.min("name").alias("name"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(i).to_pylist() for i in range(3)]
+            keys = [name_key(n if n is not None else t, i if n is not None else None) for t, i, n in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string())], names=["spelling", "key"])
+
+    met = texts.join(lookup_join(links, registered, ["player_id"]), "spelling", "left").select("spelling", "player_id", "name")
+    return stage(met.mapInArrow(run, "spelling string, key string"))
+
+
 def _neighbourhood(left: DataFrame, right: DataFrame, shard: F.Column, order: list[F.Column], days: int = STRETCH) -> DataFrame:
     """Both tables sorted together by ``order``, within shards of a key and a stretch of ``days``.
 
@@ -134,170 +168,183 @@ def _neighbourhood(left: DataFrame, right: DataFrame, shard: F.Column, order: li
     return rows.repartition(partitions(left.sparkSession), "key", "stretch").sortWithinPartitions("key", "stretch", *places, "side", "id")
 
 
-def confidence(q: list, r: list, seen: dict) -> float:
-    """Weighted similarity of two rows; missing fields are left out of the weights. 0 without a shared player."""
-    (_, _, a1, a2, m1, m2, qday, qevent, qsurface, _), (_, _, b1, b2, n1, n2, rday, revent, rsurface, _) = q, r
-    shared = len({a1, a2} & {b1, b2} - {None})
-    if not shared:
-        return 0.0
-    if shared == 2:
-        players = 1.0
-    else:
-        mine, my_name = (a2, m2) if a1 in (b1, b2) and a1 is not None else (a1, m1)
-        other, name = (b2, n2) if b1 in (a1, a2) and b1 is not None else (b1, n1)
-        if (mine is not None and other is not None) or not my_name or not name:
-            return 0.0
-        players = 0.5 + 0.5 * _ratio(" ".join(sorted(event_words(my_name))), " ".join(sorted(event_words(name))))
-        if players < 0.8:
-            return 0.0
-    gap = qday - rday
-    date = 1.0 - (0 if 0 <= gap <= WEEK else -gap if gap < 0 else gap - WEEK) / 12.0
-    parts = {"players": players, "date": max(date, 0.0)}
-    event = seen.get((qevent, revent), -1.0)
-    if event == -1.0:
-        qwords, rwords = [seen.get(e) or seen.setdefault(e, event_words(e)) for e in (qevent, revent)]
-        event = seen[qevent, revent] = words_similarity(qwords, rwords)
-    if event is not None:
-        parts["event"] = event
-    if qsurface and rsurface:
-        parts["surface"] = float(qsurface == rsurface)
-    return sum(WEIGHTS[k] * x for k, x in parts.items()) / sum(WEIGHTS[k] for k in parts)
-
-
-def _both_shared(left: pa.Table, right: pa.Table, i: np.ndarray, j: np.ndarray, gap: np.ndarray) -> np.ndarray:
-    """``confidence`` of pairs that share both players, worked by column; each distinct pair of event names once."""
-
-    def codes(c: str) -> tuple[np.ndarray, np.ndarray, list]:
-        both = pa.chunked_array([x for t, k in ((left, i), (right, j)) for x in t.column(c).take(pa.array(k)).chunks], pa.string()).combine_chunks().dictionary_encode()
-        n = both.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        return n[: len(i)], n[len(i) :], both.dictionary.to_pylist()
-
-    weight = np.full(len(i), WEIGHTS["players"] + WEIGHTS["date"])
-    off = np.where(gap < 0, -gap, np.maximum(gap - WEEK, 0))
-    total = WEIGHTS["players"] + WEIGHTS["date"] * np.maximum(1.0 - off / 12.0, 0.0)
-    a, b, names = codes("event")
-    words = [event_words(n) for n in names]
-    named = (a >= 0) & (b >= 0)
-    known, back = np.unique(a[named] * len(names) + b[named], return_inverse=True)
-    alike = [words_similarity(words[k // len(names)], words[k % len(names)]) for k in known.tolist()]
-    event = np.full(len(i), np.nan)
-    event[named] = np.array([np.nan if x is None else x for x in alike], dtype=float)[back]
-    ok = ~np.isnan(event)
-    weight[ok] += WEIGHTS["event"]
-    total[ok] += WEIGHTS["event"] * event[ok]
-    a, b, _ = codes("surface")
-    ok = (a >= 0) & (b >= 0)
-    weight[ok] += WEIGHTS["surface"]
-    total[ok] += WEIGHTS["surface"] * (a == b)[ok]
-    return total / weight
-
-
-_SCHEMA = pa.schema([(c, pa.int64() if c in ("id", "twin") else pa.int32() if c in ("side", "day") else pa.string()) for c in _FIELDS])
-
+class Scorer:
+    """Confidences of pairs of rows, worked by column: each distinct pair of names and of event names once."""
+
+    def __init__(self, left: pa.Table, right: pa.Table) -> None:
+        self.n = left.num_rows
+        both = pa.concat_tables([left.select(_FIELDS), right.select(_FIELDS)])
+        self.day = both.column("day").to_numpy().astype(np.int64)
+        people = pa.chunked_array([*both.column("a").chunks, *both.column("b").chunks], pa.string()).combine_chunks().dictionary_encode()
+        code = people.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.a, self.b = code[: len(self.day)], code[len(self.day) :]
+        keys = people.dictionary.to_pylist()
+        self.linked = np.array([LINK in k for k in keys] + [False])
+        self.names = [" ".join(sorted(k.split(LINK)[0].split())) for k in keys]
+        self.alike: dict[int, float] = {}
+        self.event, self.events = self._codes(both, "event")
+        self.surface, _ = self._codes(both, "surface")
+        self.fits: dict[int, float] = {}
+
+    @staticmethod
+    def _codes(t: pa.Table, c: str) -> tuple[np.ndarray, list]:
+        d = t.column(c).combine_chunks().dictionary_encode()
+        return d.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
+
+    def name_similarity(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """1 for equal keys; else, where a side is not linked, from 0.8 by edits; 0 where names are missing, too far apart or of two linked persons."""
+        out = np.zeros(len(x))
+        out[(x == y) & (x >= 0)] = 1.0
+        open_ = np.flatnonzero((x != y) & (x >= 0) & (y >= 0) & ~(self.linked[x] & self.linked[y]))
+        if len(open_):
+            pairs, back = np.unique(x[open_] * len(self.names) + y[open_], return_inverse=True)
+            for p in pairs.tolist():
+                if p not in self.alike:
+                    m, w = self.names[p // len(self.names)], self.names[p % len(self.names)]
+                    # A name much longer than the other is not worth its edits.
+                    near = bool(m and w) and min(len(m), len(w)) >= 0.59 * max(len(m), len(w))
+                    s = 0.5 + 0.5 * _ratio(m, w) if near else 0.0
+                    self.alike[p] = s if s >= 0.8 else 0.0
+            out[open_] = np.array([self.alike[p] for p in pairs.tolist()])[back]
+        return out
+
+    def players(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The mean similarity of both players in the better of the two ways round; 0 if either player is unlike."""
+        a1, b1, a2, b2 = self.a[i], self.b[i], self.a[j], self.b[j]
+        best = np.zeros(len(i))
+        same = (a1 == a2) & (b1 == b2) & (a1 >= 0) & (b1 >= 0)
+        best[same] = 1.0
+        rest = np.flatnonzero(~same)
+        for x, y in ((a2, b2), (b2, a2)):
+            one = self.name_similarity(a1[rest], x[rest])
+            some = np.flatnonzero(one)
+            two = self.name_similarity(b1[rest[some]], y[rest[some]])
+            best[rest[some]] = np.maximum(best[rest[some]], np.where(two > 0, 0.5 * (one[some] + two), 0.0))
+        return best
+
+    def confidence(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Weighted similarity of left rows ``i`` and right rows ``j``: players, event, date and surface, over what both have."""
+        j = j + self.n
+        gap = self.day[i] - self.day[j]
+        out = np.zeros(len(i))
+        ok = np.flatnonzero((gap >= -EARLY) & (gap <= LATE))
+        players = self.players(i[ok], j[ok])
+        some = players > 0
+        ok, players, gap = ok[some], players[some], gap[ok[some]]
+        i, j = i[ok], j[ok]
+        off = np.where(gap < 0, -gap, np.maximum(gap - WEEK, 0))
+        weight = np.full(len(ok), WEIGHTS["players"] + WEIGHTS["date"])
+        total = WEIGHTS["players"] * players + WEIGHTS["date"] * np.maximum(1.0 - off / 12.0, 0.0)
+        named = np.flatnonzero((self.event[i] >= 0) & (self.event[j] >= 0))
+        pairs, back = np.unique(self.event[i[named]] * len(self.events) + self.event[j[named]], return_inverse=True)
+        for p in pairs.tolist():
+            if p not in self.fits:
+                x = event_similarity(self.events[p // len(self.events)], self.events[p % len(self.events)])
+                self.fits[p] = np.nan if x is None else x
+        event = np.array([self.fits[p] for p in pairs.tolist()])[back] if len(named) else np.empty(0)
+        named, event = named[~np.isnan(event)], event[~np.isnan(event)]
+        weight[named] += WEIGHTS["event"]
+        total[named] += WEIGHTS["event"] * event
+        placed = (self.surface[i] >= 0) & (self.surface[j] >= 0)
+        weight[placed] += WEIGHTS["surface"]
+        total[placed] += WEIGHTS["surface"] * (self.surface[i] == self.surface[j])[placed]
+        out[ok] = total / weight
+        return out
+
+
+def _found(left: pa.Table, right: pa.Table, i: np.ndarray, j: np.ndarray, score: np.ndarray) -> pa.Table:
+    """Candidate pairs with a confidence over a half; a right row stands for the smallest id of its twins here."""
+    keep = np.flatnonzero(score > 0.5)
+    _, which = np.unique(right.column("twin").to_numpy(), return_inverse=True)
+    least = np.full(len(which), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, right.column("id").to_numpy())
+    mine, theirs = left.take(pa.array(i[keep])), right.take(pa.array(j[keep]))
+    pair = pc.binary_join_element_wise(theirs.column("a").fill_null(""), theirs.column("b").fill_null(""), "|")
+    return pa.table([pair, mine.column("id"), pa.array(least[which][j[keep]]), mine.column("event"), pa.array(score[keep])], schema=_FOUND)
+
+
+def _windows(window: int, rows: int = 200_000):
+    """Compare each left row of a sorted stream with the ``window`` right rows before and after it; edges of what is held are carried over."""
+
+    def compare(t: pa.Table, carried: bool, last: bool) -> tuple[pa.Table, pa.Table]:
+        side = t.column("side").to_numpy()
+        left, right = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
+        m = right.num_rows
+        place = np.cumsum(side)[side == 0]  # right rows before each left row
+        due = np.ones(len(place), dtype=bool) if not carried else place > window
+        if not last:
+            due &= place <= m - window
+        pairs = []
+        for shift in range(-window, window):
+            i = np.flatnonzero(due & (place + shift >= 0) & (place + shift < m))
+            pairs.append((i, place[i] + shift))
+        i, j = [np.concatenate(x) for x in zip(*pairs, strict=True)]
+        # Right rows that the last left rows still wait for, and as many before them.
+        at = 0 if m <= 2 * window else int(np.flatnonzero(side)[m - 2 * window])
+        return _found(left, right, i, j, Scorer(left, right).confidence(i, j)), t.slice(at) if not last else t.slice(0, 0)
 
-def _compare(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["pair", "l", "r", "event", "confidence"]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
-        tables = [b for b in batches if b.num_rows]
-        if tables:
-            t = pa.Table.from_batches(tables).select(_FIELDS).cast(_SCHEMA)
-            side = t.column("side").to_numpy()
-            left = t.filter(pa.array(side == 0))
-            right = t.filter(pa.array(side == 1))
-            place = np.cumsum(side)[side == 0]  # right rows before each left row
-            # Twins stand together, as they share players and day; the smallest id of them answers.
-            ids = right.column("id").to_numpy()
-            twin, which = np.unique(right.column("twin").to_numpy(), return_inverse=True)
-            least = np.full(len(twin), np.iinfo(np.int64).max)
-            np.minimum.at(least, which, ids)
-            # Players as numbers, the same on both sides; unknown players equal no one.
-            names4 = pa.chunked_array([c for x in (left, right) for p in ("p1", "p2") for c in x.column(p).chunks], pa.string())
-            code = names4.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            n, m = left.num_rows, right.num_rows
-            l1, l2, r1, r2 = code[:n], code[n : 2 * n], code[2 * n : 2 * n + m], code[2 * n + m :]
-            lday, rday = left.column("day").to_numpy().astype(np.int64), right.column("day").to_numpy().astype(np.int64)
-            pairs = []
-            for shift in range(-window, window):
-                i = np.flatnonzero((place + shift >= 0) & (place + shift < m))
-                j = place[i] + shift
-                gap = lday[i] - rday[j]
-                same = ((l1[i] >= 0) & ((l1[i] == r1[j]) | (l1[i] == r2[j]))) | ((l2[i] >= 0) & ((l2[i] == r1[j]) | (l2[i] == r2[j])))
-                ok = same & (gap >= -EARLY) & (gap <= LATE)
-                pairs.append((i[ok], j[ok]))
-            i, j = [np.concatenate(x) for x in zip(*pairs, strict=True)]
-            two = (l1[i] >= 0) & (l2[i] >= 0) & (((l1[i] == r1[j]) & (l2[i] == r2[j])) | ((l1[i] == r2[j]) & (l2[i] == r1[j])))
-            score = np.zeros(len(i))
-            score[two] = _both_shared(left, right, i[two], j[two], (lday[i] - rday[j])[two])
-            keep = np.flatnonzero(score > 0.5)
-            a, b = pa.array(i[keep]), pa.array(j[keep])
-            mark = [right.column(c).take(b).fill_null("") for c in ("p1", "p2")]
-            low = pc.less(*mark)
-            out = [pc.binary_join_element_wise(pc.if_else(low, *mark), pc.if_else(low, *mark[::-1]), "|"), left.column("id").take(a), pa.array(least[which][j[keep]]), left.column("event").take(a), pa.array(score[keep])]
-            yield from pa.table(out, names=names).to_batches()
-            return
-        yield pa.RecordBatch.from_arrays([pa.array([], k) for k in types], names=names)
+        held, carried = _SCHEMA.empty_table(), False
+        for b in batches:
+            if b.num_rows:
+                held = pa.concat_tables([held, pa.Table.from_batches([b]).select(_FIELDS).cast(_SCHEMA)])
+                if held.num_rows >= rows and pc.sum(held.column("side")).as_py() > 4 * window:
+                    out, rest = compare(held, carried, False)
+                    yield from out.to_batches()
+                    # With few right rows the tail is the whole, and is compared again from its start.
+                    carried, held = rest.num_rows < held.num_rows or carried, rest
+        if held.num_rows:
+            yield from compare(held, carried, True)[0].to_batches()
+        yield from _FOUND.empty_table().to_batches()
 
     return run
 
 
-def _compare_unsure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs within the dates of a shard of one known player in which the other player is unknown on a side."""
-    names = ["pair", "l", "r", "event", "confidence"]
-    out: dict[str, list] = {c: [] for c in names}
-    tables = [b for b in batches if b.num_rows]
-    if tables:
-        t = pa.Table.from_batches(tables)
-        # Shards stand one after another; within one, right rows are sorted by day.
+def _shards(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.Table]:
+    """Whole shards (equal key and stretch, which stand together) of a sorted stream, some at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(x.num_rows for x in held) < rows:
+            continue
+        t = pa.Table.from_batches(held)
+        key, stretch = [t.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("key", "stretch")]
+        new = np.flatnonzero((np.diff(key) != 0) | (np.diff(stretch) != 0)) + 1
+        if len(new):
+            yield t.slice(0, new[-1])
+            held = t.slice(new[-1]).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _within_dates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs within the dates of a shard of one known player in which another player is not linked: a window as wide as the dates."""
+    for t in _shards(batches):
         key, stretch = t.column("key").combine_chunks().dictionary_encode().indices.to_numpy(), t.column("stretch").to_numpy()
         shard = np.concatenate([[0], np.cumsum((np.diff(key) != 0) | (np.diff(stretch) != 0))])
-        x = t.column("key")
         t = t.select(_FIELDS).cast(_SCHEMA)
-        side = t.column("side").to_numpy()
-        ids, twin, day = [t.column(c).to_numpy().astype(np.int64) for c in ("id", "twin", "day")]
+        side, day = t.column("side").to_numpy(), t.column("day").to_numpy().astype(np.int64)
+        left, right = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
+        if not left.num_rows or not right.num_rows:
+            continue
+        scorer = Scorer(left, right)
+        sure = scorer.linked[scorer.a] & scorer.linked[scorer.b]
         place = shard * (1 << 26) + day + (1 << 25)
-        # The player that is not the shard's, with the name that is compared.
-        first = pc.fill_null(pc.equal(t.column("p1"), x), False)
-        other = pc.if_else(first, t.column("p2"), t.column("p1"))
-        name = pc.if_else(first, t.column("n2"), t.column("n1")).combine_chunks().dictionary_encode()
-        unknown = other.is_null().to_numpy()
-        code = name.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        plain = [" ".join(sorted(event_words(n))) for n in name.dictionary.to_pylist()]
-        least: dict[int, int] = {}
-        for k, n in zip(twin[side == 1].tolist(), ids[side == 1].tolist(), strict=True):
-            least[k] = min(n, least.get(k, n))
-        alike: dict[tuple[int, int], bool] = {}
-        seen: dict = {}
-        row = lambda n: tuple(t.column(c)[n].as_py() for c in _FIELDS)
-        named = code >= 0
-        for ask, have in ((unknown, np.ones(len(t), bool)), (~unknown, unknown)):
-            i, j = np.flatnonzero((side == 0) & named & ask), np.flatnonzero((side == 1) & named & have)
-            low = np.searchsorted(place[j], place[i] - LATE, side="left")
-            count = np.searchsorted(place[j], place[i] + EARLY, side="right") - low
+        mine, theirs = place[side == 0], place[side == 1]
+        for ask, have in ((~sure[: left.num_rows], np.ones(right.num_rows, bool)), (sure[: left.num_rows], ~sure[left.num_rows :])):
+            i, j = np.flatnonzero(ask), np.flatnonzero(have)
+            # Within a shard right rows are sorted by day.
+            low = np.searchsorted(theirs[j], mine[i] - LATE, side="left")
+            count = np.maximum(np.searchsorted(theirs[j], mine[i] + EARLY, side="right") - low, 0)
             work = np.cumsum(count)
-            for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(work // 2_000_000)) + 1):
+            for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(work // 1_000_000)) + 1):
                 k = count[part]
                 a = np.repeat(i[part], k)
                 b = j[np.repeat(low[part], k) + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)]
-                ok = shard[a] == shard[b]
-                a, b = a[ok], b[ok]
-                both, back = np.unique(code[a] * (len(plain) + 1) + code[b], return_inverse=True)
-                fits = np.zeros(len(both), dtype=bool)
-                for n, (m, w) in enumerate(zip((both // (len(plain) + 1)).tolist(), (both % (len(plain) + 1)).tolist(), strict=True)):
-                    if (m, w) not in alike:
-                        # A name much longer than the other is not worth its edits.
-                        p, q = plain[m], plain[w]
-                        alike[m, w] = min(len(p), len(q)) >= 0.59 * max(len(p), len(q)) and 0.5 + 0.5 * _ratio(p, q) >= 0.8
-                    fits[n] = alike[m, w]
-                ok = fits[back]
-                for m, w in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
-                    q, r = row(m), row(w)
-                    c = confidence(q, r, seen)
-                    if c > 0.5:
-                        for k, v in zip(names, ("|".join(sorted((r[2] or "", r[3] or ""))), q[1], least[r[9]], q[7], c), strict=True):
-                            out[k].append(v)
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
-    yield pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in zip(names, types, strict=True)], names=names)
+                yield from _found(left, right, a, b, scorer.confidence(a, b)).to_batches()
+    yield from _FOUND.empty_table().to_batches()
 
 
 def _assign(confident: float):
@@ -371,52 +418,72 @@ def _assign_pair(rows: list[tuple], confident: float, out: dict[int, tuple[float
                 out[l] = (c, r)
 
 
-def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confident: float = CONFIDENT, rows_per_bucket: int = 200_000, people: DataFrame | None = None) -> DataFrame:
+def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confident: float = CONFIDENT, rows_per_bucket: int = 200_000) -> DataFrame:
     """The row of ``right`` that each row of ``left`` is about: ``l``, ``r`` (ids) and ``confidence`` (0 to 1).
 
-    Rows of ``right`` that are one thing written again may share a number ``twin`` (they must agree in
-    players and day); the smallest id of them stands for all. Both tables have ``id`` (bigint), ``p1``, ``p2`` (ids of the two players where known), ``n1``,
-    ``n2`` (their names as typed), ``day`` (date), ``event`` and ``surface``. Rows of a table that
-    are equal but for ``id`` should be given once (``match_quotes`` sees to the quotes).
-
-    The tables are sorted together by both players and day, and every left row is compared with the
-    ``window`` right rows before and after it. Rows with one unknown player are compared with all rows
-    of the known player within the dates, in shards of player and week. ``people`` (``player_id``,
-    ``name``) names known players that come without a name, for these comparisons. Rows within the dates' tolerance that share a player
-    get a confidence, the weighted mean of the similarities of players, event, date and surface over
-    the fields that both have. Candidates are then assigned per pair of players so that total
-    confidence is largest with each event of left going to one row of right; ties go to the smaller
-    id. One shared player is enough where the other is unknown on a side and both names are given and alike. Rows without an id or day match nothing, nulls elsewhere lower what can be compared, and
-    either table may be empty.
+    Both tables have ``id`` (bigint), ``k1`` and ``k2`` (the players' name keys, see ``name_key``),
+    ``day`` (date), ``event`` and ``surface``; ``right`` may have ``twin``, a number shared by rows
+    that are one thing written again (they must agree in players and day): the smallest id of them
+    stands for all. Rows of a table that are equal but for ``id`` should be given once
+    (``match_quotes`` sees to the quotes). Name keys are unordered: ``a`` is the smaller, ``b`` the other.
+
+    The tables are sorted together by several composite keys, and each left row is compared with its
+    neighbours of the right table in each order:
+      1. all rows by (a, b, day, event), ``window`` rows before and after;
+      2. rows with one linked player, and all they may be about, by (linked player, day), all within
+         the dates, so that no player is too busy for the window;
+      3. rows without a linked player, with all rows of their weeks, by (event, words of both names,
+         day), by (words, event, day) and by the words from the last on, ``window`` rows before and after.
+    Pairs within the dates' tolerance whose players are alike both (the same key, or names few edits
+    apart where a side is not linked) get a confidence, the weighted mean of the similarities of
+    players, event, date and surface over the fields that both have. Candidates are then assigned per
+    pair of players so that total confidence is largest with each event of left going to one row of
+    right; ties go to the smaller id. Rows without an id or day match nothing, nulls elsewhere lower
+    what can be compared, and either table may be empty.
 
     Each order is cut into shards of a key and a stretch of days, with right rows near an edge on
-    both sides of it, which keeps a hot player or event off one task.
+    both sides of it, which keeps a hot player, event or week off one task; sorted rows are streamed.
     """
-    twin = lambda df: F.col("twin") if "twin" in df.columns else F.col("id").cast("long")
-    slim = lambda df: df.select(F.col("id").cast("long").alias("id"), "p1", "p2", "n1", "n2", F.unix_date(F.col("day").cast("date")).alias("day"), "event", "surface", twin(df).alias("twin")).where("id is not null and day is not null")
+    def slim(df: DataFrame) -> DataFrame:
+        keys = [F.when(F.col(k) != "", F.col(k)) for k in ("k1", "k2")]
+        twin = F.col("twin") if "twin" in df.columns else F.col("id").cast("long")
+        ordered = [F.least(*keys).alias("a"), F.when(keys[0].isNotNull() & keys[1].isNotNull(), F.greatest(*keys)).alias("b")]
+        return df.select(F.col("id").cast("long").alias("id"), *ordered, F.unix_date(F.col("day").cast("date")).alias("day"), "event", "surface", twin.alias("twin")).where("id is not null and day is not null and a is not null and b is not null")
+
     left, right = slim(left), slim(right)
-    known = F.col("p1").isNotNull() & F.col("p2").isNotNull()
-    pair = F.when(known, F.concat_ws("|", F.least("p1", "p2"), F.greatest("p1", "p2")))
     schema = "pair string, l long, r long, event string, confidence double"
-    found = _neighbourhood(left, right, pair, [F.col("day")]).mapInArrow(_compare(window), schema)
-    # Rows with one unknown player meet all rows of the known one within the dates.
-    one = F.col("p1").isNull() != F.col("p2").isNull()
-    unsure = [stage(df.where(one).withColumn("x", F.coalesce("p1", "p2"))) for df in (left, right)]
-    some = [df.limit(1).count() > 0 for df in unsure]
-    if any(some):
-        cell = F.floor(F.col("day") / (EARLY + LATE))
-        near = lambda df: df.select("x", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
-
-        def around(df: DataFrame, other: DataFrame) -> DataFrame:
-            players = df.where(known).withColumns({"x": F.explode(F.array("p1", "p2")), "cell": cell})
-            return players.join(small(near(other)), ["x", "cell"], "left_semi")
-
-        few = [own.unionByName(around(df, other).select(*own.columns)) if met else own for own, df, other, met in ((unsure[0], left, unsure[1], some[1]), (unsure[1], right, unsure[0], some[0]))]
-        if people is not None:
-            named = people.where("player_id is not null").groupBy("player_id").agg(F.min("name").alias("name"))
-            for p, n in (("p1", "n1"), ("p2", "n2")):
-                few = [skew_join(df, named.select(F.col("player_id").alias(p), F.col("name").alias("name")), [p], "left").withColumn(n, F.coalesce(n, "name")).drop("name") for df in few]
-        found = found.unionByName(_neighbourhood(*[stage(df) for df in few], F.col("x"), [F.col("day")], days=WEEK + 1).mapInArrow(_compare_unsure, schema))
+    day, event = F.col("day"), F.coalesce(F.lower("event"), F.lit(""))
+    first = F.concat_ws("|", "a", F.substring("b", 1, 3))
+    found = _neighbourhood(left, right, first, [F.col("b"), day, event]).mapInArrow(_windows(window), schema)
+    known = F.col("a").contains(LINK).cast("int") + F.col("b").contains(LINK).cast("int")
+    x = F.when(F.col("a").contains(LINK), F.col("a")).otherwise(F.col("b"))
+    cell = F.floor(day / (EARLY + LATE))
+    unsure = [stage(df.where(known < 2)) for df in (left, right)]
+
+    def around(df: DataFrame, other: DataFrame, player: bool) -> DataFrame:
+        """Rows that those of the other table with as few linked players may be about."""
+        near = other.where(known == (1 if player else 0)).select(*([x.alias("x")] if player else []), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
+        rows = df.where(known == 2).withColumn("x", F.explode(F.array("a", "b"))) if player else df.where(known > 0)
+        return rows.withColumn("cell", cell).join(small(near), ["x", "cell"] if player else ["cell"], "left_semi").drop("cell")
+
+    for player in (True, False):
+        few = [df.where(known == (1 if player else 0)) for df in unsure]
+        met = [df.limit(1).count() > 0 for df in few]
+        if not any(met):
+            continue
+        sides = []
+        for own, df, i in ((few[0], left, 1), (few[1], right, 0)):
+            own = own.withColumn("x", x) if player else own
+            others = around(df, unsure[i], player) if met[i] else own.limit(0)
+            sides.append(own.unionByName(others.select(*own.columns)))
+        sides = [stage(df) for df in sides]
+        if player:
+            found = found.unionByName(_neighbourhood(*sides, F.col("x"), [day], days=WEEK + 1).mapInArrow(_within_dates, schema))
+        else:
+            words = F.array_sort(F.split(F.concat_ws(" ", *[F.substring_index(k, LINK, 1) for k in ("a", "b")]), " "))
+            up, down = F.array_join(words, " "), F.array_join(F.reverse(words), " ")
+            for order in ([event, up], [up, event], [down, event]):
+                found = found.unionByName(_neighbourhood(*sides, F.substring(order[0], 1, 2), [*order, day], days=WEEK + 1).mapInArrow(_windows(window), schema))
     found = stage(found.groupBy("pair", "l", "r", "event").agg(F.max("confidence").alias("confidence")))
     b = buckets_for(found.count(), rows_per_bucket, left.sparkSession)
     chosen = found.groupBy(F.pmod(F.xxhash64("pair"), F.lit(b)).alias("b")).applyInArrow(_assign(confident), "l long, r long, confidence double")
@@ -426,15 +493,14 @@ def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confid
 def match_quotes(quotes: DataFrame, results: DataFrame, **options) -> DataFrame:
     """``match_events`` for quotes that may stand many times: ``l``, ``r``, ``confidence``.
 
-    Quotes that agree in players, names of unknown players, day, event and surface are compared
-    once, by their smallest id, and the answer goes to all of them. ``results`` has each result once.
+    Quotes that agree in players' keys, day, event and surface are compared once, by their smallest
+    id, and the answer goes to all of them.
     """
-    # Known players stand for their names, however typed.
-    by = ["p1", "p2", "n1", "n2", "day", "event", "surface"]
-    q = quotes.withColumns({"n1": F.when(F.col("p1").isNull(), F.col("n1")), "n2": F.when(F.col("p2").isNull(), F.col("n2"))})
+    by = ["k1", "k2", "day", "event", "surface"]
+    q = quotes.withColumns({"k1": F.least("k1", "k2"), "k2": F.greatest("k1", "k2")}).where("k1 is not null and k2 is not null and day is not null")
     filled = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in by]
     mark = ["h1", "h2"]  # 128 bits of the columns in ``by``
-    q = stage_table(q.withColumns({"h1": F.xxhash64(*filled), "h2": F.xxhash64(F.lit(2), *filled)}))
+    q = stage_table(q.select("id", *by, F.xxhash64(*filled).alias("h1"), F.xxhash64(F.lit(2), *filled).alias("h2")))
     one = stage_table(q.groupBy(*mark, *by).agg(F.min("id").alias("id")))
     found = match_events(one.drop(*mark), results, **options)
     answers = one.select(*mark, F.col("id").alias("l")).join(found, "l").drop("l")

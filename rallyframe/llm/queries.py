@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.functions.dates import clean_id, usable_date
 from rallyframe.llm.canonical import canonical_copies, canonical_groups, canonical_text
-from rallyframe.llm.entity_match import match_quotes
+from rallyframe.llm.entity_match import match_quotes, name_keys
 from rallyframe.llm.leaks import leaked_items
 from rallyframe.llm.mixing import mix
 from rallyframe.llm.names import link_names
 from rallyframe.llm.nearest_time import nearest_in_time
 from rallyframe.llm.pairwise import global_ranks, offence_defence
 from rallyframe.llm.text_quality import text_quality
-from rallyframe.operators.skew import hot_keys, skew_join, small
-from rallyframe.session import stage, stage_table
+from rallyframe.operators.skew import skew_join, small
+from rallyframe.session import stage
 from rallyframe.sources.tables import table
 
 FORMATTED = ["tourney_name", "round", "winner_name", "loser_name"]
@@ -71,36 +73,40 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_in_time(odds, tiny, "odds_id", "row_id", ["one", "two"], "date", "day", 8).distinct()
 
 
+#: Rows up to which the table of name keys (two short texts a row) is broadcast, about 20 MB.
+KEYED_NAMES = 200_000
+
+
 def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each quote that is for a result in tiny, with that result's first row and a confidence."""
+    """Each quote that is for a result in tiny, with that result's first row and a confidence.
+
+    All names are read as typed, on both sides, and keyed by what problem 3's operator makes of them;
+    no ids of players are used. A result sent again, alike or nearly, is one result: rows that agree
+    in players, event, round and score are twins. Rows whose own date is unusable have their event's.
+    """
     odds, tiny = table(spark, sf_dir, "odds_template"), table(spark, sf_dir, "tiny")
     surface = F.upper(F.substring(F.trim("surface"), 1, 1))
     surface = F.when(surface.isin("H", "C", "G"), surface)
-    quotes = stage_table(odds.select(F.col("odds_id").alias("id"), F.col("player1").alias("n1"), F.col("player2").alias("n2"), F.col("date").cast("date").alias("day"), F.col("tournament").alias("event"), surface.alias("surface")))
-    # A result sent again, alike or nearly, is one result: rows that agree in players, event, round and score are twins.
-    who = [clean_id("winner_id").alias("p1"), clean_id("loser_id").alias("p2")]
-    same = F.xxhash64(F.regexp_replace(F.upper("round"), "[^A-Z0-9]+", ""), F.coalesce("score", F.lit("")))
-    rows = tiny.select(*who, "winner_name", "loser_name", F.xxhash64("tourney_id").alias("t"), same.alias("m"), F.col("row_id").alias("id"), usable_date("tourney_date").alias("day"), F.col("tourney_name").alias("event"), surface.alias("surface"))
-    rows = rows.withColumns({"n1": F.when(F.col("p1").isNull(), F.col("winner_name")), "n2": F.when(F.col("p2").isNull(), F.col("loser_name"))}).drop("winner_name", "loser_name")
-    once = stage_table(rows.groupBy("p1", "p2", "n1", "n2", "t", "m", "event", "surface").agg(F.min("id").alias("id"), F.min("day").alias("day")))
-    typed = quotes.select(F.col("n1").alias("spelling")).union(quotes.select("n2")).union(once.where("n1 is not null").select("n1")).union(once.where("n2 is not null").select("n2"))
-    links = stage(link_names(typed, _people(spark, sf_dir)).select("spelling", "player_id"))
-
-    def linked(df: DataFrame, name: str, to: str, hot: list | None = None) -> DataFrame:
-        return skew_join(df, links.select(F.col("spelling").alias(name), F.col("player_id").alias(to)), [name], "left", hot=hot)
-
-    hot = [hot_keys(quotes, [n]) for n in ("n1", "n2")]
-    left = linked(linked(quotes, "n1", "p1", hot[0]), "n2", "p2", hot[1])
-    # Only rows without an id, or whose own date is unusable, need a name looked up or a date from their event.
-    gaps = F.col("n1").isNotNull() | F.col("n2").isNotNull() | F.col("day").isNull()
-    days = once.where("day is not null").groupBy("t").agg(F.min("day").alias("event_day"))
-    fixed = stage(once.where(gaps)).join(days, "t", "left").withColumn("day", F.coalesce("day", "event_day")).drop("event_day")
-    fixed = stage(linked(linked(fixed, "n1", "x1", []), "n2", "x2", []).withColumns({"p1": F.coalesce("p1", "x1"), "p2": F.coalesce("p2", "x2")}).drop("x1", "x2"))
-    columns = ["id", "p1", "p2", "n1", "n2", "day", "event", "surface"]
-    players = [F.coalesce("p1", "n1"), F.coalesce("p2", "n2")]
-    pair = [F.least(*players), F.greatest(*players)]
-    right = once.where(~gaps).unionByName(fixed.select(*once.columns)).select(*columns, F.xxhash64("t", "m", *pair).alias("twin"))
-    found = match_quotes(left.select(*columns), right, people=_people(spark, sf_dir))
+    quotes = odds.select(F.col("odds_id").alias("id"), F.col("player1").alias("n1"), F.col("player2").alias("n2"), F.col("date").cast("date").alias("day"), F.col("tournament").alias("event"), surface.alias("surface"))
+    same = F.concat_ws("|", F.regexp_replace(F.upper("round"), "[^A-Z0-9]+", ""), F.coalesce("score", F.lit("")))
+    rows = tiny.select(F.col("row_id").alias("id"), F.col("winner_name").alias("n1"), F.col("loser_name").alias("n2"), usable_date("tourney_date").alias("day"), F.col("tourney_name").alias("event"), surface.alias("surface"), "tourney_id", same.alias("same"))
+    typed = [df.select(F.col(n).alias("spelling")) for df in (quotes, rows) for n in ("n1", "n2")]
+    keys = name_keys(reduce(DataFrame.union, typed), _people(spark, sf_dir))
+    few = keys.limit(KEYED_NAMES + 1).count() <= KEYED_NAMES
+
+    def keyed(df: DataFrame) -> DataFrame:
+        for n, k in (("n1", "k1"), ("n2", "k2")):
+            names = keys.select(F.col("spelling").alias(n), F.col("key").alias(k))
+            df = df.join(F.broadcast(names), n, "left") if few else skew_join(df, names, [n], "left")
+        return df.drop("n1", "n2")
+
+    right = keyed(rows)
+    undated = rows.where("day is null and tourney_id is not null").select("tourney_id").distinct()
+    days = rows.join(small(undated), "tourney_id", "left_semi").groupBy("tourney_id").agg(F.min("day").alias("event_day"))
+    right = right.join(small(stage(days)), "tourney_id", "left").withColumn("day", F.coalesce("day", "event_day"))
+    where = F.coalesce(F.col("tourney_id"), F.concat(F.lit("~"), F.coalesce("event", F.lit("")), F.lit("~"), F.coalesce(F.col("day").cast("string"), F.lit(""))))
+    right = right.withColumn("twin", F.xxhash64(where, "same", F.least("k1", "k2"), F.greatest("k1", "k2"))).drop("tourney_id", "same", "event_day")
+    found = match_quotes(keyed(quotes), right)
     return found.select(F.col("l").alias("odds_id"), F.col("r").alias("row_id"), "confidence")
 
 
