@@ -98,7 +98,7 @@ def decayed_means(rows: DataFrame, decays: dict[str, tuple[Column, Column, int]]
 
     A mean covers the player's last ``cap`` clean matches before the day; of those, the ones that
     pass the decay's filter and have a value; each weighs 2 ** (-days ago / half-life). As the weight
-    at any day is the weight at day 0 times a common factor, sums up to a match minus sums up to the
+    at any day is the weight at the player's first day times a common factor, sums up to a match minus sums up to the
     match ``cap`` before give every mean: one sort by player, and a constant cost per row however
     long a player's history is.
     """
@@ -106,7 +106,8 @@ def decayed_means(rows: DataFrame, decays: dict[str, tuple[Column, Column, int]]
     order = Window.partitionBy("player").orderBy(*ORDER)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("player").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    epoch = F.lit(10957)  # 2000-01-01: keeps the powers small
+    epoch = F.col("epoch")  # the player's first day: keeps the powers small
+    rows = rows.withColumn("epoch", F.min("day").over(Window.partitionBy("player")))
     sums: dict[str, Column] = {}
     for name, (value, counts, half) in decays.items():
         weight = F.when(F.col("is_clean") & counts & value.isNotNull(), F.pow(F.lit(2.0), (F.col("day") - epoch) / F.lit(float(half))))
@@ -123,4 +124,4 @@ def decayed_means(rows: DataFrame, decays: dict[str, tuple[Column, Column, int]]
         some = w > 0  # exactly 0 if nothing was added since the match ``cap`` before
         out[name] = F.when(some, v / w)
         out[f"{name}_n"] = F.when(some, w * F.pow(F.lit(2.0), (epoch - F.col("day")) / F.lit(float(half)))).otherwise(F.lit(0.0))
-    return both.withColumns(out).drop("state", "past")
+    return both.withColumns(out).drop("state", "past", "epoch")

@@ -115,27 +115,32 @@ def largest_fall(df: DataFrame, keys: list[str], order: list[str], value: str, p
     return parts.groupBy(*keys).agg(F.max(F.greatest("fall", F.col("top") - F.col("start") - F.col("low"), F.lit(0.0))).alias("largest_fall"))
 
 
-def bootstrap_mean(df: DataFrame, value: str, resamples: int = 3000, seed: int = 260904, chunk: int = 50) -> DataFrame:
-    """5th, 50th and 95th percentile of the mean of ``value`` under resampling rows: ``p05``, ``p50``, ``p95``.
-
-    Poisson bootstrap: each row draws its count in each resample from its own generator seeds, so
-    resamples are sums over partitions and no task ever holds the column. An empty table gives nulls.
+def bootstrap_mean(df: DataFrame, value: str, resamples: int = 3000, seed: int = 260904, buckets: int = 64) -> DataFrame:
+    """5th, 50th and 95th percentile of the mean of ``value`` over resamples of all rows: ``p05``, ``p50``, ``p95``.
+
+    Each resample draws as many rows as there are, with replacement. Rows are counted by value and
+    values hashed into ``buckets``; a resample's draws fall to the buckets as one multinomial, which
+    every bucket makes alike from the resample's seed, and to the values of a bucket as another. So no
+    task holds the column, and the result depends on the values and not on how rows are spread. An
+    empty table gives nulls.
     """
     rows = df.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    # Seeded by content, the draws do not depend on how rows are spread.
-    rows = rows.groupBy("v").agg(F.count(F.lit(1)).alias("k"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, resamples))
-        for b in batches:
-            for v, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rng = np.random.default_rng([seed, int(np.float64(v).view(np.uint64))])
-                n = rng.poisson(k, resamples)
-                total[0] += n * v
-                total[1] += n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(total[0]), pa.array(total[1])], names=["i", "s", "n"])
-
-    means = rows.mapInArrow(run, "i long, s double, n double").groupBy("i").agg((F.try_divide(F.sum("s"), F.sum("n"))).alias("m"))
+    rows = rows.groupBy("v").agg(F.count(F.lit(1)).alias("k")).withColumn("b", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int"))
+    sizes = np.zeros(buckets, dtype=np.int64)
+    for b, n in rows.groupBy("b").agg(F.sum("k")).collect():
+        sizes[b] = n
+    total = int(sizes.sum())
+
+    def run(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("v").to_numpy(), kind="stable")
+        v, k, own = t.column("v").to_numpy()[order], t.column("k").to_numpy()[order], t.column("b")[0].as_py()
+        sums = np.empty(resamples)
+        for i in range(resamples):
+            drawn = np.random.default_rng([seed, i]).multinomial(total, sizes / total)[own]
+            sums[i] = np.random.default_rng([seed, i, own]).multinomial(drawn, k / k.sum()) @ v
+        return pa.table({"i": pa.array(np.arange(resamples)), "s": pa.array(sums)})
+
+    means = rows.groupBy("b").applyInArrow(run, "i long, s double").groupBy("i").agg((F.sum("s") / F.lit(float(max(total, 1)))).alias("m"))
     q = F.percentile("m", F.array(*[F.lit(x) for x in (0.05, 0.5, 0.95)]))
     return means.agg(q.alias("q")).select(*[F.col("q")[i].alias(f"p{x}") for i, x in enumerate(("05", "50", "95"))])
 

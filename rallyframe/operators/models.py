@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date, timedelta
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -305,14 +306,15 @@ def walk_forward(df: DataFrame, horizon: int, block: int = 28, min_train: int =
 
     Weights and calibration of a block are fitted on earlier blocks only, or taken from ``frozen``.
     Output: the test rows with ``fold_id``, ``p_<model>`` and the ensemble's columns. Each fold is
-    staged, so a lost executor costs at most its fold.
+    staged once, so a lost executor costs at most its fold.
     """
     make = make or (lambda n, seed: candidate_models(n, seed))
-    day, done = F.col("date").cast("date"), None
+    day, parts = F.col("date").cast("date"), []
     for fold, (start, end, n, _) in enumerate(validation_blocks(df, horizon, block, min_train, min_test)):
         train = stage(augment_symmetric(df.where((day >= F.lit(start - timedelta(days=horizon))) & (day < F.lit(start)))))
         models = {name: m.fit(train) for name, m in make(2 * n, 42 + fold).items()}
         names = [f"p_{m}" for m in models]
+        done = reduce(DataFrame.unionByName, parts) if parts else None
         if frozen is not None:
             weights, calibrator = frozen.weights, frozen.calibrator
         elif done is None:
@@ -321,10 +323,10 @@ def walk_forward(df: DataFrame, horizon: int, block: int = 28, min_train: int =
             weights, calibrator = blend_weights(done, names), Calibrator().fit(done, "ensemble_raw")
         ensemble = Ensemble(models, weights, calibrator)
         part = stage(ensemble.predict(df.where((day >= F.lit(start)) & (day < F.lit(end)))).withColumn("fold_id", F.lit(fold)))
-        done = part if done is None else stage(done.unionByName(part))
-    if done is None:
+        parts.append(part)
+    if not parts:
         raise ValueError(f"no block of {block} days has enough rows")
-    return done
+    return reduce(DataFrame.unionByName, parts)
 
 
 def compare_horizons(df: DataFrame, horizons: list[int], **options) -> tuple[int, list[dict]]:
@@ -351,6 +353,54 @@ def fit_final(df: DataFrame, oof: DataFrame, horizon: int, cutoff: date, make: C
     return Ensemble(models, blend_weights(past, [f"p_{m}" for m in models]), Calibrator().fit(past, "ensemble_raw"))
 
 
+# The inputs of the offset model besides its offset.
+OFFSET_FEATURES = [
+    "fund_market_logit_gap", "fund_market_prob_gap", "reliability_centered", "ensemble_dispersion", "elo_surface_blend_diff_100", "elo_dynamic_surface_blend_diff_100", "elo_speed_gap_diff_100",
+    "recent_residual_90_diff", "surface_residual_180_diff", "challenger_residual_180_diff", "spw_90_diff", "rpw_90_diff", "rank_log_diff", "points_log_diff", "min_experience_log",
+    "min_surface_experience_log", "stat_coverage", "surface_clay", "surface_hard", "surface_grass",
+]
+
+
+def with_reference_gaps(df: DataFrame, probability: str = "predicted_probability", reference: str = "market_probability_a") -> DataFrame:
+    """``df`` with a model's gaps to a reference probability and the terms of trust that go with them.
+
+    ``fund_market_logit_gap`` and ``fund_market_prob_gap`` (both probabilities kept 1e-5 from 0 and
+    1), ``reliability_centered`` (less a half; a null counts as 0) and the ``_log`` of both minimum
+    experiences (log1p; a null counts as 0). Null probabilities give null gaps.
+    """
+    kept = lambda c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(CLIP)), F.lit(1 - CLIP)))
+    none = F.lit(0.0)
+    return df.withColumns(
+        {
+            "fund_market_logit_gap": logit(kept(probability)) - logit(kept(reference)), "fund_market_prob_gap": kept(probability) - kept(reference), "reliability_centered": F.coalesce("reliability", none) - 0.5,
+            "min_experience_log": F.log1p(F.coalesce("min_experience", none)), "min_surface_experience_log": F.log1p(F.coalesce("min_surface_experience", none)),
+        }
+    )
+
+
+@dataclass
+class OffsetModel:
+    """A fitted offset logistic with the number of rows it was fitted on; saved to and loaded from the shared store."""
+
+    model: Logistic
+    rows: int
+
+    @staticmethod
+    def fit(df: DataFrame, columns: list[str] | None = None, offset: str = "market_logit_a", l2: float = 18.0) -> OffsetModel:
+        return OffsetModel(Logistic(columns or OFFSET_FEATURES, l2, offset).fit(df), df.where("target is not null").count())
+
+    def predict(self, df: DataFrame, to: str = "value_probability") -> DataFrame:
+        return self.model.predict(df, to)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(json.dumps({"rows": self.rows, "model": self.model.to_json()}),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> OffsetModel:
+        about = json.loads(spark.read.text(path, wholetext=True).first()[0])
+        return OffsetModel(Logistic.from_json(about["model"]), about["rows"])
+
+
 def walk_forward_offset(df: DataFrame, columns: list[str], offset: str, fallback: str, l2: float = 18.0, least: int = 350, to: str = "value_probability") -> DataFrame:
     """Per ``fold_id`` an offset logistic fitted on earlier folds; ``fallback`` where these have too few rows or one class."""
     folds = sorted(r[0] for r in df.select("fold_id").distinct().collect())  # one number per fold

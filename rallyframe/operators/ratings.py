@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rallyframe.session import stage
+
 
 @dataclass(frozen=True)
 class RatingConfig:
     """Parameters of the rating families."""
 
+    # The definition's base, scale, steps and decay.
     base: float = 1500.0
     scale: float = 400.0
     k_slow: float = 22.0
@@ -36,11 +40,20 @@ class _Player:
     surface_dynamic: dict[str, float] = field(default_factory=dict)
     surface_matches: dict[str, int] = field(default_factory=dict)
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def from_json(text: str) -> _Player:
+        return _Player(**json.loads(text))
+
 
 FAMILIES = ("slow", "dynamic", "fast", "surface", "surface_dynamic")
 #: What the fold reads, besides the order: nothing that is not needed for ratings is carried.
-_IN = ("universe", "row_id", "day", "winner_key", "loser_key", "surface", "winner_rank", "loser_rank", "is_clean")
+_IN = ("universe", "row_id", "day", "winner_key", "loser_key", "surface", "winner_rank", "loser_rank", "is_clean", "state")
 _OUT = ", ".join(["row_id long", *[f"{s}_{f} double" for s in ("w", "l") for f in FAMILIES], "expected double"])
+#: A player's state: what a later fold needs to go on from ``day``, whose own matches are not yet in it.
+STATE = "universe string, player string, day int, state string"
 
 
 class RatingFold:
@@ -90,20 +103,40 @@ class RatingFold:
             p.surface_matches[surface] = n + 1
 
 
-def _fold(config: RatingConfig, by_day: bool):
+def _fold(config: RatingConfig, by_day: bool, keep: bool):
+    """The fold over sorted rows; with ``keep`` each universe ends with its players' states, the last day's matches not applied."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         universe, day, fold, waiting = None, None, RatingFold(config), []
         names = [x.split()[0] for x in _OUT.split(", ")]
+
+        def out(ids: list, rows: list, states: list) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 11
+            arrays = [pa.array(ids, pa.int64()), *[pa.array(c, pa.float64()) for c in cols]]
+            if not keep:
+                return pa.RecordBatch.from_arrays(arrays, names=names)
+            n, own = len(states), [pa.nulls(len(ids), t) for t in (pa.string(), pa.string(), pa.int32(), pa.string())]
+            more = [pa.array([x[i] for x in states], a.type) for i, a in enumerate(own)]
+            arrays = [pa.concat_arrays([a, pa.nulls(n, a.type)]) for a in arrays] + [pa.concat_arrays([a, m]) for a, m in zip(own, more, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=[*names, *[c.split()[0] for c in STATE.split(", ")]])
+
+        def states() -> list:
+            return [(universe, k, day if by_day else None, p.to_json()) for k, p in fold.players.items()] if keep else []
+
         for b in batches:
-            ids, rows = [], []
-            for u, i, d, w, l, s, wr, lr, clean in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if u != universe or d != day:
+            ids, rows, ended = [], [], []
+            for u, i, d, w, l, s, wr, lr, clean, state in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if u != universe:
+                    ended += states()
+                    fold, waiting = RatingFold(config), []
+                elif d != day:
                     for x in waiting:
                         fold.play(*x)
                     waiting = []
-                if u != universe:
-                    fold = RatingFold(config)
                 universe, day = u, d
+                if state is not None:
+                    fold.players[w] = _Player.from_json(state)
+                    continue
                 pw, pl = fold.player(w, wr), fold.player(l, lr)
                 ids.append(i)
                 rows.append(fold.view(pw, pl, s))
@@ -112,13 +145,26 @@ def _fold(config: RatingConfig, by_day: bool):
                         waiting.append((pw, pl, s))
                     else:
                         fold.play(pw, pl, s)
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 11
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, pa.float64()) for c in cols]], names=names)
+            yield out(ids, rows, ended)
+        yield out([], [], states())
 
     return run
 
 
-def pre_match_ratings(matches: DataFrame, row_id: str = "row_id", universe: str | None = None, replay: str = "day", config: RatingConfig | None = None) -> DataFrame:
+def _folded(matches: DataFrame, row_id: str, universe: str | None, replay: str, config: RatingConfig | None, states: DataFrame | None, keep: bool) -> DataFrame:
+    pool = F.col(universe).cast("string") if universe else F.lit("all")
+    day = ["proxy_date", "tourney_id", "round_order", "match_num", "winner_key", "loser_key"]
+    order = day if replay == "day" else ["tourney_date", "round_order", "match_num", "winner_key", "loser_key"]
+    thin = matches.select(pool.alias("universe"), F.col(row_id).cast("long").alias("row_id"), F.unix_date("proxy_date").alias("day"), *_IN[3:-1], F.lit(None).cast("string").alias("state"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    if states is not None:
+        # States stand before the matches of their universe: their order columns are null.
+        thin = thin.unionByName(states.select("universe", F.col("player").alias("winner_key"), "state"), allowMissingColumns=True)
+    keys = [F.col("state").isNull(), *[F.col(f"o{i}") for i in range(len(order))], F.col("row_id")]
+    rows = thin.repartition("universe").sortWithinPartitions("universe", *keys).select(*_IN)
+    return rows.mapInArrow(_fold(config or RatingConfig(), replay == "day", keep), f"{_OUT}, {STATE}" if keep else _OUT)
+
+
+def pre_match_ratings(matches: DataFrame, row_id: str = "row_id", universe: str | None = None, replay: str = "day", config: RatingConfig | None = None, states: DataFrame | None = None) -> DataFrame:
     """Both sides' ratings before each match: ``row_id``, ``w_*`` and ``l_*`` per family, ``expected``.
 
     ``matches`` is canonical. With ``replay="day"`` all matches of one ``proxy_date`` see the state
@@ -127,13 +173,18 @@ def pre_match_ratings(matches: DataFrame, row_id: str = "row_id", universe: str
     of pools of players that never meet; each is folded on its own, in parallel. A rating couples
     every player of a pool to every other, so one pool is inherently one sequence: it is streamed
     in sorted batches through one task, which holds the players' states and never the matches.
-    Null ranks seed at the base; repeated rows are matches of their own; an empty table gives no rows.
+    ``states`` (from ``ratings_and_states``) lets the fold go on from an earlier one. Null ranks seed
+    at the base; repeated rows are matches of their own; an empty table gives no rows.
     """
-    pool = F.col(universe).cast("string") if universe else F.lit("all")
-    day = ["proxy_date", "tourney_id", "round_order", "match_num", "winner_key", "loser_key"]
-    order = day if replay == "day" else ["tourney_date", "round_order", "match_num", "winner_key", "loser_key"]
-    thin = matches.select(pool.alias("universe"), F.col(row_id).cast("long").alias("row_id"), F.unix_date("proxy_date").alias("day"), *_IN[3:], *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    keys = [f"o{i}" for i in range(len(order))] + ["row_id"]
-    rows = thin.repartition("universe").sortWithinPartitions("universe", *keys).select(*_IN)
-    out = rows.mapInArrow(_fold(config or RatingConfig(), replay == "day"), _OUT)
-    return out.withColumnRenamed("row_id", row_id)
+    return _folded(matches, row_id, universe, replay, config, states, False).withColumnRenamed("row_id", row_id)
+
+
+def ratings_and_states(matches: DataFrame, row_id: str = "row_id", universe: str | None = None, replay: str = "day", config: RatingConfig | None = None, states: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``pre_match_ratings``, and the players' states (STATE) at its end, to be saved and taken up again.
+
+    With ``replay="day"`` the last day of each universe is not yet in its states, as more of its
+    matches may come: the fold that goes on is given all matches from ``day`` on. One pass makes both.
+    """
+    both = stage(_folded(matches, row_id, universe, replay, config, states, True))
+    ratings = both.where("player is null").drop("universe", "player", "day", "state").withColumnRenamed("row_id", row_id)
+    return ratings, both.where("player is not null").select("universe", "player", "day", "state")

@@ -234,7 +234,7 @@ def m_largest_fall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An interval of the mean surprise."""
-    return _six(metrics.bootstrap_mean(_edge(spark, sf_dir), "gain", 500))
+    return _six(metrics.bootstrap_mean(_edge(spark, sf_dir), "gain"))
 
 
 def m_top_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
