@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from rallyframe.operators.matches import ORDER, canonical_matches, keep_first, m
 from rallyframe.operators.ratings import pre_match_ratings
 from rallyframe.operators.validation import event_weeks
 from rallyframe.plans import feature_sql
-from rallyframe.session import stage
+from rallyframe.session import checkpoint_dir, stage
 from rallyframe.sources.results import canonical_quotes
 from rallyframe.sources.sinks import systematic_sample
 from rallyframe.sources.tables import table
@@ -249,6 +251,19 @@ def m_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(chosen.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.avg("gain").alias("mean_gain")))
 
 
+def m_grid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid's selections summed up over months, in one job."""
+    grid = spark.createDataFrame([(f"{f}/{x}", f, x) for f in (0.05, 0.1, 0.25) for x in (0.5, 0.7)], "policy string, fraction double, floor double")
+    return _six(selection.grid_summary(_edge(spark, sf_dir), "tourney_date", [F.desc("p"), F.asc("row_id")], grid, F.col("p") >= F.col("floor"), month("tourney_date"), "gain"))
+
+
+def m_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored selection, read back and applied."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/selection-{uuid.uuid4().hex}"
+    selection.Selection("tenth", "tourney_date", 0.1, ("-p", "row_id"), {"p": 0.6}, {"gain": 0.3}).save(spark, path)
+    return selection.Selection.load(spark, path).apply(_edge(spark, sf_dir)).select("row_id", "tourney_date", "place", "cap")
+
+
 def m_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best grid row that has enough rows, else the one with most."""
     return selection.choose(m_grid(spark, sf_dir), [(F.col("n") >= 100, [F.desc("mean_gain"), F.asc("policy")]), (F.lit(True), [F.desc("n"), F.asc("policy")])])
@@ -414,8 +429,13 @@ select policy, count(*) n, round(avg(gain), 6) mean_gain from x where pl <= cap
     "m_features": feature_sql.features(_ONCE),
     "m_mirrored": feature_sql.mirrored(_ONCE),
     "m_live": feature_sql.live(_ONCE, _NORM),
-    "m_link_quality": None,
-    "m_chosen": None,
+    "m_grid_summary": f"""with {_EDGE}, k as (select * from (values ('0.05/0.5', 0.05::double, 0.5::double), ('0.05/0.7', 0.05, 0.7), ('0.1/0.5', 0.1, 0.5), ('0.1/0.7', 0.1, 0.7), ('0.25/0.5', 0.25, 0.5), ('0.25/0.7', 0.25, 0.7)) t(policy, fraction, floor)),
+z as (select *, count(*) over (partition by tourney_date) sz from g), x as (select policy, gain, strftime(tourney_date, '%Y-%m') mo, greatest(1, ceil(fraction * sz)) cap, row_number() over (partition by policy, tourney_date order by p desc, row_id) pl from z join k on p >= floor),
+b as (select policy, mo, count(*) n, sum(gain) s, max(gain) t, count(*) filter (gain > 0) h from x where pl <= cap group by all)
+select policy, sum(n)::bigint n, round(sum(s), 6) total, round(sum(s) / sum(n), 6) mean, round(sum(h) / sum(n), 6) hit_rate, round(sum(s) - greatest(max(t), 0), 6) total_without_best, count(*) periods,
+ round(median(s / n), 6) median_period, round(min(s / n), 6) worst_period, round(avg((s / n > 0)::int), 6) good_periods from b group by policy""",
+    "m_selection": f"""with {_EDGE}, z as (select *, greatest(1, ceil(0.1::double * count(*) over (partition by tourney_date)))::int cap from g), x as (select *, row_number() over (partition by tourney_date order by p desc, row_id)::int place from z where p >= 0.6 and gain <= 0.3)
+select row_id, tourney_date, place, cap from x where place <= cap""",
     "m_sample": "select row_id, tourney_id from (select row_id, tourney_id, row_number() over (order by row_id) - 1 n from tiny) where n % 10 = 0",
 }
 ORACLES["m_link_quality"] = f"""with x as ({ORACLES["m_link_exact"]}) select status, count(*) n, round(median(gap), 6) gap_median, round(quantile_cont(gap, 0.05), 6) gap_p05, round(count(*) / (select count(*) from x), 6) share from x group by status"""

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rallyframe.plans import match_queries, training_queries
+from rallyframe.plans import match_queries, source_queries, training_queries
 
 FLAGSHIP = "p1_rolling"
-_MODULES = [match_queries, training_queries]
+_MODULES = [match_queries, source_queries, training_queries]
 
 
 def queries() -> dict:

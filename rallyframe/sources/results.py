@@ -16,9 +16,12 @@ BY_LEVEL = (("main", "atp_matches_{year}.csv"), ("qual_chall", "atp_matches_qual
 BY_TOUR = (("main", "{year}.csv"), ("challenger", "{year}_challenger.csv"), ("tour_qual", "atp_quali/{year}_atp_quali.csv"))
 
 
-def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A CSV with a header, every column as text; ids and dates keep their digits."""
-    return spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", enforceSchema=False)
+def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """A CSV with a header, every column as text; ids and dates keep their digits, texts their blanks.
+
+    ``multi_line`` reads quoted values with line breaks in them; a file is then one task.
+    """
+    return spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", enforceSchema=False, multiLine=multi_line)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -27,12 +30,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_results(spark: SparkSession, path: str, source_kind: str) -> DataFrame:
+def read_results(spark: SparkSession, path: str, source_kind: str, multi_line: bool = False) -> DataFrame:
     """One results file as canonical matches; raises if a required column is missing."""
-    return canonical_matches(read_csv(spark, path), source_kind, F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return canonical_matches(read_csv(spark, path, multi_line), source_kind, F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
-def read_results_folder(spark: SparkSession, root: str, years: Iterable[int], layout: tuple = BY_LEVEL, identity: list[str] | None = None) -> DataFrame:
+def read_results_folder(spark: SparkSession, root: str, years: Iterable[int], layout: tuple = BY_LEVEL, identity: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """All files of a layout that exist for the years, as one table without repeated matches.
 
     A match that stands in several files is taken from the first in year and layout order. Its
@@ -41,7 +44,7 @@ def read_results_folder(spark: SparkSession, root: str, years: Iterable[int], la
     """
     by_name = ["tourney_name", "tourney_date", "round", "winner_name", "loser_name"]
     by_key = ["tourney_id", "tourney_date", "round", "winner_key", "loser_key"]
-    frames = [read_results(spark, f"{root}/{p.format(year=y)}", kind) for y in years for kind, p in layout if exists(spark, f"{root}/{p.format(year=y)}")]
+    frames = [read_results(spark, f"{root}/{p.format(year=y)}", kind, multi_line) for y in years for kind, p in layout if exists(spark, f"{root}/{p.format(year=y)}")]
     if not frames:
         raise FileNotFoundError(f"no results under {root}")
     return first_wins_union(frames, identity or (by_name if layout is BY_TOUR else by_key), list(ORDER))

@@ -94,3 +94,39 @@ def test_week_validation(spark):
         validate_weeks(df.where("round <> 'F'"), date(2024, 1, 1), date(2024, 1, 14))
     with pytest.raises(ValueError):
         require_rows(df, 4, "results")
+
+
+def test_bootstrap_equals_resampling_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = np.round(rng.normal(1.0, 2.0, 400), 1)
+    got = metrics.bootstrap_mean(spark.createDataFrame([(float(x),) for x in v], "v double"), "v", 1500, buckets=5).first()
+    want = np.percentile([rng.choice(v, 400).mean() for _ in range(3000)], [5, 50, 95])
+    assert np.allclose(tuple(got), want, atol=0.03)
+
+
+def test_selections_are_stored_and_grids_of_any_size_equal_single_selections(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from rallyframe.operators import selection
+
+    rows = [(i, f"d{i % 4}", (i * 37 % 101) / 100, None if i % 11 == 0 else float(i % 5), (i % 7) - 3.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, slate string, p double, history double, gain double")
+    s = selection.Selection("core", "slate", 0.2, ("-p", "row_id"), {"p": 0.3}, {"history": 3.0})
+    s.save(spark, str(tmp_path / "s"))
+    back = selection.Selection.load(spark, str(tmp_path / "s"))
+    got = {r.row_id for r in back.apply(df).collect()}
+    want = set()
+    for d in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == d]
+        ok = sorted((r for r in own if r[2] >= 0.3 and r[3] is not None and r[3] <= 3), key=lambda r: (-r[2], r[0]))
+        want |= {r[0] for r in ok[: max(1, -(-len(own) // 5))]}
+    assert back == s and got == want
+    grid = spark.createDataFrame([(f"{f}/{x}", f, x) for f in (0.1, 0.2, 0.5) for x in (0.0, 0.3)], "policy string, fraction double, floor double")
+    order, ok = [F.desc("p"), F.asc("row_id")], F.col("p") >= F.col("floor")
+    plain = sorted(map(tuple, selection.grid_summary(df, "slate", order, grid, ok, F.col("slate"), "gain").collect()))
+    monkeypatch.setattr(selection, "GRID_ROWS", 2)
+    assert sorted(map(tuple, selection.grid_summary(df, "slate", order, grid, ok, F.col("slate"), "gain").collect())) == plain and len(plain) == 6
+    one = {r.row_id for r in selection.top_fraction(df, "slate", order, 0.2, F.col("p") >= 0.3).collect()}
+    assert {r.row_id for r in selection.grid_top_fraction(df, "slate", order, grid, ok).where("policy = '0.2/0.3'").collect()} == one

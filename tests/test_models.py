@@ -93,3 +93,37 @@ def test_ensembles_survive_saving(frame, spark, tmp_path):
     again = models.Ensemble.load(spark, str(tmp_path / "e"))
     a, b = [{r.row_id: r.predicted_probability for r in x.predict(df).collect()} for x in (e, again)]
     assert a == pytest.approx(b) and len(a) == 900
+
+
+def test_gaps_to_a_reference_and_the_saved_offset_model(frame, spark, tmp_path):
+    df, x, y = frame
+    rows = df.withColumns({"predicted_probability": 1 / (1 + F.exp(-F.col(X[0]))), "market_probability_a": F.when(F.col("row_id") % 50 > 0, F.lit(0.5)), "reliability": F.lit(None).cast("double")})
+    gaps = models.with_reference_gaps(rows)
+    a, b = gaps.where("row_id = 1").first(), gaps.where("row_id = 50").first()
+    assert a.fund_market_logit_gap == pytest.approx(x[1, 0]) and a.fund_market_prob_gap == pytest.approx(a.predicted_probability - 0.5) and a.reliability_centered == -0.5 and a.min_experience_log == pytest.approx(np.log(6.0))
+    assert b.fund_market_logit_gap is None and b.fund_market_prob_gap is None
+    cols = ["fund_market_logit_gap", "min_experience_log"]
+    gaps = gaps.withColumn("market_logit_a", F.lit(0.0))
+    m = models.OffsetModel.fit(gaps, cols)
+    m.save(spark, str(tmp_path / "offset"))
+    back = models.OffsetModel.load(spark, str(tmp_path / "offset"))
+    p, q = [[r.value_probability for r in k.predict(gaps).orderBy("row_id").collect()] for k in (m, back)]
+    assert p == q and back.rows == 900
+    folds = gaps.withColumn("fold_id", (F.col("row_id") / 300).cast("int"))
+    out = {r.row_id: r for r in models.walk_forward_offset(folds, cols, "market_logit_a", "market_probability_a", least=350).collect()}
+    assert out[1].value_probability == out[301].value_probability == 0.5 and out[899].value_probability != 0.5
+    first = models.OffsetModel.fit(folds.where("fold_id < 2"), cols).predict(folds).where("row_id = 899").first()
+    assert out[899].value_probability == pytest.approx(first.value_probability)
+
+
+def test_horizons_and_the_final_ensemble(frame):
+    df, *_ = frame
+    make = lambda n, seed: {"rating": models.RatingBaseline(), "logistic": models.Logistic(X, 4.5)}
+    best, rows = models.compare_horizons(df, [60, 100], block=50, min_train=100, min_test=30, make=make)
+    assert best == rows[0]["horizon_days"] and [r["selection_score"] for r in rows] == sorted(r["selection_score"] for r in rows)
+    for r in rows:
+        assert r["selection_score"] == pytest.approx(r["log_loss"] + 0.12 * r["fold_log_loss_std"] + 0.2 * r["brier"])
+    oof = models.walk_forward(df, best, 50, 100, 30, make)
+    final = models.fit_final(df, oof, best, date(2023, 9, 1), make)
+    p = final.predict(df.where("date >= '2023-09-01'"))
+    assert p.count() > 0 and p.where("predicted_probability between 0 and 1").count() == p.count() and final.weights.sum() == pytest.approx(1)
