@@ -163,9 +163,8 @@ def _neighbourhood(left: DataFrame, right: DataFrame, shard: F.Column, order: li
     stretch = lambda d: F.floor(d / F.lit(days)).cast("int")
     ask = left.withColumns({"side": F.lit(0), "stretch": stretch(F.col("day"))})
     have = right.withColumns({"side": F.lit(1), "stretch": F.explode(F.sequence(stretch(F.col("day") - EARLY), stretch(F.col("day") + LATE)))})
-    places = [f"o{i}" for i in range(len(order))]
-    rows = ask.unionByName(have).select(shard.alias("key"), "stretch", *[c.alias(o) for c, o in zip(order, places, strict=True)], *_FIELDS).where("key is not null")
-    return rows.repartition(partitions(left.sparkSession), "key", "stretch").sortWithinPartitions("key", "stretch", *places, "side", "id")
+    rows = ask.unionByName(have).where(shard.isNotNull()).select(F.xxhash64(shard).alias("key"), "stretch", *_FIELDS)
+    return rows.repartition(partitions(left.sparkSession), "key", "stretch").sortWithinPartitions("key", "stretch", *order, "side", "id")
 
 
 class Scorer:
