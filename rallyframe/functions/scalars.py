@@ -103,7 +103,8 @@ def rank_seed(rank: str | Column, base: float = 1500.0, strength: float = 0.45)
 
 
 def logit(p: str | Column, clip: float = 1e-5) -> Column:
-    x = F.least(F.greatest(_col(p), F.lit(clip)), F.lit(1 - clip))
+    """The logit of a probability kept ``clip`` from 0 and 1; null stays null."""
+    x = F.when(_col(p).isNotNull(), F.least(F.greatest(_col(p), F.lit(clip)), F.lit(1 - clip)))
     return F.ln(x / (1.0 - x))
 
 
