@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The suffixes and characters that normalizing removes.
 _SUFFIX = re.compile(r"\b(?:jr|sr)\.?$")
 _OTHER = re.compile(r"[^a-z0-9]+")
 #: Entries a worker keeps before it forgets them all.

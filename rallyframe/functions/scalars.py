@@ -50,6 +50,8 @@ def clean_surface(c: str | Column) -> Column:
 
 
 def level_role(kind: str | Column, level: str | Column) -> Column:
+    """The role of a match by the kind of its file and its level."""
+    # Kinds and levels with their roles.
     kind, level = _col(kind), F.upper(F.coalesce(_col(level), F.lit("")))
     return (
         F.when(kind == "challenger", "challenger")

@@ -16,6 +16,7 @@ SURFACE_PRIOR = 8.0
 DEFAULTS = {"rank": 750.0, "points": 5.0, "age": 25.0, "height": 183.0}
 MEANS = {"recent_residual_35": 0.0, "recent_residual_90": 0.0, "recent_residual_180": 0.0, "surface_residual_180": 0.0, "recent_win_35": 0.5, "recent_win_90": 0.5} | {f"{r}_90": 0.5 for r in RATES} | {f"{r}_residual_180": 0.0 for r in ROLES}
 
+# Names and divisors of the features.
 #: Feature -> (value of a snapshot, divisor): A's minus B's.
 _PLAIN = {
     "elo_slow_diff_100": ("slow", 100.0), "elo_dynamic_diff_100": ("dynamic", 100.0), "elo_fast_diff_100": ("fast", 100.0), "elo_surface_diff_100": ("surface_rating", 100.0),

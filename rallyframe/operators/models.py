@@ -127,7 +127,8 @@ class Trees:
     def fit(self, df: DataFrame, target: str = "target") -> Trees:
         make = GBTClassifier if self.kind == "boost" else RandomForestClassifier
         filled = [f"{c}__f" for c in self.columns]
-        stages = [Imputer(strategy="median", inputCols=self.columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features__"), make(featuresCol="features__", labelCol="label__", predictionCol="class__", rawPredictionCol="raw__", probabilityCol="prob__", **self.options)]
+        trees = make(featuresCol="features__", labelCol="label__", predictionCol="class__", **self.options).setRawPredictionCol("raw__").setProbabilityCol("prob__")
+        stages = [Imputer(strategy="median", inputCols=self.columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features__"), trees]
         self.model = Pipeline(stages=stages).fit(df.withColumn("label__", F.col(target).cast("double")))
         return self
 

@@ -7,7 +7,7 @@ import math
 import os
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.sources.results import exists
@@ -45,8 +45,12 @@ def systematic_sample(df: DataFrame, order: list[str], every: int) -> DataFrame:
     return rows.where((F.col("i__") + offset) % every == 0).drop("p__", "i__")
 
 
-def write_report(report: dict, path: str) -> None:
-    """A small report as JSON on the driver: dates as text, numbers that are not finite as null."""
+def write_report(report: dict, path: str, spark: SparkSession | None = None) -> None:
+    """A small report as JSON: dates as text, numbers that are not finite as null.
+
+    With a session it goes to any store that Spark can write, as the one text file of the folder
+    ``path``; without, to the file ``path`` on the driver.
+    """
 
     def plain(x):
         if isinstance(x, dict):
@@ -59,11 +63,17 @@ def write_report(report: dict, path: str) -> None:
             x = x.item()
         return None if isinstance(x, float) and not math.isfinite(x) else x
 
+    if spark is not None:
+        spark.createDataFrame([(json.dumps(plain(report)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "w") as f:
         json.dump(plain(report), f, indent=1)
 
 
-def read_report(path: str) -> dict:
+def read_report(path: str, spark: SparkSession | None = None) -> dict:
+    """A report that ``write_report`` wrote, with a session or without."""
+    if spark is not None:
+        return json.loads(spark.read.text(path, wholetext=True).first()[0])
     with open(path) as f:
         return json.load(f)

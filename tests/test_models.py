@@ -78,9 +78,10 @@ def test_walk_forward_uses_the_past_only(frame):
         models.walk_forward(df, 5000)
 
 
-def test_trees_fit_and_score(frame):
+@pytest.mark.parametrize(("kind", "options"), [("forest", {"numTrees": 5}), ("boost", {"maxIter": 4})])
+def test_trees_fit_and_score(frame, kind, options):
     df, *_ = frame
-    t = models.Trees(X, "forest", {"numTrees": 5, "maxDepth": 3, "seed": 1}).fit(df)
+    t = models.Trees(X, kind, {"maxDepth": 3, "seed": 1} | options).fit(df)
     p = t.predict(df, "p")
     assert set(p.columns) == {*df.columns, "p"} and p.where("p between 0 and 1").count() == 900
 
