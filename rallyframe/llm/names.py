@@ -221,14 +221,18 @@ class Trie:
         k = automaton.k
         lengths = np.array([len(q) for q in queries])
         place = {int(c): i for i, c in enumerate(self.letters)}
-        # Bit p + k + 1 of seen[q, c], over 32-bit words, tells that letter p of the query is c; only queries whose length can match are walked.
-        seen = np.zeros((len(queries), len(self.letters), (self.length + 2 * k + 1) // 32 + 2), dtype=np.uint64)
+        # Bit p + k + 1 of seen[q, c] tells that letter p of the query is c, in one 64-bit word or, for long words, over 32-bit
+        # words; only queries whose length can match are walked.
+        long = self.length + 2 * k + 2 > 64
+        bits, count = (32, (self.length + 2 * k + 1) // 32 + 2) if long else (64, 1)
+        seen = np.zeros((len(queries), len(self.letters), count), dtype=np.uint64)
         query = np.flatnonzero(np.abs(lengths - self.length) <= k)
         for q in query.tolist():
             for p, ch in enumerate(queries[q], k + 1):
                 c = place.get(ord(ch))
                 if c is not None:
-                    seen[q, c, p // 32] |= np.uint64(1 << (p % 32))
+                    seen[q, c, p // bits] |= np.uint64(1 << (p % bits))
+        only = seen[:, :, 0]
         node = np.zeros(len(query), dtype=np.int64)
         state = np.zeros(len(query), dtype=np.int32)
         mask = np.uint64((1 << (2 * k + 2)) - 1)
@@ -240,7 +244,10 @@ class Trie:
             child = np.arange(len(at)) + np.repeat(low - np.cumsum(n) + n, n)
             q = query[at]
             c = self.letter[d][child]
-            hit = ((seen[q, c, d // 32] | (seen[q, c, d // 32 + 1] << np.uint64(32))) >> np.uint64(d % 32)) & mask
+            if long:
+                hit = ((seen[q, c, d // 32] | (seen[q, c, d // 32 + 1] << np.uint64(32))) >> np.uint64(d % 32)) & mask
+            else:
+                hit = (only[q, c] >> np.uint64(d)) & mask
             new = automaton.next[state[at], hit.astype(np.int64)]
             live = np.flatnonzero(new >= 0)
             query, node, state = q[live], child[live], new[live]
