@@ -22,7 +22,7 @@ WINDOW = 6
 #: Days that a quote may lie before and after the start of the event it is for.
 EARLY, LATE, WEEK = 9, 14, 6
 #: Days of one shard's stretch of time.
-STRETCH = 180
+STRETCH = 365
 #: Confidence from which a match is kept.
 CONFIDENT = 0.8
 WEIGHTS = {"players": 0.4, "event": 0.35, "date": 0.2, "surface": 0.05}
@@ -213,7 +213,8 @@ class Scorer:
         best = np.zeros(len(i))
         same = (a1 == a2) & (b1 == b2) & (a1 >= 0) & (b1 >= 0)
         best[same] = 1.0
-        rest = np.flatnonzero(~same)
+        # Four linked players that are not the same two are at odds.
+        rest = np.flatnonzero(~same & ~(self.linked[a1] & self.linked[b1] & self.linked[a2] & self.linked[b2]))
         for x, y in ((a2, b2), (b2, a2)):
             one = self.name_similarity(a1[rest], x[rest])
             some = np.flatnonzero(one)
@@ -417,7 +418,7 @@ def _assign_pair(rows: list[tuple], confident: float, out: dict[int, tuple[float
                 out[l] = (c, r)
 
 
-def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confident: float = CONFIDENT, rows_per_bucket: int = 200_000) -> DataFrame:
+def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confident: float = CONFIDENT, rows_per_bucket: int = 200_000, unsure: DataFrame | None = None) -> DataFrame:
     """The row of ``right`` that each row of ``left`` is about: ``l``, ``r`` (ids) and ``confidence`` (0 to 1).
 
     Both tables have ``id`` (bigint), ``k1`` and ``k2`` (the players' name keys, see ``name_key``),
@@ -442,6 +443,7 @@ def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confid
 
     Each order is cut into shards of a key and a stretch of days, with right rows near an edge on
     both sides of it, which keeps a hot player, event or week off one task; sorted rows are streamed.
+    ``unsure`` may give the rows of ``right`` that have an unlinked player, if the caller knows them.
     """
     def slim(df: DataFrame) -> DataFrame:
         keys = [F.when(F.col(k) != "", F.col(k)) for k in ("k1", "k2")]
@@ -457,7 +459,7 @@ def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confid
     known = F.col("a").contains(LINK).cast("int") + F.col("b").contains(LINK).cast("int")
     x = F.when(F.col("a").contains(LINK), F.col("a")).otherwise(F.col("b"))
     cell = F.floor(day / (EARLY + LATE))
-    unsure = [stage(df.where(known < 2)) for df in (left, right)]
+    unsure = [stage(df.where(known < 2)) for df in (left, right if unsure is None else slim(unsure))]
 
     def around(df: DataFrame, other: DataFrame, player: bool) -> DataFrame:
         """Rows that those of the other table with as few linked players may be about."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.functions.dates import clean_id, usable_date
 from rallyframe.llm.canonical import canonical_copies, canonical_groups, canonical_text
-from rallyframe.llm.entity_match import match_quotes, name_keys
+from rallyframe.llm.entity_match import LINK, match_quotes, name_keys
 from rallyframe.llm.leaks import leaked_items
 from rallyframe.llm.mixing import mix
 from rallyframe.llm.names import link_names
@@ -100,13 +100,21 @@ def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = df.join(F.broadcast(names), n, "left") if few else skew_join(df, names, [n], "left")
         return df.drop("n1", "n2")
 
-    right = keyed(rows)
     undated = rows.where("day is null and tourney_id is not null").select("tourney_id").distinct()
-    days = rows.join(small(undated), "tourney_id", "left_semi").groupBy("tourney_id").agg(F.min("day").alias("event_day"))
-    right = right.join(small(stage(days)), "tourney_id", "left").withColumn("day", F.coalesce("day", "event_day"))
-    where = F.coalesce(F.col("tourney_id"), F.concat(F.lit("~"), F.coalesce("event", F.lit("")), F.lit("~"), F.coalesce(F.col("day").cast("string"), F.lit(""))))
-    right = right.withColumn("twin", F.xxhash64(where, "same", F.least("k1", "k2"), F.greatest("k1", "k2"))).drop("tourney_id", "same", "event_day")
-    found = match_quotes(keyed(quotes), right)
+    days = small(stage(rows.join(small(undated), "tourney_id", "left_semi").groupBy("tourney_id").agg(F.min("day").alias("event_day"))))
+
+    def finished(df: DataFrame) -> DataFrame:
+        df = keyed(df).join(days, "tourney_id", "left").withColumn("day", F.coalesce("day", "event_day"))
+        where = F.coalesce(F.col("tourney_id"), F.concat(F.lit("~"), F.coalesce("event", F.lit("")), F.lit("~"), F.coalesce(F.col("day").cast("string"), F.lit(""))))
+        return df.withColumn("twin", F.xxhash64(where, "same", F.least("k1", "k2"), F.greatest("k1", "k2"))).drop("tourney_id", "same", "event_day")
+
+    # Rows with an unlinked name are told by the few unlinked spellings, before names are keyed.
+    unlinked = small(stage(keys.where(~F.col("key").contains(LINK)).select("spelling")))
+    unsure = rows
+    for n in ("n1", "n2"):
+        unsure = unsure.join(unlinked.select(F.col("spelling").alias(n), F.lit(True).alias(f"{n}__")), n, "left")
+    unsure = unsure.where("n1__ or n2__").drop("n1__", "n2__")
+    found = match_quotes(keyed(quotes), finished(rows), unsure=finished(unsure))
     return found.select(F.col("l").alias("odds_id"), F.col("r").alias("row_id"), "confidence")
 
 
