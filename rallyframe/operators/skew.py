@@ -45,7 +45,7 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join a ``right`` that is unique on ``keys``: a broadcast behind a row count, beyond it ``skew_join``."""
+    """Join a ``right`` that may be small: a broadcast behind a row count, beyond it ``skew_join``."""
     if right.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         return left.join(F.broadcast(right), keys, how)
     return skew_join(left, right, keys, how)
