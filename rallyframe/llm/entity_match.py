@@ -485,7 +485,8 @@ def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confid
             up, down = F.array_join(words, " "), F.array_join(F.reverse(words), " ")
             for order in ([event, up], [up, event], [down, event]):
                 found = found.unionByName(_neighbourhood(*sides, F.substring(order[0], 1, 2), [*order, day], days=WEEK + 1).mapInArrow(_windows(window), schema))
-    found = stage(found.groupBy("pair", "l", "r", "event").agg(F.max("confidence").alias("confidence")))
+    # A pair of players is a group of work from here on, so a hash of it does: two in one group stay apart by their results.
+    found = stage(found.groupBy(F.xxhash64("pair").alias("pair"), "l", "r", "event").agg(F.max("confidence").alias("confidence")))
     b = buckets_for(found.count(), rows_per_bucket, left.sparkSession)
     chosen = found.groupBy(F.pmod(F.xxhash64("pair"), F.lit(b)).alias("b")).applyInArrow(_assign(confident), "l long, r long, confidence double")
     return chosen.groupBy("l").agg(F.max(F.struct("confidence", (-F.col("r")).alias("r"))).alias("x")).select("l", (-F.col("x.r")).alias("r"), F.round("x.confidence", 6).alias("confidence"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyframe.operators.skew import skew_join, small
+from rallyframe.operators.skew import lookup_join, small
 from rallyframe.session import partitions, stage
 
 # Surname particles, and suffixes that name no one.
@@ -345,8 +345,8 @@ def link_names(spellings: DataFrame, registry: DataFrame) -> DataFrame:
     table may be empty; texts with over MOST_WORDS distinct words can mean no one.
 
     Each typed name gives forms: a run of its words as the surname, the others as given names, in
-    any order. Forms that equal a registered surname are joined first, over salts if a surname is
-    hot. Spellings without a plausible person there (a cost under 1) have their forms walked through
+    any order. Forms that equal a registered surname are joined first, over salts if the registry is
+    no small table and a surname is hot. Spellings without a plausible person there (a cost under 1) have their forms walked through
     the tries (``near_forms``). A walked person costs 1 or more, so no better one is missed by the
     others, and their margin is at most what a person at 1 would leave.
     """
@@ -360,13 +360,13 @@ def link_names(spellings: DataFrame, registry: DataFrame) -> DataFrame:
     typed = stage(typed.join(brief, "form", "left").where("length(form) > 2 or brief__").drop("brief__"))
     costed = "spelling string, player_id string, cost double"
     shape = ["spelling", "name", "form", "near", "rest", "given", "edits", "player_id"]
-    met = skew_join(typed, known.withColumn("form", F.col("near")), ["form"])
+    met = lookup_join(typed, known.withColumn("form", F.col("near")), ["form"])
     exact = stage(met.withColumn("edits", F.lit(0)).select(*shape).mapInArrow(_cost, costed))
     sure = exact.where("cost < 1").select("spelling").distinct()
     rest = stage(typed.join(sure, "spelling", "left_anti").where("length(form) > 2"))
     near = near_forms(rest.select("form").distinct(), known.select("near").distinct())
     walked = stage(rest.join(near, "form"))
-    loose = skew_join(walked, known, ["near"]).select(*shape).mapInArrow(_cost, costed)
+    loose = lookup_join(walked, known, ["near"]).select(*shape).mapInArrow(_cost, costed)
     best = exact.unionByName(loose).groupBy("spelling", "player_id").agg(F.min("cost").alias("cost"))
     order = Window.partitionBy("spelling").orderBy("cost", "player_id")
     ranked = best.select("spelling", "player_id", "cost", F.row_number().over(order).alias("n"), F.lead("cost").over(order).alias("next"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import string
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,10 +88,9 @@ def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     surface = F.upper(F.substring(F.trim("surface"), 1, 1))
     surface = F.when(surface.isin("H", "C", "G"), surface)
     quotes = odds.select(F.col("odds_id").alias("id"), F.col("player1").alias("n1"), F.col("player2").alias("n2"), F.col("date").cast("date").alias("day"), F.col("tournament").alias("event"), surface.alias("surface"))
-    same = F.concat_ws("|", F.regexp_replace(F.upper("round"), "[^A-Z0-9]+", ""), F.coalesce("score", F.lit("")))
-    rows = tiny.select(F.col("row_id").alias("id"), F.col("winner_name").alias("n1"), F.col("loser_name").alias("n2"), usable_date("tourney_date").alias("day"), F.col("tourney_name").alias("event"), surface.alias("surface"), "tourney_id", same.alias("same"))
-    typed = [df.select(F.col(n).alias("spelling")) for df in (quotes, rows) for n in ("n1", "n2")]
-    keys = name_keys(reduce(DataFrame.union, typed), _people(spark, sf_dir))
+    rows = tiny.select(F.col("row_id").alias("id"), F.col("winner_name").alias("n1"), F.col("loser_name").alias("n2"), "tourney_date", F.col("tourney_name").alias("event"), "surface", "tourney_id", "round", "score")
+    typed = quotes.select("n1", "n2").unionByName(rows.select("n1", "n2")).select(F.explode(F.array("n1", "n2")).alias("spelling"))
+    keys = name_keys(typed, _people(spark, sf_dir))
     few = keys.limit(KEYED_NAMES + 1).count() <= KEYED_NAMES
 
     def keyed(df: DataFrame) -> DataFrame:
@@ -100,13 +99,16 @@ def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = df.join(F.broadcast(names), n, "left") if few else skew_join(df, names, [n], "left")
         return df.drop("n1", "n2")
 
-    undated = rows.where("day is null and tourney_id is not null").select("tourney_id").distinct()
-    days = small(stage(rows.join(small(undated), "tourney_id", "left_semi").groupBy("tourney_id").agg(F.min("day").alias("event_day"))))
+    date = usable_date("tourney_date")
+    undated = small(rows.where(date.isNull() & F.col("tourney_id").isNotNull()).select("tourney_id").distinct())
+    days = rows.select("tourney_id", "tourney_date").join(undated, "tourney_id", "left_semi").groupBy("tourney_id").agg(F.min(date).alias("event_day"))
+    days = small(stage(days))
 
     def finished(df: DataFrame) -> DataFrame:
-        df = keyed(df).join(days, "tourney_id", "left").withColumn("day", F.coalesce("day", "event_day"))
+        df = keyed(df).join(days, "tourney_id", "left").withColumn("day", F.coalesce(date, "event_day"))
         where = F.coalesce(F.col("tourney_id"), F.concat(F.lit("~"), F.coalesce("event", F.lit("")), F.lit("~"), F.coalesce(F.col("day").cast("string"), F.lit(""))))
-        return df.withColumn("twin", F.xxhash64(where, "same", F.least("k1", "k2"), F.greatest("k1", "k2"))).drop("tourney_id", "same", "event_day")
+        same = [F.translate(F.upper("round"), string.punctuation + string.whitespace, ""), F.coalesce("score", F.lit(""))]
+        return df.select("id", "k1", "k2", "day", "event", surface.alias("surface"), F.xxhash64(where, *same, F.least("k1", "k2"), F.greatest("k1", "k2")).alias("twin"))
 
     # Rows with an unlinked name are told by the few unlinked spellings, before names are keyed.
     unlinked = small(stage(keys.where(~F.col("key").contains(LINK)).select("spelling")))
