@@ -112,10 +112,11 @@ def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # Rows with an unlinked name are told by the few unlinked spellings, before names are keyed.
     unlinked = small(stage(keys.where(~F.col("key").contains(LINK)).select("spelling")))
-    unsure = rows
+    some = rows.select("id", "n1", "n2")
     for n in ("n1", "n2"):
-        unsure = unsure.join(unlinked.select(F.col("spelling").alias(n), F.lit(True).alias(f"{n}__")), n, "left")
-    unsure = unsure.where("n1__ or n2__").drop("n1__", "n2__")
+        some = some.join(unlinked.select(F.col("spelling").alias(n), F.lit(True).alias(f"{n}__")), n, "left")
+    some = stage(some.where("n1__ or n2__").select("id"))
+    unsure = rows.join(small(some), "id", "left_semi") if some.limit(1).count() else rows.limit(0)
     found = match_quotes(keyed(quotes), finished(rows), unsure=finished(unsure))
     return found.select(F.col("l").alias("odds_id"), F.col("r").alias("row_id"), "confidence")
 
