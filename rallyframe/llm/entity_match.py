@@ -167,6 +167,21 @@ def _neighbourhood(left: DataFrame, right: DataFrame, shard: F.Column, order: li
     return rows.repartition(partitions(left.sparkSession), "key", "stretch").sortWithinPartitions("key", "stretch", *order, "side", "id")
 
 
+#: Similarities of event names that a worker remembers, over all its tasks, before it forgets them all.
+_MEMORY = 500_000
+_fits: dict[tuple[str, str], float] = {}
+
+
+def _event_fit(a: str, b: str) -> float:
+    x = _fits.get((a, b))
+    if x is None:
+        if len(_fits) >= _MEMORY:
+            _fits.clear()
+        s = event_similarity(a, b)
+        x = _fits[a, b] = np.nan if s is None else s
+    return x
+
+
 class Scorer:
     """Confidences of pairs of rows, worked by column: each distinct pair of names and of event names once."""
 
@@ -179,11 +194,10 @@ class Scorer:
         self.a, self.b = code[: len(self.day)], code[len(self.day) :]
         keys = people.dictionary.to_pylist()
         self.linked = np.array([LINK in k for k in keys] + [False])
-        self.names = [" ".join(sorted(k.split(LINK)[0].split())) for k in keys]
+        self.keys = keys
         self.alike: dict[int, float] = {}
         self.event, self.events = self._codes(both, "event")
         self.surface, _ = self._codes(both, "surface")
-        self.fits: dict[int, float] = {}
 
     @staticmethod
     def _codes(t: pa.Table, c: str) -> tuple[np.ndarray, list]:
@@ -196,10 +210,10 @@ class Scorer:
         out[(x == y) & (x >= 0)] = 1.0
         open_ = np.flatnonzero((x != y) & (x >= 0) & (y >= 0) & ~(self.linked[x] & self.linked[y]))
         if len(open_):
-            pairs, back = np.unique(x[open_] * len(self.names) + y[open_], return_inverse=True)
+            pairs, back = np.unique(x[open_] * len(self.keys) + y[open_], return_inverse=True)
             for p in pairs.tolist():
                 if p not in self.alike:
-                    m, w = self.names[p // len(self.names)], self.names[p % len(self.names)]
+                    m, w = [" ".join(sorted(self.keys[i].split(LINK)[0].split())) for i in divmod(p, len(self.keys))]
                     # A name much longer than the other is not worth its edits.
                     near = bool(m and w) and min(len(m), len(w)) >= 0.59 * max(len(m), len(w))
                     s = 0.5 + 0.5 * _ratio(m, w) if near else 0.0
@@ -237,11 +251,8 @@ class Scorer:
         total = WEIGHTS["players"] * players + WEIGHTS["date"] * np.maximum(1.0 - off / 12.0, 0.0)
         named = np.flatnonzero((self.event[i] >= 0) & (self.event[j] >= 0))
         pairs, back = np.unique(self.event[i[named]] * len(self.events) + self.event[j[named]], return_inverse=True)
-        for p in pairs.tolist():
-            if p not in self.fits:
-                x = event_similarity(self.events[p // len(self.events)], self.events[p % len(self.events)])
-                self.fits[p] = np.nan if x is None else x
-        event = np.array([self.fits[p] for p in pairs.tolist()])[back] if len(named) else np.empty(0)
+        fits = [_event_fit(self.events[p // len(self.events)], self.events[p % len(self.events)]) for p in pairs.tolist()]
+        event = np.array(fits)[back] if len(named) else np.empty(0)
         named, event = named[~np.isnan(event)], event[~np.isnan(event)]
         weight[named] += WEIGHTS["event"]
         total[named] += WEIGHTS["event"] * event

@@ -205,18 +205,23 @@ class Trie:
         new = np.ones((len(self.words), self.length), dtype=bool)
         if len(self.words) > 1:
             new[1:] = np.logical_or.accumulate(chars[1:] != chars[:-1], axis=1)
-        self.first, self.letter = [], []
+        # Which letters all words below a node have, and which any has; letters may share a bit.
+        bits = np.bitwise_or.reduce(np.left_shift(np.uint64(1), (chars % 64).astype(np.uint64)), axis=1)
+        self.first, self.letter, self.all, self.any = [], [], [], []
         parent = np.zeros(len(self.words), dtype=np.int64)
         for d in range(self.length):
             starts = np.flatnonzero(new[:, d])
             self.letter.append(chars[starts, d])
+            self.all.append(np.bitwise_and.reduceat(bits, starts))
+            self.any.append(np.bitwise_or.reduceat(bits, starts))
             self.first.append(np.searchsorted(parent[starts], np.arange(parent[-1] + 2)))
             parent = np.cumsum(new[:, d]) - 1
 
     def near(self, queries: list[str], automaton: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, word, edits) of every word within the automaton's edits of a query.
 
-        All queries go down the levels together; a branch ends where its automaton dies.
+        All queries go down the levels together; a branch ends where its automaton dies, or where more
+        letters than there are edits are missing on either side, since an edit can mend one letter a side.
         """
         k = automaton.k
         lengths = np.array([len(q) for q in queries])
@@ -233,6 +238,15 @@ class Trie:
                 if c is not None:
                     seen[q, c, p // bits] |= np.uint64(1 << (p % bits))
         only = seen[:, :, 0]
+        own = np.zeros(len(queries), dtype=np.uint64)
+        foreign = np.zeros(len(queries), dtype=np.int64)  # letters that no word has
+        for q in query.tolist():
+            for ch in set(queries[q]):
+                c = place.get(ord(ch))
+                if c is None:
+                    foreign[q] += 1
+                else:
+                    own[q] |= np.uint64(1 << (c % 64))
         node = np.zeros(len(query), dtype=np.int64)
         state = np.zeros(len(query), dtype=np.int32)
         mask = np.uint64((1 << (2 * k + 2)) - 1)
@@ -243,6 +257,10 @@ class Trie:
             at = np.repeat(np.arange(len(node)), n)
             child = np.arange(len(at)) + np.repeat(low - np.cumsum(n) + n, n)
             q = query[at]
+            if d >= 2:  # the subtrees above have most letters
+                mine = own[q]
+                fits = (np.bitwise_count(mine & ~self.any[d][child]) + foreign[q] <= k) & (np.bitwise_count(self.all[d][child] & ~mine) <= k)
+                at, child, q = at[fits], child[fits], q[fits]
             c = self.letter[d][child]
             if long:
                 hit = ((seen[q, c, d // 32] | (seen[q, c, d // 32 + 1] << np.uint64(32))) >> np.uint64(d % 32)) & mask
