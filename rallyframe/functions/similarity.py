@@ -11,19 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.functions.names import normalized
+from rallyframe.session import worker_memory
 
 #: Pairs of texts whose ratio a worker remembers before it forgets them all.
 _MEMORY = 300_000
-_ratios: dict[tuple[str, str], float] = {}
 
 
 def ratio(a: str, b: str) -> float:
     """Letters in matching blocks, twice, over the letters of both."""
-    known = _ratios.get((a, b))
+    ratios = worker_memory("ratios")
+    known = ratios.get((a, b))
     if known is None:
-        if len(_ratios) >= _MEMORY:
-            _ratios.clear()
-        known = _ratios[a, b] = 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+        if len(ratios) >= _MEMORY:
+            ratios.clear()
+        known = ratios[a, b] = 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
     return known
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +73,12 @@ def stage_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_memory(name: str) -> dict:
+    """A dictionary that lasts as long as its Python worker, over all its tasks; code that is sent by value has no other such place."""
+    place = sys.modules.setdefault("rallyframe_worker_memory", types.ModuleType("rallyframe_worker_memory"))
+    return place.__dict__.setdefault(name, {})
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partitions: the width every explicit repartition here follows."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
