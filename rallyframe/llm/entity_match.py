@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm.names import link_names, registered_forms, tokens
 from rallyframe.operators.skew import lookup_join, skew_join, small
-from rallyframe.session import buckets_for, partitions, stage, stage_table
+from rallyframe.session import buckets_for, partitions, stage, stage_table, worker_memory
 
 #: Rows of the other table, before and after a row in sorted order, that it is compared with.
 WINDOW = 6
@@ -169,16 +169,16 @@ def _neighbourhood(left: DataFrame, right: DataFrame, shard: F.Column, order: li
 
 #: Similarities of event names that a worker remembers, over all its tasks, before it forgets them all.
 _MEMORY = 500_000
-_fits: dict[tuple[str, str], float] = {}
 
 
 def _event_fit(a: str, b: str) -> float:
-    x = _fits.get((a, b))
+    fits = worker_memory("events")
+    x = fits.get((a, b))
     if x is None:
-        if len(_fits) >= _MEMORY:
-            _fits.clear()
+        if len(fits) >= _MEMORY:
+            fits.clear()
         s = event_similarity(a, b)
-        x = _fits[a, b] = np.nan if s is None else s
+        x = fits[a, b] = np.nan if s is None else s
     return x
 
 

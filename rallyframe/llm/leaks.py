@@ -13,6 +13,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rallyframe.session import worker_memory
+
 _WORD = re.compile(r"[^\W_]+")
 #: Bits of a fingerprint, and the blocks it is cut into: any two fingerprints within BLOCKS - 1 bits agree in a block.
 BITS, BLOCKS = 64, 4
@@ -258,15 +260,12 @@ def shingle_similarity(a: list[str], b: list[str], size: int, weight: dict[str,
     return sum(min(x[s], y[s]) for s in x.keys() & y.keys()) / total if total else 0.0
 
 
-#: The index of the block a worker had last; a worker takes many tasks of one block.
-_last: dict[str, object] = {}
-
-
 def _index(name: str, rows: list[tuple[int, int, str]], width: int, radius: int, shingle: int, similarity: float, exact: bool) -> ItemIndex | ShingleIndex:
-    if name not in _last:
-        _last.clear()
-        _last[name] = ItemIndex(rows, width, radius, shingle, similarity) if exact else ShingleIndex(rows, width, shingle, similarity)
-    return _last[name]
+    last = worker_memory("leaks")  # the index of the block it had last; a worker takes many tasks of one block
+    if name not in last:
+        last.clear()
+        last[name] = ItemIndex(rows, width, radius, shingle, similarity) if exact else ShingleIndex(rows, width, shingle, similarity)
+    return last[name]
 
 
 def _scan(block: Broadcast, name: str, width: int, radius: int, shingle: int, similarity: float, exact: bool):
