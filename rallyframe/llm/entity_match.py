@@ -429,7 +429,7 @@ def _assign_pair(rows: list[tuple], confident: float, out: dict[int, tuple[float
                 out[l] = (c, r)
 
 
-def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confident: float = CONFIDENT, rows_per_bucket: int = 200_000, unsure: DataFrame | None = None) -> DataFrame:
+def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confident: float = CONFIDENT, rows_per_bucket: int = 200_000) -> DataFrame:
     """The row of ``right`` that each row of ``left`` is about: ``l``, ``r`` (ids) and ``confidence`` (0 to 1).
 
     Both tables have ``id`` (bigint), ``k1`` and ``k2`` (the players' name keys, see ``name_key``),
@@ -454,7 +454,7 @@ def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confid
 
     Each order is cut into shards of a key and a stretch of days, with right rows near an edge on
     both sides of it, which keeps a hot player, event or week off one task; sorted rows are streamed.
-    ``unsure`` may give the rows of ``right`` that have an unlinked player, if the caller knows them.
+    ``right`` is read once for each order, so it should be a table.
     """
     def slim(df: DataFrame) -> DataFrame:
         keys = [F.when(F.col(k) != "", F.col(k)) for k in ("k1", "k2")]
@@ -470,7 +470,7 @@ def match_events(left: DataFrame, right: DataFrame, window: int = WINDOW, confid
     known = F.col("a").contains(LINK).cast("int") + F.col("b").contains(LINK).cast("int")
     x = F.when(F.col("a").contains(LINK), F.col("a")).otherwise(F.col("b"))
     cell = F.floor(day / (EARLY + LATE))
-    unsure = [stage(df.where(known < 2)) for df in (left, right if unsure is None else slim(unsure))]
+    unsure = [stage(df.where(known < 2)) for df in (left, right)]
 
     def around(df: DataFrame, other: DataFrame, player: bool) -> DataFrame:
         """Rows that those of the other table with as few linked players may be about."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.functions.dates import clean_id, usable_date
 from rallyframe.llm.canonical import canonical_copies, canonical_groups, canonical_text
-from rallyframe.llm.entity_match import LINK, match_quotes, name_keys
+from rallyframe.llm.entity_match import match_quotes, name_keys
 from rallyframe.llm.leaks import leaked_items
 from rallyframe.llm.mixing import mix
 from rallyframe.llm.names import link_names
@@ -17,7 +17,7 @@ from rallyframe.llm.nearest_time import nearest_in_time
 from rallyframe.llm.pairwise import global_ranks, offence_defence
 from rallyframe.llm.text_quality import text_quality
 from rallyframe.operators.skew import skew_join, small
-from rallyframe.session import stage
+from rallyframe.session import stage, stage_table
 from rallyframe.sources.tables import table
 
 FORMATTED = ["tourney_name", "round", "winner_name", "loser_name"]
@@ -110,14 +110,7 @@ def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         same = [F.translate(F.upper("round"), string.punctuation + string.whitespace, ""), F.coalesce("score", F.lit(""))]
         return df.select("id", "k1", "k2", "day", "event", surface.alias("surface"), F.xxhash64(where, *same, F.least("k1", "k2"), F.greatest("k1", "k2")).alias("twin"))
 
-    # Rows with an unlinked name are told by the few unlinked spellings, before names are keyed.
-    unlinked = small(stage(keys.where(~F.col("key").contains(LINK)).select("spelling")))
-    some = rows.select("id", "n1", "n2")
-    for n in ("n1", "n2"):
-        some = some.join(unlinked.select(F.col("spelling").alias(n), F.lit(True).alias(f"{n}__")), n, "left")
-    some = stage(some.where("n1__ or n2__").select("id"))
-    unsure = rows.join(small(some), "id", "left_semi") if some.limit(1).count() else rows.limit(0)
-    found = match_quotes(keyed(quotes), finished(rows), unsure=finished(unsure))
+    found = match_quotes(keyed(quotes), stage_table(finished(rows)))
     return found.select(F.col("l").alias("odds_id"), F.col("r").alias("row_id"), "confidence")
 
 
