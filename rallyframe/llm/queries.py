@@ -173,7 +173,21 @@ winner_age, loser_id, loser_seed, loser_entry, loser_hand, loser_ht, loser_ioc,
 w_svgms, w_bpsaved, w_bpfaced, l_ace, l_df, l_svpt, l_1stin, l_1stwon, l_2ndwon, l_svgms, l_bpsaved, l_bpfaced, winner_rank, winner_rank_points, loser_rank, loser_rank_points"""
 _COPIES = f"select *, min(row_id) over g f, count(*) over g n from (select *, {_SORTED.format('tourney_name')} c1, {_LETTERS.format('round')} c2, {_SORTED.format('winner_name')} c3, {_SORTED.format('loser_name')} c4 from tiny) window g as (partition by c1, c2, c3, c4, {_REST})"
 
+_ID = "nullif(regexp_replace(trim({}), '\\.0$', ''), '')"
+#: Iterations of the plain form of problem 2: far beyond where its strengths settle.
+_ROUNDS = 300
+
 ORACLES = {
+    "p2_found": f"""
+with recursive a as (select upper(left(trim(surface), 1)) || lower(substr(trim(surface), 2)) s, {_ID.format("winner_id")} w, {_ID.format("loser_id")} l, tourney_id t, {_LETTERS.format("round")} r, not coalesce(contains(upper(score), 'W/O'), false) played from tiny),
+b as (select s, w, l, t, r, max(played::int) n from a where s in ('Hard', 'Clay', 'Grass') and w <> l group by all),
+c as (select s, w, l, sum(n)::double n from b group by all),
+e as materialized (select s, w, l, sum(n) n from (select * from c union all select s, w, w, 0 from c union all select s, l, l, 0 from c) group by all),
+v as (select 0 i, s, w p, 1::double o, 1::double d from e where w = l
+ union all select i, s, p, o, d from (
+  with o as (select e.s, e.w p, max(v.i) + 1 i, sum(e.n / v.d) + 2 o from e join v on v.s = e.s and v.p = e.l where v.i < {_ROUNDS} group by e.s, e.w)
+  select o.i, o.s, o.p, o.o, x.d from o join (select e.s, e.l p, sum(e.n / o.o) + 2 d from e join o on o.s = e.s and o.p = e.w group by e.s, e.l) x on x.s = o.s and x.p = o.p))
+select s surface, p player_id from v where i = {_ROUNDS} qualify row_number() over (partition by s order by o / d desc, p) <= 5""",
     "p4_found": f"""
 with t as (select row_id, {_DAY} d, least(winner_name, loser_name) a, greatest(winner_name, loser_name) b from tiny where winner_name is not null and loser_name is not null),
 c as (select odds_id, row_id, row_number() over (partition by odds_id order by abs(date_diff('day', o.date::date, t.d)), t.d, row_id) n
