@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rallyframe.functions.names import full_anchor, full_signatures, normalize_name, pair_key, short_anchor, short_signature
 from rallyframe.functions.scalars import logit, two_way_probability
 from rallyframe.functions.similarity import event_similarity, pair_scores
-from rallyframe.session import stage
+from rallyframe.session import stage, stage_table
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,8 @@ def _sides(features: DataFrame, quotes: DataFrame, day: str, feature_id: str, qu
     event = F.col("tournament") if "tournament" in quotes.columns else F.lit(None).cast("string")
     q = quotes.select(F.col(quote_id).alias("q"), F.col("date").cast("date").alias("qday"), "player1", "player2", event.alias("qevent"), "odd1", "odd2")
     q = q.where("qday is not null and odd1 > 1 and odd2 > 1 and not isnan(odd1) and not isnan(odd2)")
-    return stage(f.withColumns({"na": normalize_name("player_a"), "nb": normalize_name("player_b")})), stage(q.withColumns({"n1": normalize_name("player1"), "n2": normalize_name("player2")}))
+    own, other = {"na": normalize_name("player_a"), "nb": normalize_name("player_b")}, {"n1": normalize_name("player1"), "n2": normalize_name("player2")}
+    return stage_table(f.withColumns(own).drop("player_a", "player_b")), stage_table(q.withColumns(other).drop("player1", "player2", "odd1", "odd2"))
 
 
 def _near(f: DataFrame, q: DataFrame, keys: list[str], days: int) -> DataFrame:
@@ -110,20 +111,21 @@ def link_signatures(features: DataFrame, quotes: DataFrame, feature_id: str = "r
     took the same quote (``reuse``); ``events`` is as there; its statuses are matched, no_pair and date_or_orientation_fail.
     """
     f, q = _sides(features, quotes, day, feature_id, quote_id)
-    f = f.withColumns({"sa": full_signatures(F.col("na")), "sb": full_signatures(F.col("nb"))})
-    q = q.withColumns({"s1": short_signature(F.col("n1")), "s2": short_signature(F.col("n2"))}).withColumn("pair", pair_key("s1", "s2"))
-    keys = F.array_distinct(F.flatten(F.transform("sa", lambda a: F.transform("sb", lambda b: F.concat_ws("||", F.array_sort(F.array(a, b)))))))
-    keyed = f.withColumn("pair", F.explode(keys))
-    met = _near(keyed, q, ["pair"], max_gap)
-    direct = F.array_contains("sa", F.col("s1")) & F.array_contains("sb", F.col("s2"))
-    turned = F.array_contains("sa", F.col("s2")) & F.array_contains("sb", F.col("s1"))
-    met = met.where(direct | turned).withColumn("swapped", ~F.array_contains("sa", F.col("s1"))).dropDuplicates(["f", "q"]).withColumn("event_similarity", _event_score(events))
+    q = stage_table(q.select("q", "qday", "qevent", short_signature(F.col("n1")).alias("s1"), short_signature(F.col("n2")).alias("s2")).withColumns({"low": F.least("s1", "s2"), "high": F.greatest("s1", "s2")}))
+    # A row has several pairs of signatures, of which few are any quote's: they meet as hashes, and only those that hit are compared by letters.
+    key = lambda a, b: F.xxhash64(F.least(a, b), F.greatest(a, b)).alias("key")
+    keyed = f.select("f", "nb", F.explode(full_signatures(F.col("na"))).alias("sa")).select("f", "sa", F.explode(full_signatures(F.col("nb"))).alias("sb")).select("f", key("sa", "sb"))
+    hits = keyed.join(q.select("low", "high", key("low", "high")).distinct(), "key").select("f", "low", "high").distinct()
+    hits = hits.join(f, "f").withColumns({"sa": full_signatures(F.col("na")), "sb": full_signatures(F.col("nb"))})
+    both = lambda a, b: F.array_contains("sa", F.col(a)) & F.array_contains("sb", F.col(b))
+    hits = stage_table(hits.where(both("low", "high") | both("high", "low")).select("f", "fday", "fevent", "sa", "low", "high"))
+    met = _near(hits, q, ["low", "high"], max_gap).withColumns({"swapped": ~F.array_contains("sa", F.col("s1")), "event_similarity": _event_score(events)})
     best = _first(met, [F.asc("gap"), F.desc("event_similarity"), F.asc("q")]).select("f", "q", "gap", "event_similarity", "swapped")
-    paired = keyed.join(q.select("pair").distinct(), "pair", "left_semi").select("f").distinct().withColumn("paired", F.lit(True))
+    paired = hits.select("f").distinct().withColumn("paired", F.lit(True))
     audit = f.select("f").join(paired, "f", "left").join(best, "f", "left")
     audit = audit.select(F.col("f").alias(feature_id), F.when(F.col("q").isNotNull(), "matched").when(F.col("paired"), "date_or_orientation_fail").otherwise("no_pair").alias("status"), "q", "gap", "event_similarity", "swapped")
     uses = audit.where("q is not null").groupBy("q").agg(F.count(F.lit(1)).alias("reuse"))
-    audit = stage(audit.join(uses, "q", "left"))
+    audit = stage_table(audit.join(uses, "q", "left"))
     return _result(audit, features, quotes, feature_id, quote_id), audit.withColumnRenamed("q", quote_id)
 
 

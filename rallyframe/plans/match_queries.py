@@ -31,9 +31,11 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_matches(table(spark, sf_dir, "tiny"), _kind(), keep=("row_id",))
 
 
-def _once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical matches, each event's pairing in a round once."""
-    return keep_first(canonical(spark, sf_dir), ["tourney_id", "tourney_date", "round", "winner_key", "loser_key"], [*ORDER[:3], "row_id"])
+def _once(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical matches, each event's pairing in a round once; with ``columns`` those only, besides the ones that tell which is first."""
+    identity, order = ["tourney_id", "tourney_date", "round", "winner_key", "loser_key"], [*ORDER[:3], "row_id"]
+    matches = canonical(spark, sf_dir)
+    return keep_first(matches.select(*dict.fromkeys([*identity, *order, *columns])) if columns else matches, identity, order)
 
 
 def _six(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -133,7 +135,7 @@ def m_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.col("winner_key") < F.col("loser_key")
-    m = _once(spark, sf_dir)
+    m = _once(spark, sf_dir, ("proxy_date", "tourney_name", "winner_name", "loser_name"))
     return m.select("row_id", F.col("tourney_date").alias("event_start_date"), F.col("proxy_date").alias("date"), "tourney_name", F.when(first, F.col("winner_name")).otherwise(F.col("loser_name")).alias("player_a"), F.when(first, F.col("loser_name")).otherwise(F.col("winner_name")).alias("player_b"))
 
 

@@ -66,3 +66,9 @@ def test_rows_meet_quotes_of_a_similar_event_without_a_shared_word(spark):
 @pytest.mark.parametrize(("full", "short", "expected"), [("Ana Silva Costa", "Silva A.", 1.0), ("Ana Silva Costa", "Silva C. A.", 0.84 + 0.16 / 2), ("Ana Silva", "ana SILVA", 1.0), ("Ana Silva", "Li", 0.84 * 2 / 7), ("", "x", 0.0), (None, None, 0.0)])
 def test_short_names(full, short, expected):
     assert short_name_similarity(full, short) == pytest.approx(expected, abs=0.02)
+
+
+def test_sides_hold_no_more_than_links_compare(tables):
+    f, q = linking._sides(*tables, "date", "row_id", "odds_id")
+    assert f.columns == ["f", "fday", "fevent", "na", "nb"] and q.columns == ["q", "qday", "qevent", "n1", "n2"]
+    assert {r.f for r in f.collect()} == {1, 2, 3, 4, 5} and {r.q for r in q.collect()} == {10, 11, 12, 13, 14}
