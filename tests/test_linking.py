@@ -1,6 +1,7 @@
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from rallyframe.functions.similarity import event_ratio, short_name_similarity
 from rallyframe.operators import linking
@@ -72,3 +73,10 @@ def test_sides_hold_no_more_than_links_compare(tables):
     f, q = linking._sides(*tables, "date", "row_id", "odds_id")
     assert f.columns == ["f", "fday", "fevent", "na", "nb"] and q.columns == ["q", "qday", "qevent", "n1", "n2"]
     assert {r.f for r in f.collect()} == {1, 2, 3, 4, 5} and {r.q for r in q.collect()} == {10, 11, 12, 13, 14}
+
+
+def test_plain_signatures_audit_each_row_once_from_a_staged_table(tables):
+    f, q = tables
+    twice = f.where("row_id = 1").withColumns({"player_b": F.col("player_a")})  # both sides have the same signatures
+    _, audit = linking.link_signatures(twice, q.where("odds_id = 14").withColumn("player2", F.col("player1")), day="date", events="equal")
+    assert audit.inputFiles() and [(r.status, r.odds_id, r.gap, r.reuse, r.swapped) for r in audit.collect()] == [("matched", 14, 2, 1, False)]
