@@ -128,3 +128,22 @@ def test_horizons_and_the_final_ensemble(frame):
     final = models.fit_final(df, oof, best, date(2023, 9, 1), make)
     p = final.predict(df.where("date >= '2023-09-01'"))
     assert p.count() > 0 and p.where("predicted_probability between 0 and 1").count() == p.count() and final.weights.sum() == pytest.approx(1)
+
+
+def test_folds_fitted_together_equal_fits_one_by_one(frame):
+    df, *_ = frame
+    df = df.withColumn(X[0], F.when(F.col("row_id") % 7 > 0, F.col(X[0])))
+    make = lambda n, seed: {"rating": models.RatingBaseline(), "logistic": models.Logistic(X, 4.5)}
+    oof = models.walk_forward(df, 100, 50, 200, 30, make).cache()
+    blocks = models.validation_blocks(df, 100, 50, 200, 30)
+    start, end = blocks[-1][:2]
+    train = models.augment_symmetric(df.where((F.col("date") >= F.lit(start - timedelta(days=100))) & (F.col("date") < F.lit(start))))
+    one, together = models.Logistic(X, 4.5).fit(train), models.Logistic(X, 4.5)
+    day = lambda d: (d - date(1970, 1, 1)).days
+    models.fit_windows([models.Logistic(X, 4.5), together], df, F.unix_date("date"), [(day(date(2023, 1, 1)), day(start)), (day(start) - 100, day(start))], mirrored=True)
+    assert together.beta == pytest.approx(one.beta, abs=1e-8) and together.prepared[X[0]] == pytest.approx(one.prepared[X[0]], abs=1e-9)
+    past, names = oof.where(F.col("fold_id") < len(blocks) - 1), ["p_rating", "p_logistic"]
+    last = models.Ensemble({"rating": models.RatingBaseline(), "logistic": one}, models.blend_weights(past, names), models.Calibrator().fit(past, "ensemble_raw"))
+    want = {r.row_id: (r.ensemble_raw, r.predicted_probability) for r in last.predict(df.where((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end)))).collect()}
+    got = {r.row_id: (r.ensemble_raw, r.predicted_probability) for r in oof.where(F.col("fold_id") == len(blocks) - 1).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-7) for i in want)
