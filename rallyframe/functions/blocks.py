@@ -9,7 +9,7 @@ import numpy as np
 #: Longer texts go to difflib itself, which sets frequent letters aside from 200 on.
 _LONGEST = 199
 #: Pairs worked together, so that their arrays stay in cache.
-_PAIRS = 16_384
+_PAIRS = 8_192
 _BIT = {c: (1 << 2 * i, 2 << 2 * i) for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | {c: (1 << 52 + i, 0) for i, c in enumerate("0123456789 ")}
 
 
@@ -64,14 +64,8 @@ class Texts:
         for i in other[~plain]:
             out[i] = SequenceMatcher(None, self.texts[a[i]], self.texts[b[i]]).ratio()
         other = other[plain]
-        # Together are pairs of like lengths: the longer text's at most a third more than the least of them.
-        longer = np.maximum(self.length[a[other]], self.length[b[other]])
-        order = np.argsort(longer, kind="stable")
-        other, longer, at = other[order], longer[order], 0
-        while at < len(other):
-            end = min(at + _PAIRS, int(np.searchsorted(longer, longer[at] * 4 // 3 + 1, "right")))
-            i, at = other[at:end], end
-            out[i] = 2.0 * self._matches(a[i], b[i]) / (self.length[a[i]] + self.length[b[i]])
+        a, b = a[other], b[other]
+        out[other] = 2.0 * self._matches(a, b) / (self.length[a] + self.length[b])
         return out[back]
 
     def _matches(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,27 +74,41 @@ class Texts:
         who, a0, b0, na, nb = np.arange(len(a)), self.start[a], self.start[b], self.length[a], self.length[b]
         while True:
             some = (na > 0) & (nb > 0)
-            who, a0, b0, na, nb = who[some], a0[some], b0[some], na[some], nb[some]
-            if not len(who):
+            longer = np.maximum(na, nb)[some].astype(np.uint8)
+            order = np.flatnonzero(some)[np.argsort(longer, kind="stable")]
+            if not len(order):
                 return total
-            wide, high = int(na.max()), int(nb.max())
-            last = len(self.letters) - 1
-            x = np.stack([np.where(i < na, self.letters[np.minimum(a0 + i, last)], 1) for i in range(wide)])
-            y = np.stack([np.where(j < nb, self.letters[np.minimum(b0 + j, last)], 2) for j in range(high)])
-            # A cell holds the block that ends there times 256, and how early it ends in b.
-            early = (255 - np.arange(high)).astype(np.uint16)[:, None]
-            run, best, end = np.zeros((high + 1, len(who)), np.uint16), np.zeros(len(who), np.uint16), np.zeros(len(who), np.int32)
-            for i in range(wide):
-                new = np.zeros_like(run)
-                np.multiply(run[:-1] + np.uint16(1), x[i] == y, out=new[1:])
-                top = (new[1:] * np.uint16(256) + early).max(0)
-                better = (top >> 8) > (best >> 8)
-                best, end = np.where(better, top, best), np.where(better, i, end)
-                run = new
-            size = (best >> 8).astype(np.int32)
+            who, a0, b0, na, nb, longer = who[order], a0[order], b0[order], na[order], nb[order], np.sort(longer, kind="stable")
+            size, i, j, at = *[np.empty(len(who), np.int32) for _ in range(3)], 0
+            while at < len(who):  # pairs of like lengths: the longer text's at most a third more than the least of them
+                end = min(at + _PAIRS, int(np.searchsorted(longer, min(int(longer[at]) * 4 // 3, 255), "right")))
+                k, at = slice(at, end), end
+                size[k], i[k], j[k] = self._longest(a0[k], b0[k], na[k], nb[k])
+            total += np.bincount(who, size, len(total)).astype(np.int64)
             hit = size > 0
-            who, a0, b0, na, nb, size = who[hit], a0[hit], b0[hit], na[hit], nb[hit], size[hit]
-            i, j = end[hit] - size + 1, (255 - (best[hit] & 255)).astype(np.int32) - size + 1
-            np.add.at(total, who, size)
+            who, a0, b0, na, nb, size, i, j = [x[hit] for x in (who, a0, b0, na, nb, size, i, j)]
             who, na, nb = np.concatenate([who, who]), np.concatenate([i, na - i - size]), np.concatenate([j, nb - j - size])
             a0, b0 = np.concatenate([a0, a0 + i + size]), np.concatenate([b0, b0 + j + size])
+
+    def _longest(self, a0: np.ndarray, b0: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each two pieces of text the longest equal block: its size and where it begins in both."""
+        last, high = len(self.letters) - 1, int(nb.max())
+        y = np.stack([np.where(j < nb, self.letters[np.minimum(b0 + j, last)], 2) for j in range(high)])
+        # A cell holds 256 times the block that ends there; with it goes how early it ends in b.
+        early = (255 - np.arange(high)).astype(np.uint16)[:, None]
+        run, new = np.zeros((2, high + 1, len(na)), np.uint16)
+        cell, equal = np.empty((high, len(na)), np.uint16), np.empty((high, len(na)), bool)
+        best, beat, end = np.full(len(na), 255, np.uint16), np.full(len(na), 255, np.uint16), np.zeros(len(na), np.int32)
+        for i in range(int(na.max())):
+            np.equal(np.where(i < na, self.letters[np.minimum(a0 + i, last)], 1), y, out=equal)
+            np.add(run[:-1], 256, out=cell)
+            np.multiply(cell, equal, out=new[1:])
+            np.bitwise_or(new[1:], early, out=cell)
+            top = cell.max(0)
+            better = top > beat
+            np.copyto(best, top, where=better)
+            end[better] = i
+            np.bitwise_or(best, 255, out=beat)
+            run, new = new, run
+        size = (best >> 8).astype(np.int32)
+        return size, end - size + 1, (255 - (best & 255)).astype(np.int32) - size + 1

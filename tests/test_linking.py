@@ -2,12 +2,13 @@ from datetime import date, timedelta
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rallyframe.functions.blocks import Texts
 from rallyframe.functions.similarity import event_ratio, short_name_similarity
-from rallyframe.operators import linking
+from rallyframe.operators import candidates, linking
 
 D = date(2024, 3, 4)
 ROWS = [(1, D, "Ana Silva Costa", "Bo Berg", "Lyon Challenger"), (2, D, "Cy Dahl", "Eve Falk", "Oslo"), (3, D, "Gil Hart", "Ida Jung", "Rome"), (4, None, "Ana Silva Costa", "Bo Berg", "Lyon"), (5, D, None, "Zed Quux", None)]
@@ -129,3 +130,18 @@ def test_ratios_of_many_pairs_equal_difflib():
     a, b = [x.ravel() for x in np.meshgrid(at, at)]
     assert texts.ratios(a, b).tolist() == [SequenceMatcher(None, words[x], words[y]).ratio() for x, y in zip(a, b)]
     assert (texts.bounds(a, b) >= texts.ratios(a, b) - (a == b)).all()
+
+
+@pytest.mark.parametrize(("limit", "value"), [("_EVENTS", 0), ("_MET", 7)])
+def test_a_bucket_has_the_same_best_however_it_is_cut(monkeypatch, limit, value):
+    rows, quotes, words = 30, 90, ["Lyon", "Lion Cup", "Oslo", "Osla Open", "", None]
+    left = pa.table({"f": range(rows), "k": [""] * rows, "d": [i % 5 for i in range(rows)], "p": [0] * rows, "fevent": [words[i % 6] for i in range(rows)], "na": [f"ana {'berg' * (i % 3 + 1)}" for i in range(rows)], "nb": [f"bo {'kost' * (i % 2 + 1)}" for i in range(rows)]})
+    right = pa.table({"q": range(quotes), "k": [""] * quotes, "d": [i % 12 for i in range(quotes)], "p": [0] * quotes, "qevent": [words[i % 6] for i in range(quotes)], "n1": [f"{'borg' * (i % 3 + 1)} a" for i in range(quotes)], "n2": [f"{'kast' * (i % 4)} b" for i in range(quotes)]})
+
+    def best() -> dict:
+        lines = sorted(candidates._meet(left, right, 3, linking.WIDE, 0.45).to_pylist(), key=lambda x: (x["f"], -x["total"], -x["pair_score"], -x["event_similarity"], x["gap"], x["q"]))
+        return {f: (sum(x["met"] for x in lines if x["f"] == f), [x["q"] for x in lines if x["f"] == f][:2]) for f in range(rows)}
+
+    whole = best()
+    monkeypatch.setattr(candidates, limit, value)
+    assert best() == whole and whole[0][0] == sum(event_ratio("Lyon", words[i % 6], " challenger") >= 0.45 and i % 12 <= 3 for i in range(quotes))
