@@ -159,3 +159,21 @@ def test_live_features_equal_those_of_a_match_on_the_same_day(season, spark):
     want = feat.build_features(df).where(F.col("row_id") == m.row_id).first()
     for c in feat.FEATURES:
         assert got[5][c] == pytest.approx(want[c], abs=1e-9), c
+
+
+def test_some_features_equal_those_of_all_and_fold_once(season):
+    df, _ = season
+    only = ["row_id", "date", "target", "elo_slow_diff_100", "elo_dynamic_surface_blend_diff_100", "rank_log_diff", "recent_win_90_diff", "surface_residual_180_diff", "points_log_diff", "h2h_advantage", "min_experience", "stat_coverage"]
+    some, every = feat.build_features(df, only=only), feat.build_features(df)
+    assert some.columns == [c for c in every.columns if c in only]
+    assert some.orderBy("row_id").collect() == every.select(*some.columns).orderBy("row_id").collect()
+    assert some._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_busy_day_is_played_in_order(season):
+    df, _ = season
+    day = df.withColumns({"proxy_date": F.date_trunc("month", "proxy_date").cast("date")})
+    order = lambda r: (r.proxy_date, r.tourney_id, r.round_order, r.match_num, r.winner_key, r.loser_key, r.row_id)
+    want = replay(sorted(day.collect(), key=order))
+    got = {r.row_id: (r.w_slow, r.l_slow, r.w_surface, r.expected) for r in pre_match_ratings(day).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)

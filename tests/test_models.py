@@ -147,3 +147,16 @@ def test_folds_fitted_together_equal_fits_one_by_one(frame):
     want = {r.row_id: (r.ensemble_raw, r.predicted_probability) for r in last.predict(df.where((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end)))).collect()}
     got = {r.row_id: (r.ensemble_raw, r.predicted_probability) for r in oof.where(F.col("fold_id") == len(blocks) - 1).collect()}
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-7) for i in want)
+
+
+def test_blend_weights_are_the_least_of_their_loss(frame):
+    df, x, y = frame
+    p = np.column_stack([1 / (1 + np.exp(-0.7 * x[:, 0])), 1 / (1 + np.exp(-x[:, 0] - x[:, 1]))])
+    good = df.withColumns({"p_a": 1 / (1 + F.exp(-0.7 * F.col(X[0]))), "p_b": 1 / (1 + F.exp(-F.col(X[0]) - F.col(X[1])))})
+    w = models.blend_weights(good, ["p_a", "p_b"], shrink=0.0)
+    grid = np.arange(0.03, 0.85, 1e-5)
+    loss = []
+    for g in grid:
+        q = p @ [g, 1 - g]
+        loss.append(-(y * np.log(q) + (1 - y) * np.log(1 - q)).mean() + 0.08 * 2 * (g - 0.5) ** 2)
+    assert w[0] == pytest.approx(grid[np.argmin(loss)], abs=2e-5)
