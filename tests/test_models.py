@@ -160,3 +160,20 @@ def test_blend_weights_are_the_least_of_their_loss(frame):
         q = p @ [g, 1 - g]
         loss.append(-(y * np.log(q) + (1 - y) * np.log(1 - q)).mean() + 0.08 * 2 * (g - 0.5) ** 2)
     assert w[0] == pytest.approx(grid[np.argmin(loss)], abs=2e-5)
+
+
+def test_folds_are_staged_in_few_files(frame, spark):
+    df, *_ = frame
+    make = lambda n, seed: {"rating": models.RatingBaseline(), "logistic": models.Logistic(X, 4.5)}
+    oof = models.walk_forward(df.repartition(4), 100, 50, 200, 30, make)
+    assert len(oof.inputFiles()) <= 4 and oof.select("fold_id").distinct().count() == 4
+
+
+def test_trees_of_one_fold_share_their_medians(frame, monkeypatch):
+    df, *_ = frame
+    fits, own = [], models.Imputer
+    monkeypatch.setattr(models, "Imputer", lambda **o: fits.append(o) or own(**o))
+    trees = {n: models.Trees(X, k, {"maxDepth": 2, "seed": 1} | o) for n, k, o in (("forest", "forest", {"numTrees": 2}), ("boost", "boost", {"maxIter": 2}))}
+    oof = models.walk_forward(df, 100, 150, 200, 30, lambda n, seed: dict(trees))
+    assert len(fits) == oof.select("fold_id").distinct().count()
+    assert oof.where("p_forest between 0 and 1 and p_boost between 0 and 1").count() == oof.count() > 0
