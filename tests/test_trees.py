@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rallyframe.operators import models, trees
 from rallyframe.operators.features import FEATURES
 from rallyframe.plans import match_queries as mq
+from rallyframe.plans import source_queries as sq
 
 X = ["elo_slow_diff_100", "elo_dynamic_surface_blend_diff_100", "stat_coverage"]
 
@@ -133,6 +134,15 @@ def asked_by(monkeypatch, name, found):
     return seen
 
 
+def test_m_horizons_compares_the_whole_method(table, spark, monkeypatch):
+    df, *_ = table
+    monkeypatch.setattr(sq.mq, "features", lambda s, d, only: df.select(*[F.lit(0.0).alias(c) for c in only]))
+    row = dict.fromkeys(("log_loss", "brier", "fold_log_loss_std", "selection_score"), 0.5) | {"horizon_days": 365, "n": 1}
+    seen = asked_by(monkeypatch, "compare_horizons", (365, [row]))
+    assert sq.m_horizons(spark, "").count() == 1
+    assert seen["args"] == ([365, 730],) and {*FEATURES} <= {*seen["columns"]} and seen.keys() == {"args", "columns"}
+
+
 def test_m_walk_forward_fits_the_whole_method(table, spark, monkeypatch):
     df, *_ = table
     monkeypatch.setattr(mq, "features", lambda s, d, only: df.select(*[F.lit(0.0).alias(c) for c in only]))
