@@ -150,3 +150,26 @@ def test_m_walk_forward_fits_the_whole_method(table, spark, monkeypatch):
     seen = asked_by(monkeypatch, "walk_forward", scored)
     assert mq.m_walk_forward(spark, "").count() == 600
     assert seen["args"] == (365,) and {*FEATURES} <= {*seen["columns"]} and seen.keys() == {"args", "columns"}
+
+
+def test_m_final_fits_the_whole_method(table, spark, monkeypatch):
+    df, *_ = table
+    monkeypatch.setattr(sq.mq, "features", lambda s, d, only: df.select(*[F.col(c) if c in df.columns else F.lit(0.0).alias(c) for c in only]))
+    seen = asked_by(monkeypatch, "walk_forward", df)
+    final = models.Ensemble({"rating": models.RatingBaseline()}, np.array([1.0]), models.Calibrator())
+    last = []
+    monkeypatch.setattr(models, "fit_final", lambda *a, **o: last.append((a[2:], o)) or final)
+    assert sq.m_final(spark, "").count() == 540 + 3
+    assert seen["args"] == (365,) and {*FEATURES} <= {*seen["columns"]} and seen.keys() == {"args", "columns"}
+    assert last == [((365, date(2023, 7, 19) - timedelta(days=180)), {})]
+
+
+def test_the_final_calibration_is_that_of_the_final_weights(table):
+    df, *_ = table
+    make = lambda n, seed: {"rating": models.RatingBaseline(), "logistic": models.Logistic(X, 4.5)}
+    oof = models.walk_forward(df, 80, 40, 100, 30, make).cache()
+    final = models.fit_final(df, oof, 80, date(2023, 7, 19), make)
+    names = ["p_rating", "p_logistic"]
+    raw = oof.where("date < '2023-07-19'").withColumn("raw", sum(F.lit(float(w)) * F.col(c) for w, c in zip(models.blend_weights(oof.where("date < '2023-07-19'"), names), names)))
+    assert final.calibrator.model.beta == pytest.approx(models.Calibrator().fit(raw, "raw").model.beta, abs=1e-9)
+    assert final.calibrator.model.beta != pytest.approx(models.Calibrator().fit(raw, "ensemble_raw").model.beta, abs=1e-6)
