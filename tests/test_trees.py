@@ -173,3 +173,19 @@ def test_the_final_calibration_is_that_of_the_final_weights(table):
     raw = oof.where("date < '2023-07-19'").withColumn("raw", sum(F.lit(float(w)) * F.col(c) for w, c in zip(models.blend_weights(oof.where("date < '2023-07-19'"), names), names)))
     assert final.calibrator.model.beta == pytest.approx(models.Calibrator().fit(raw, "raw").model.beta, abs=1e-9)
     assert final.calibrator.model.beta != pytest.approx(models.Calibrator().fit(raw, "ensemble_raw").model.beta, abs=1e-6)
+
+
+def test_m_offset_fits_the_whole_method(table, spark, monkeypatch):
+    df, *_ = table
+    monkeypatch.setattr(sq.mq, "features", lambda s, d, only: df.select(*[F.lit(0.0).alias(c) for c in only]))
+    monkeypatch.setattr(sq.mq, "_quotes", lambda s, d: None)
+    from rallyframe.operators import linking
+
+    monkeypatch.setattr(linking, "link_exact", lambda oof, quotes: (oof, None))
+    monkeypatch.setattr(models, "with_reference_gaps", lambda linked: linked)
+    scored = df.select("row_id", *[F.lit(0.5).alias(c) for c in ("fold_id", "market_probability_a", "value_probability")])
+    first = asked_by(monkeypatch, "walk_forward", scored)
+    second = asked_by(monkeypatch, "walk_forward_offset", scored)
+    assert sq.m_offset(spark, "").count() == 600
+    assert first["args"] == (365,) and {*FEATURES} <= {*first["columns"]} and first.keys() == {"args", "columns"}
+    assert second["args"] == (models.OFFSET_FEATURES, "market_logit_a", "market_probability_a") and second.keys() == {"args", "columns"}
