@@ -65,7 +65,7 @@ def test_best_cut_of_a_forest_equals_plain_gini(table):
     gini = lambda v: len(v) * 2 * v.mean() * (1 - v.mean())
     cuts = [(gini(y[x[:, c] <= v]) + gini(y[x[:, c] > v]), c, v) for c in range(3) for v in np.unique(x[:, c]) if 18 <= (x[:, c] <= v).sum() <= 582]
     bins, _ = prepared(x)
-    gain, column, at = trees._best_cuts(bins, np.zeros(600, np.int64), 1, y, np.ones(600), 18, 0.0)
+    gain, column, at = trees._best_cuts(bins, np.arange(600), None, np.zeros(600, np.int64), 1, y, np.ones(600), 18, 0.0)
     left = bins[:, column[0]] <= at[0]
     assert min(left.sum(), (~left).sum()) >= 18
     least = min(c[0] for c in cuts)
@@ -83,6 +83,17 @@ def test_extra_trees_cut_at_random(table):
     assert np.array_equal(other["cut"][other["roots"]], roots[20:])
 
 
+@pytest.mark.parametrize("kind", ["boost", "extra", "forest"])
+def test_rows_looked_at_in_steps_grow_the_same_trees(table, monkeypatch, kind):
+    _, x, y = table
+    options = models.candidate_models(600, 5)[kind].options | {"trees": 3}
+    grow = lambda: trees.Grown(X, "boost" if kind == "boost" else "forest", options).grown(x, y, prepared(x), range(3))
+    whole = grow()
+    monkeypatch.setattr(trees, "STEP", 70)
+    steps = grow()
+    assert len(whole["feature"]) > 15 and all(whole[c] == pytest.approx(steps[c]) for c in whole)
+
+
 def test_windows_grow_alike_however_they_are_spread(table):
     df, *_ = table
     make = lambda: [trees.Grown(X, "boost", {"trees": 4, "rate": 0.1, "leaves": 5, "least": 20, "l2": 5.0}), trees.Grown(X[:2], "forest", {"trees": 6, "depth": 3, "least": 18, "share": 0.7, "seed": 1, "bootstrap": True})]
